@@ -29,6 +29,9 @@ RECALL = 0.999
 CELL = 1024
 #: Most shingles of a group in one half of a verifying cell.
 CELL_SHINGLES = 400_000
+#: Bits of the filter that keeps the sets of texts without a candidate from being shuffled;
+#: what passes it by chance finds no partner in the join.
+FILTER_BITS = 1 << 22
 #: Sketches that agree less than this belong to pairs far below the threshold.
 SKETCH_LEAST = 0.5
 
@@ -221,19 +224,22 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     member = keep(member, "minhash-members")
     width = member.groupBy("root").agg(F.ceil(F.sum("n_shingles") / CELL_SHINGLES).cast("int").alias("blocks"))
     member = member.join(width, "root").select("digest", F.col("rep").alias("_rep"), "copies", "root", "blocks")
-    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), digest)
-    held = texts.join(member, (texts.digest == member.digest) & texts._key.eqNullSafe(member._rep)).select(texts.digest, "_rep", "copies", "root", "blocks", "_text").dropDuplicates(["digest", "_rep"])
+    slot = 1 + F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    seen = marks(member.select(slot.alias("slot")))
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), digest).withColumn("slot", slot)
 
     def shingle(batches):
         for b in batches:
+            b = b.filter(pa.array(seen[np.asarray(b.column(3))]))
             for i, j, t in slices(column(b, "_text")):
                 s, of = shingles(t)
                 off = np.append(0, np.cumsum(np.bincount(of, minlength=t.n)) * 8)
                 raw = s.tobytes()
                 sets = pa.array([raw[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(4)), sets], names=["digest", "copies", "root", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (0, 2)), sets], names=["_key", "_digest", "shingles"])
 
-    sets = held.select("digest", "copies", "root", "blocks", "_text").mapInArrow(shingle, "digest binary, copies long, root binary, blocks int, shingles binary")
+    sets = texts.select("_key", "_text", "digest", "slot").mapInArrow(shingle, f"_key {kind}, _digest binary, shingles binary")
+    sets = sets.join(member.hint("merge"), (F.col("_digest") == F.col("digest")) & F.col("_key").eqNullSafe(F.col("_rep"))).dropDuplicates(["_digest", "_key"])
     sets = in_cells(sets, "root", "digest", "blocks").select(*cells("root", "blocks"), "digest", "copies", "shingles")
 
     def verify(batches):
@@ -262,6 +268,17 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     return signed.select(key, "digest").join(named, "digest").select(key, "digest", "class_id", "n_links", "rep")
 
 
+def marks(slots: DataFrame) -> np.ndarray:
+    """Marks the slots, from 1 on, that occur; a fixed number of bits, gathered as a few partial bitmaps."""
+    got = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS + (1 << 16), bool)
+    for r in got:
+        # bit x of bucket k stands for slot 32768 * (k - 1) + x + 1
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        out[(r.k - 1) * len(bits) + 1 + np.flatnonzero(bits)] = True
+    return out
+
+
 def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
     """Which of the sets are similar enough to which, exactly, by counting common shingles in blocks."""
     n = len(sets)
