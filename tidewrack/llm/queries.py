@@ -79,8 +79,8 @@ def oracle_sql() -> dict[str, str]:
 OP9 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(text, '')) AS m, coalesce(text, '') AS t FROM documents),
 u AS (SELECT m, min(doc_id) AS rep, count(*) AS copies, any_value(t) AS t FROM d GROUP BY m),
-w AS (SELECT m, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM u),
-s AS (SELECT DISTINCT m, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))
+w AS (SELECT m, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM u),
+s AS (SELECT DISTINCT m, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT m, count(*) AS n FROM s GROUP BY m),
 p AS (SELECT a.m AS x, b.m AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.m <> b.m GROUP BY 1, 2),
