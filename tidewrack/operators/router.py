@@ -9,7 +9,9 @@ from ..functions.text import char_ngrams
 
 
 def ngram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(char_ngrams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf.  N-grams stay in words, so each distinct word of a text is cut once."""
+    words = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), " ")).alias("word")).where("word <> ''").groupBy(key, "word").agg(F.count("*").alias("n"))
+    return words.select(key, "n", F.explode(char_ngrams(F.col("word"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
 
 def decide(df: DataFrame, vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame, key: str, text: str) -> DataFrame:
