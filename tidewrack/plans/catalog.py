@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar as C
+from ..functions import markup as M
 from ..functions import text as T
 from ..operators import quality as Q
 from ..operators import relational as R
@@ -318,6 +320,32 @@ def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q,) for q, _ in _QUESTIONS], "question string").select("question", T.expand_dates(F.col("question"), AS_OF).alias("expanded"))
 
 
+_RANGES = [("09.01", 2025, 8, "2025-09-01", "2025-09-01"), ("12.22 ~ 01.05", 2026, 0, "2025-12-22", "2026-01-05"), ("02.30", 2025, 1, None, None), ("06.10~06.21", 2024, 5, "2024-06-10", "2024-06-21"), ("none", 2024, 5, None, None)]
+
+
+@_register("SELECT text, CAST(a AS DATE) AS start_day, CAST(z AS DATE) AS end_day FROM (VALUES " + ", ".join(f"('{t}', {a!r}, {z!r})" for t, _, _, a, z in _RANGES).replace("None", "NULL") + ") t(text, a, z)")
+def calendar_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:3] for r in _RANGES], "text string, year int, box int").withColumn("r", C.date_range(F.col("text"), F.col("year"), F.col("box")))
+    return rows.select("text", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
+
+
+@_register("""SELECT o_orderkey, strftime(d, '%Y-%m-%d') || ' (' || ['월', '화', '수', '목', '금', '토', '일'][isodow(d)] || ') ' || strftime(m, '%Y-%m-%d') || '~' || strftime(m + 6, '%Y-%m-%d') || ' ' || strftime(m + 7, '%Y-%m-%d') || '~' || strftime(m + 13, '%Y-%m-%d') AS context,
+d - CASE isodow(d) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS workday_before FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('week', o_orderdate) AS DATE) AS m FROM orders)""")
+def week_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.week_context(day).alias("context"), C.last_workday_before(day).alias("workday_before"))
+
+
+_GRID = "<table><tr><th rowspan=2>meal</th><th colspan=2>hall</th></tr><tr><td>one</td><td>two<br>three</td></tr><tr><td>noon</td><td colspan=2>soup</td></tr></table>"
+_CELLS = [(0, "meal|hall|hall"), (1, "meal|one|two;three"), (2, "noon|soup|soup")]
+
+
+@_register("SELECT CAST(r AS INT) AS line, cells FROM (VALUES " + ", ".join(f"({r}, '{c}')" for r, c in _CELLS) + ") t(r, cells)")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(_GRID,)], "html string").select(F.posexplode(M.table_grid("html")).alias("line", "c"))
+    return rows.select("line", F.replace(F.array_join("c", "|"), F.lit("\n"), F.lit(";")).alias("cells"))
+
+
 def _failure(found: Column, expected: Column) -> Column:
     return F.when(found.isNull(), "data_missing").when(expected.isNull(), "ok").when(found != expected, "retrieval_miss").otherwise("ok")
 
