@@ -66,8 +66,9 @@ def short_date(text: Column) -> Column:
 
 
 def price(text: Column) -> Column:
-    """Digits with thousands separators and the won sign; others stay."""
-    return F.when(text.rlike(r"^\d+$"), F.concat(F.format_number(text.try_cast("bigint"), 0), F.lit("원"))).otherwise(text)
+    """The digits with thousands separators and the won sign; a text without digits stays."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return F.when(digits != "", F.concat(F.format_number(digits.try_cast("decimal(38,0)"), 0), F.lit("원"))).otherwise(text)
 
 
 def expand_aliases(array: Column, aliases: dict[str, list[str]]) -> Column:
@@ -108,3 +109,65 @@ def expand_dates(question: Column, as_of: str) -> Column:
     longest = "|".join(sorted(WEEK_WORDS, key=len, reverse=True))
     found = F.flatten(F.concat(F.transform(F.regexp_extract_all(question, F.lit("|".join(DAY_WORDS)), F.lit(0)), lambda w: days[w]), F.transform(F.regexp_extract_all(question, F.lit(longest), F.lit(0)), lambda w: weeks[w])))
     return F.when(question.rlike(r"\b\d{4}-\d{2}-\d{2}\b") | (F.size(found) == 0), question).otherwise(F.concat_ws(" ", question, F.array_join(F.array_distinct(found), " ")))
+
+
+def merge_compounds(array: Column, compounds: dict[tuple[str, ...], str], widest: int = 5) -> Column:
+    """Runs of tokens that spell a compound become it, longest first; what was merged can start the next.
+
+    A fold over the tokens: the last token kept and the next ones are looked up together.
+    """
+    if any(len(k) < 2 for k in compounds):
+        raise ValueError("a compound has two tokens at least")
+    if not compounds:
+        return array
+    table = F.create_map(*(F.lit(x) for k, v in compounds.items() for x in ("\x1f".join(k), v)))
+    texts = "array<string>"
+    n = F.size(array)
+
+    def step(state: Column, i: Column) -> Column:
+        done, at = state["done"], state["at"]
+        # with the last kept token; null where the tokens end before
+        spelt = [F.when(i + k - 1 <= n, F.array_join(F.concat(F.slice(done, -1, 1), F.slice(array, i, k)), "\x1f")) for k in range(widest - 1, 0, -1)]
+        found = F.coalesce(*(F.when(F.try_element_at(table, s).isNotNull(), F.struct(F.try_element_at(table, s).alias("token"), F.lit(k).alias("used"))) for s, k in zip(spelt, range(widest - 1, 0, -1))))
+        merged = F.struct(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(found["token"])).alias("done"), (i + found["used"]).alias("at"))
+        plain = F.struct(F.concat(done, F.array(F.element_at(array, i))).alias("done"), (i + 1).alias("at"))
+        return F.when(i < at, state).when(F.size(done) == 0, plain).when(found.isNotNull(), merged).otherwise(plain)
+
+    start = F.struct(F.array().cast(texts).alias("done"), F.lit(1).alias("at"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda s: s["done"])).otherwise(array)
+
+
+def rewrite_ids(text: Column, names: list[tuple[str, str]]) -> Column:
+    """Internal ids replaced by their names, one after the other in the order given."""
+    for old, new in names:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def links_of(html: Column, url: Column) -> Column:
+    """Targets of a page's links; those that start with a slash get the page's origin."""
+    origin = F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1)
+    return F.transform(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1)), lambda x: F.when(F.startswith(x, F.lit("/")), F.concat(origin, x)).otherwise(x))
+
+
+def main_text(html: Column) -> Column:
+    """Text of the first of article, main and the content block that has any; else of the page."""
+    parts = [r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>", r'(?is)<div id="content"[^>]*>(.*?)</div>']
+    return F.coalesce(*(F.nullif(clean_html(F.regexp_extract(html, p, 1)), F.lit("")) for p in parts), clean_html(html))
+
+
+def chrome(text: Column, words: list[str]) -> tuple[Column, Column]:
+    """How often words of page chrome occur, and how many characters they take."""
+    times = [F.regexp_count(text, F.lit(w)).cast("long") for w in words]
+    return sum(times[1:], times[0]), sum((t * len(w) for t, w in zip(times, words)), F.lit(0).cast("long"))
+
+
+def dates_in(text: Column) -> Column:
+    """ISO dates written with dots, underscores or hyphens, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\d{4}[._-]\d{2}[._-]\d{2}"), F.lit(0)), lambda x: F.regexp_replace(x, "[._]", "-")))
+
+
+def object_of(text: Column) -> Column:
+    """A JSON object as a map of texts; what isn't one gives an empty map."""
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return F.coalesce(F.when(text.rlike(r"(?s)^\s*\{"), F.from_json(text, "map<string,string>")), none)

@@ -48,3 +48,17 @@ def period_of(df: DataFrame, day: Column, periods: DataFrame) -> DataFrame:
     every = periods.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "start", "end"))).alias("_periods"))
     fits = F.filter("_periods", lambda p: (day >= p["start"]) & (day <= p["end"]))
     return df.join(F.broadcast(every)).withColumn("period", F.try_element_at(fits, F.lit(1))["label"]).drop("_periods")
+
+
+def first_stage(df: DataFrame, stage: str, order: list, n: int) -> DataFrame:
+    """The first n rows of the lowest stage that has any: one top-n by stage, cut to the stage of its first row."""
+    best = df.orderBy(stage, *order).limit(n)
+    return best.withColumn("_least", F.min(stage).over(Window.partitionBy(F.lit(0)))).where(F.col(stage) == F.col("_least")).drop("_least")
+
+
+def merge(indexes: list[DataFrame]) -> DataFrame:
+    """Indexes one after the other with the place of each as ``ord``; columns that one lacks are null."""
+    out = indexes[0].withColumn("ord", F.lit(0))
+    for k, df in enumerate(indexes[1:], 1):
+        out = out.unionByName(df.withColumn("ord", F.lit(k)), allowMissingColumns=True)
+    return out

@@ -6,8 +6,6 @@ whose id is divisible by 100, as their stated query set.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +16,14 @@ from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
+from . import records
+from .registry import Query, Registry
+from .registry import table as _table
 
 FLAGSHIP = "hybrid_topk"
 K = 4
 AS_OF = "2026-06-13"
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def _register(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+_register = Registry()
 
 _TOK = "regexp_extract_all(lower({}), '[0-9A-Za-z가-힣]+')"
 _BM25 = f"""
@@ -118,6 +103,47 @@ def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("evidence"))
 
 
+@_register(f"WITH {_BM25.replace('FROM documents)', 'FROM documents WHERE source IS NULL OR source <> ' + chr(39) + 'src0' + chr(39) + ')')} SELECT item_id, doc_id, score, rank FROM {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)}")
+def bm25_topk_domain_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics cover the documents that the filter leaves."""
+    docs = _table(spark, sf_dir, "documents").where(F.col("source").isNull() | (F.col("source") != "src0"))
+    return S.top(S.bm25(docs, _table(spark, sf_dir, "benchmark")), "item_id", "score", "doc_id", K).select("item_id", "doc_id", "score", "rank")
+
+
+_RANKED = f"{_BM25}, r AS {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)}"
+_FACT = "CASE WHEN z = '' THEN 'No text.' WHEN strpos(z, '.') BETWEEN 1 AND 180 THEN substr(z, 1, strpos(z, '.')) WHEN length(z) <= 180 THEN z ELSE rtrim(substr(z, 1, 179)) || '...' END"
+
+
+@_register(f"""WITH {_RANKED}, b AS (SELECT item_id, source, (SELECT {_FACT} FROM (SELECT trim(d.text) AS z)) AS fact FROM r JOIN documents d USING (doc_id) WHERE rank = 1)
+SELECT item_id, coalesce(fact || ' (source: ' || source || ')', 'No evidence was found.') AS answer, CASE WHEN fact IS NULL THEN 'empty' ELSE 'fallback' END AS mode FROM benchmark LEFT JOIN b USING (item_id)""")
+def fallback_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fact of the best document as the answer; a fixed text without one."""
+    fact = T.first_fact(F.col("text"), "No text.")
+    best = _bm25(spark, sf_dir).where("rank = 1").join(_table(spark, sf_dir, "documents"), "doc_id").select("item_id", F.concat(fact, F.lit(" (source: "), F.col("source"), F.lit(")")).alias("fact"))
+    rows = _table(spark, sf_dir, "benchmark").select("item_id").join(best, "item_id", "left")
+    return rows.select("item_id", F.coalesce("fact", F.lit("No evidence was found.")).alias("answer"), F.when(F.col("fact").isNull(), "empty").otherwise("fallback").alias("mode"))
+
+
+@_register(f"""WITH {_RANKED}, e AS (SELECT item_id, string_agg('[' || rank || '] ' || lang || ' ' || doc_id || chr(10) || 'source: ' || source || chr(10) || (SELECT CASE WHEN length(z) <= 200 THEN z ELSE rtrim(substr(z, 1, 199)) || '...' END FROM (SELECT trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS z)), chr(10) || chr(10) ORDER BY rank) AS pack FROM r JOIN documents d USING (doc_id) GROUP BY 1)
+SELECT item_id, 'Time: {AS_OF}' || chr(10) || 'Question: ' || text || chr(10) || 'Evidence:' || chr(10) || coalesce(pack, 'No evidence was retrieved from the workspace.') AS prompt FROM benchmark LEFT JOIN e USING (item_id)""")
+def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question with its numbered evidence, or a fixed text where there is none."""
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("lang"), F.lit(" "), F.col("doc_id").cast("string"), F.lit("\nsource: "), F.col("source"), F.lit("\n"), T.clip(F.col("text"), 200))
+    rows = _bm25(spark, sf_dir).join(_table(spark, sf_dir, "documents"), "doc_id").select("item_id", "rank", block.alias("block"))
+    packs = rows.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("pack"))
+    asked = _table(spark, sf_dir, "benchmark").join(packs, "item_id", "left")
+    return asked.select("item_id", F.concat(F.lit(f"Time: {AS_OF}\nQuestion: "), F.col("text"), F.lit("\nEvidence:\n"), F.coalesce("pack", F.lit("No evidence was retrieved from the workspace."))).alias("prompt"))
+
+
+@_register(f"""WITH {_RANKED} SELECT item_id, rank AS place, doc_id, score, lang FROM r JOIN documents USING (doc_id) WHERE source IS NULL OR source <> 'src1'""")
+def rehydrated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged id and score lists back to documents; ids that are no longer there go, and keep their place."""
+    log = _bm25(spark, sf_dir).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("found"))
+    left = _table(spark, sf_dir, "documents").where(F.col("source").isNull() | (F.col("source") != "src1")).select("doc_id", "lang")
+    rows = log.select("item_id", F.posexplode("found").alias("at", "x")).select("item_id", (F.col("at") + 1).alias("place"), "x.doc_id", "x.score")
+    return rows.join(left, "doc_id").select("item_id", "place", "doc_id", "score", "lang")
+
+
 @_register(f"""WITH {_DENSE}, r AS {_TOP.format(q='query_id', k='vec_id', f='dn', n=K)},
 e AS (SELECT query_id, max(CAST(rank <= 1 AND a.label = b.label AS INT)) AS h1, max(CAST(a.label = b.label AS INT)) AS h4
   FROM r JOIN embeddings a ON a.vec_id = r.vec_id JOIN embeddings b ON b.vec_id = r.query_id GROUP BY 1)
@@ -358,8 +384,8 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _register.queries | records.register.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _register.sql | records.register.sql
