@@ -346,7 +346,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
         states = resolve([np.frombuffer(m, "<f4").reshape(h, -1).astype(float) for m, h in zip(pdf.matrix, pdf.height, strict=True)])
         return pdf[["row", "part"]].assign(entry=[0, *states[:-1]], exit=states)
 
-    states = of_chunk.groupBy("row").applyInPandas(scan, "row long, part long, entry long, exit long")
+    # a number of partitions that is stated stays: matrices are few bytes for their work, and would be merged into a few tasks
+    dealt = of_chunk.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    states = dealt.groupBy("row").applyInPandas(scan, "row long, part long, entry long, exit long")
 
     def back(batches):
         l, v = lattice(path), vocab.load(path)
