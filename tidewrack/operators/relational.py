@@ -62,3 +62,14 @@ def merge(indexes: list[DataFrame]) -> DataFrame:
     for k, df in enumerate(indexes[1:], 1):
         out = out.unionByName(df.withColumn("ord", F.lit(k)), allowMissingColumns=True)
     return out
+
+
+def month_documents(spans: DataFrame, after: str) -> DataFrame:
+    """id, text, events: one document for each month that some span (name, start, end) touches, its spans in order."""
+    month = F.col("month")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    line = F.concat(F.lit("- "), iso("start"), F.when(F.col("start") == F.col("end"), "").otherwise(F.concat(F.lit(" ~ "), iso("end"))), F.lit(": "), F.col("name"))
+    rows = spans.withColumn("month", F.explode(months_covered(F.col("start"), F.col("end")))).withColumn("line", line)
+    months = rows.groupBy(month).agg(F.array_sort(F.collect_list(F.struct("start", "end", "name", "line"))).alias("all"), F.count("*").alias("events"))
+    head = F.concat(F.year(month).cast("string"), F.lit("년 "), F.month(month).cast("string"), F.lit(f"월{after}\n\n"))
+    return months.select(F.concat(F.lit("calendar_month_"), F.date_format(month, "yyyy_MM")).alias("id"), F.concat(head, F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"), "events")

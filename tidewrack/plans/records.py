@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import boards as B
 from ..functions import menus as M
 from ..functions import text as T
+from ..operators import answers as A
 from ..operators import menus as D
 from ..operators import relational as R
 from .registry import Registry, table
@@ -263,3 +265,36 @@ def date_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     anchors = F.concat_ws(" ", *(F.date_format(F.date_add(day, n), "yyyy-MM-dd") for n in (0, -1, 1, 2)))
     return days.select("day", anchors.alias("anchors"), F.month(day).alias("this_month"), F.month(F.add_months(day, 1)).alias("next_month"), F.last_day(day).alias("month_end"))
+
+
+@register("""SELECT o_orderkey, '[' || strftime(o_orderdate, '%Y-%m-%d') || '][' || o_orderstatus || '] ' || o_orderpriority || ' & more (' || o_custkey || ') — http://board.example/view?no=' || o_orderkey || '&p=1' || CASE WHEN o_custkey % 5 = 0 THEN chr(10) || '본문 발췌: urgent' ELSE '' END AS line, o_custkey % 7 = 0 AS pinned FROM orders WHERE o_custkey % 11 <> 0""")
+def notice_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as rows of a board's table, parsed and printed; short rows go."""
+    key, by = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    link = F.concat(F.lit('<td class="t"> <a class="x" href="?no='), key, F.lit('&amp;p=1"><b>'), F.col("o_orderpriority"), F.lit("</b>\n &amp; more</a></td>"))
+    day = F.when(by % 11 == 0, "").otherwise(F.concat(F.lit("<td>"), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit(" </td>")))
+    html = F.concat(F.lit("<table><thead><tr><td>head</td></tr></thead><tbody><tr><td>"), F.when(by % 7 == 0, B.PINNED).otherwise(key), F.lit("</td>"), link, F.lit("<td>"), by.cast("string"), F.lit("</td>"), day, F.lit("</tr></tbody></table>"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", by, F.explode(B.notices(html, "http://board.example/view")).alias("n"))
+    return rows.select("o_orderkey", B.notice_line(F.col("n"), F.col("o_orderstatus"), F.when(by % 5 == 0, "urgent")).alias("line"), F.col("n.pinned").alias("pinned"))
+
+
+@register("""WITH s AS (SELECT l_returnflag AS name, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS z FROM lineitem GROUP BY l_returnflag, year(l_shipdate)),
+m AS (SELECT *, unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH)) AS m FROM s)
+SELECT 'calendar_month_' || strftime(m, '%Y_%m') AS id, CAST(year(m) AS VARCHAR) || '년 ' || CAST(month(m) AS VARCHAR) || '월 일정입니다.' || repeat(chr(10), 2) || string_agg('- ' || strftime(a, '%Y-%m-%d') || CASE WHEN a = z THEN '' ELSE ' ~ ' || strftime(z, '%Y-%m-%d') END || ': ' || name, chr(10) ORDER BY a, z, name) AS text, count(*) AS events FROM m GROUP BY m""")
+def calendar_month_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each month with the spans that touch it; spans are one for each flag and year, so a month holds few."""
+    d = F.col("l_shipdate").cast("date")
+    spans = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("name"), F.year(d).alias("year")).agg(F.min(d).alias("start"), F.max(d).alias("end"))
+    return R.month_documents(spans, " 일정입니다.")
+
+
+@register(f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'notices' END AS forced, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS rag, CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS fresh, CASE WHEN doc_id % 4 = 0 THEN 'again' END AS again, doc_id % 7 = 0 AS refused FROM documents),
+k AS (SELECT *, CASE WHEN forced IS NULL THEN CASE WHEN rag = '' THEN 'none' ELSE 'rag' END WHEN refused THEN 'refused' WHEN fresh <> '' THEN 'fresh' WHEN again IS NOT NULL THEN 'again' WHEN rag <> '' THEN 'rag' ELSE 'failed' END AS evidence FROM c)
+SELECT doc_id, evidence, CASE evidence WHEN 'none' THEN 'no evidence' WHEN 'refused' THEN 'refused' WHEN 'failed' THEN 'live failed' ELSE '[echo:local] q' || chr(10) || CASE evidence WHEN 'fresh' THEN fresh WHEN 'again' THEN again ELSE rag END || CASE WHEN forced IS NOT NULL AND evidence <> 'fresh' THEN '{A.STORED}' ELSE '' END END AS answer FROM k""")
+def routed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        k, F.lit("q").alias("question"), F.when(k % 2 == 0, "notices").alias("forced"), F.when(k % 3 == 0, "").otherwise(F.col("source")).alias("rag"),
+        F.when(k % 5 == 0, F.col("lang")).otherwise("").alias("fresh"), F.when(k % 4 == 0, "again").alias("again"), (k % 7 == 0).alias("refused"),
+    )
+    return A.routed(rows, A.Echo(), "no evidence", "live failed", "refused").select("doc_id", "evidence", "answer")
