@@ -293,6 +293,30 @@ def test_op8_recall_against_brute_force(spark):
     assert len(truth) > 10 and len(truth & found) >= 0.9 * len(truth)
 
 
+@pytest.mark.parametrize("length", [13, 14, 16])
+def test_op8_finds_short_runs_in_other_prose(spark, length):
+    r = random.Random(length)
+    words = [f"w{k}" for k in range(3000)]
+    items = [[r.choice(words) for _ in range(60)] for _ in range(30)]
+    items.append(["again", "and"] * 10 + [r.choice(words) for _ in range(30)])  # a run of few different words
+    texts, truth = [], set()
+    for k in range(200):
+        own = [r.choice(words) for _ in range(150)]
+        if k < 93:
+            a, at = (0 if k % 31 == 30 else r.randrange(60 - length)), r.randrange(len(own))
+            own[at:at] = items[k % 31][a : a + length]
+            truth.add((k, k % 31))
+        elif k < 120:
+            at = r.randrange(len(own))
+            own[at:at] = items[k % 30][5 : 5 + 12]
+        texts.append((k, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    space = lsa_search.fit(df)
+    assert {(x.doc_id, x.item_id) for x in lsa_search.search(df, bench, space).collect()} == truth
+    assert {x.doc_id for x in lsa_search.without_leaks(df, bench, space).collect()} == set(range(200)) - {d for d, _ in truth}
+
+
 def test_op8_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
