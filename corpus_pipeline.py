@@ -23,10 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate class, once."""
+    """Keeps the document with the least doc_id of each near-duplicate class, once.
+
+    Classes go by their root: a doc_id, or null, that stands for several texts can be the id of several.
+    """
     names = docs.columns
     member = minhash_join.group(docs.select("doc_id", "text"))
-    first = member.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id", F.col("rep").alias("k_id")).agg(F.min("digest").alias("k_digest")).select("k_id", "k_digest")
+    first = member.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("root", F.col("rep").alias("k_id")).agg(F.min("digest").alias("k_digest")).select("k_id", "k_digest")
     keyed = docs.withColumn("k_own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     found = keyed.join(first, keyed.doc_id.eqNullSafe(first.k_id) & (keyed.k_own == first.k_digest), "left_semi")
     return found.dropDuplicates(["doc_id", "k_own"]).select(*names)

@@ -37,6 +37,14 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert kept == {r.class_id for r in minhash_join.group(docs).select("class_id").distinct().collect()}
 
 
+def test_unlike_texts_of_one_key_all_stay(spark, docs):
+    names = [" ".join(f"{x}{k}" for k in range(30)) for x in "abcdef"]
+    keyed = [(None, names[0]), (None, names[1]), (None, names[1]), (3, names[2]), (3, names[3]), (3, names[3]), (4, names[3] + " more"), (5, names[4]), (None, names[4]), (5, names[5])]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in keyed], docs.schema)
+    kept = [(r.doc_id, r.text) for r in P.near_duplicates(spark, df, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(None, names[0]), (None, names[1]), (3, names[2]), (3, names[3]), (5, names[4]), (5, names[5])], key=str)
+
+
 def test_leaks_go_and_others_stay(spark, docs):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaking = {r.doc_id for r in docs.collect() if any(t in r.text for t in items)}

@@ -157,13 +157,14 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """key, digest, class_id, n_links of each row, and rep (the least key of its text).
+    """key, digest, class_id, n_links of each row, rep (the least key of its text) and root.
 
     Two rows are linked if their shingle sets have the given Jaccard similarity; equal
     texts are.  class_id is the least key of the rows that links connect; n_links counts
     the other rows linked to a row.  A null text counts as empty; texts without words
     are linked to equal ones only.  Repeated rows count as rows.  Null keys come last, so
-    a class of them only has a null id.
+    a class of them only has a null id.  Keys that stand for several texts can give several
+    classes one id; root, a digest, is each class's own.
     """
     bands, rows = banding(similarity, recall)
     kind = df.schema[key].dataType.simpleString()
@@ -264,8 +265,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     classes = connect(links.select("a", "b")).select(F.col("node").alias("digest"), "root")
     named = reps.join(classes, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = keep(named.join(ids, "root").join(counted, "digest", "left").select("digest", "rep", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "minhash-classes")
-    return signed.select(key, "digest").join(named, "digest").select(key, "digest", "class_id", "n_links", "rep")
+    named = keep(named.join(ids, "root").join(counted, "digest", "left").select("digest", "rep", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "minhash-classes")
+    return signed.select(key, "digest").join(named, "digest").select(key, "digest", "class_id", "n_links", "rep", "root")
 
 
 def marks(slots: DataFrame) -> np.ndarray:
