@@ -277,6 +277,21 @@ def test_op6_redaction(spark):
     assert [r.text for r in pii.redact(df, pii.learn()).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE].", None, ""]
 
 
+def test_op6_redacts_long_secrets_whole(spark):
+    r = random.Random(8)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    mixed = letters + "0123456789"
+    secrets = [pick(mixed + more, n) for n in (257, 300, 342, 683, 1500, 5000) for more in ("", "-_", "+/") for _ in range(4)] + [pick("0123456789abcdef", n) for n in (300, 512) for _ in range(4)]
+    df = spark.createDataFrame([(k, f"{lead}{s}{end} for them") for k, (s, (lead, end)) in enumerate((s, x) for s in secrets for x in [("token=", ""), ('use api_key: "', '"'), ("Bearer ", "")])], "doc_id long, text string")
+    left = {x.doc_id: x.text for x in pii.redact(df, pii.learn()).collect()}
+    assert len(left) == 3 * len(secrets)
+    whole = [k for k, t in left.items() if "[SECRET]" in t and not re.search(r"[^\s\[\]]{14}", t)]
+    assert len(whole) >= 0.98 * len(left), [left[k] for k in left if k not in whole][:9]
+    prose = "-".join(pick("etaoins", 6) for _ in range(60)) + "-12"
+    assert pii.find(f"see {prose} there", pii.learn())[1] == []
+
+
 def test_op7_counts(spark, docs, odd, v):
     for df in (docs, odd):
         for r in token_counts.count_tokens(df, carry=["text"]).collect():
