@@ -230,6 +230,17 @@ def test_op5_rules_and_trees(spark):
     assert url_gbt.judge(pages.limit(0), url_gbt.learn(spark.createDataFrame([], "url string, label int")), queries.URL_RULES).count() == 0
 
 
+def test_op5_counts_suffixes_over_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(url_gbt, "SAMPLE", 300)
+    urls = [(f"http://a{k}.rare.test/{k}", 1) for k in range(90)] + [(f"http://b{k}.few.test/{k}", 1) for k in range(49)] + [(f"http://c{k}.site{k % 30}.test/{k}", k % 3 == 0) for k in range(1800)]
+    labelled = spark.createDataFrame([(u, int(y)) for u, y in [*urls, *urls[:40]]], "url string, label int")
+    model = url_gbt.learn(labelled, trees=2)
+    stats = {r.suffix: (r.blocked, r.seen) for r in model.suffixes.collect()}
+    assert stats == {"rare.test": (90, 90), **{f"site{k}.test": (60 * (k % 3 == 0), 60) for k in range(30)}}
+    assert model.prior == pytest.approx((90 + 49 + 600) / (90 + 49 + 1800))
+    assert url_gbt.judge(labelled, model, []).count() == len(urls) + 40
+
+
 def test_op5_query(spark):
     for r in queries.op5_url_gbt(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         host, path, rule, said = brute_rule(r.url)

@@ -91,7 +91,7 @@ class Trees:
     base: float = 0.0
     #: One dict a tree: node -> (feature, bin) or a leaf's value.  Node k has children 2k and 2k+1.
     trees: list[dict] = field(default_factory=list)
-    #: At most SAMPLE rows: suffix, blocked, seen.
+    #: suffix, blocked, seen over all labelled URLs, of the suffixes seen LEAST_SEEN times or more.
     suffixes: DataFrame | None = None
     prior: float = 0.5
 
@@ -105,7 +105,7 @@ class Trees:
         return sum((self.leaf(t) for t in self.trees), F.lit(float(self.base)))
 
 
-#: Suffixes seen less often in the sample give the prior, so that no URL's own label is its statistic.
+#: Suffixes seen less often give the prior, so that no URL's own label is its statistic.
 LEAST_SEEN = 50
 
 
@@ -120,20 +120,22 @@ def _binned(cols: list[Column], cuts: list[list[float]]) -> Column:
 def learn(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = TREES, depth: int = DEPTH) -> Trees:
     """Boost logistic-loss trees on (url, label), label 1 to block.
 
-    At most SAMPLE distinct labelled URLs are used; null labels are left out.  With no
-    rows or one label only, the model gives the prior.
+    The prior and the suffixes' statistics are counted over all distinct labelled URLs, the
+    trees are fitted on at most SAMPLE of them; null labels are left out.  With no rows or
+    one label only, the model gives the prior.
     """
-    sample = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(label).cast("int").alias("y")).distinct()
-    sample = keep(sample.orderBy(F.xxhash64("url"), "url", "y").limit(SAMPLE).withColumn("suffix", suffix_of(host_of(F.col("url")))), "url-sample")
-    n, prior = sample.agg(F.count("*"), F.avg("y")).first()
+    known = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(label).cast("int").alias("y")).distinct()
+    known = keep(known.withColumn("suffix", suffix_of(host_of(F.col("url")))), "url-labelled")
+    sample = keep(known.orderBy(F.xxhash64("url"), "url", "y").limit(SAMPLE), "url-sample")
+    n, prior = known.agg(F.count("*"), F.avg("y")).first()
     prior = 0.5 if prior is None else prior
-    stats = keep(sample.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("*").alias("seen")), "url-suffixes")
+    stats = keep(known.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("*").alias("seen")).where(F.col("seen") >= LEAST_SEEN), "url-suffixes")
     names = [*FEATURES, "suffix_rate"]
     model = Trees(names, [[] for _ in names], suffixes=stats, prior=prior)
     model.base = math.log((prior + 1e-3) / (1 - prior + 1e-3))
     if not n or prior in (0.0, 1.0):
         return model
-    own = sample.join(F.broadcast(stats), "suffix")
+    own = sample.join(stats, "suffix", "left")
     wide = keep(with_features(own, F.col("url")).select("y", *(F.col(f"f_{k}").alias(k) for k in FEATURES), _rate(prior).alias("suffix_rate")), "url-features")
     points = [(k + 1) / BINS for k in range(BINS - 1)]
     found = wide.agg(*(F.percentile_approx(c, points, 1000).alias(c) for c in names)).first()
@@ -198,7 +200,7 @@ def judge(df: DataFrame, model: Trees, rules: list[tuple[str, str, str]], url: s
     kept = [c for c in df.columns if c not in new]
     out = with_features(df.select(*kept), F.col(url))
     rule, said = rule_of(F.col("u_host"), F.col("u_path"), rules)
-    stats = F.broadcast(model.suffixes.select(F.col("suffix").alias("u_match"), "blocked", "seen"))
+    stats = model.suffixes.select(F.col("suffix").alias("u_match"), "blocked", "seen")
     out = out.withColumns({"u_suffix": suffix_of(F.col("u_host")), "u_rule": rule, "u_said": said}).join(stats, F.col("u_suffix") == F.col("u_match"), "left")
     out = out.withColumn("_bins", _binned([*(F.col(f"f_{c}") for c in FEATURES), _rate(model.prior)], model.cuts))
     out = out.withColumn("u_score", 1 / (1 + F.exp(-model.margin())))
