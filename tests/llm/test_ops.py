@@ -383,6 +383,12 @@ def test_op9_against_all_pairs(spark):
     assert got == {i: (root[i], sum(link[i])) for i in range(n)}
 
 
+def test_op9_cells_of_short_copies_are_bounded(spark):
+    df = spark.range(20_000).selectExpr("1 AS root", "41L AS n_shingles").union(spark.range(4).selectExpr("2", "300000L"))
+    got = {r.root: r.blocks for r in df.groupBy("root").agg(minhash_join.verifying_blocks().alias("blocks")).collect()}
+    assert got == {1: 20, 2: 3}
+
+
 def test_op9_banding():
     bands, rows_ = minhash_join.banding(0.8, 0.999)
     assert 1 - (1 - 0.8**rows_) ** bands >= 0.999 > 1 - (1 - 0.8**rows_) ** (bands - 1)

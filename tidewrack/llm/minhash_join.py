@@ -223,7 +223,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     # the groups' full shingle sets, in cells of bounded size
     member = tight.join(reps, tight.node == reps.digest).join(one.select("digest", "n_shingles"), "digest").select("digest", "rep", "copies", "root", "n_shingles")
     member = keep(member, "minhash-members")
-    width = member.groupBy("root").agg(F.ceil(F.sum("n_shingles") / CELL_SHINGLES).cast("int").alias("blocks"))
+    width = member.groupBy("root").agg(verifying_blocks().alias("blocks"))
     member = member.join(width, "root").select("digest", F.col("rep").alias("_rep"), "copies", "root", "blocks")
     slot = 1 + F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
     seen = marks(member.select(slot.alias("slot")))
@@ -269,6 +269,11 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     return signed.select(key, "digest").join(named, "digest").select(key, "digest", "class_id", "n_links", "rep", "root")
 
 
+def verifying_blocks():
+    """Blocks of a group, so that a cell is bounded in shingles and, for its square arrays, in sets."""
+    return F.ceil(F.greatest(F.sum("n_shingles") / CELL_SHINGLES, F.count("*") / CELL)).cast("int")
+
+
 def marks(slots: DataFrame) -> np.ndarray:
     """Marks the slots, from 1 on, that occur; a fixed number of bits, gathered as a few partial bitmaps."""
     got = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
