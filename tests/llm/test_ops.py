@@ -415,3 +415,31 @@ def test_op10_finds_changed_templates(spark):
     df = spark.createDataFrame([(1, "before this " * 20 + text), (2, other)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert got[1].labels == "mit" and got[1].n_base == 0 and 0.5 <= got[1].score < 1 and got[2].labels == ""
+
+
+def test_op6_prefilter_lets_every_span_pass():
+    r = random.Random(12)
+    model = pii.learn(1500)
+    parts = ["bob", " at ", "[at]", "(AT) ", " dot ", " (dot) ", "example", "com", "token", "API_key", "Auth", ":", "=", '"', " ", " ", " ", "\n", "sécret", "secret", "Key", "paſſword", "abcdefghijkl", "plain words here", "kleiner", "."]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(2, 14))) for _ in range(6000)]
+    texts += ["please write to bob at example [dot] com now", "please write to bob at example [dot] com now 7"]
+    flags = pii._telling(pa.array(texts, pa.large_string()))
+    assert all(some for t, some in zip(texts, flags) if pii.candidates(t))
+    assert pii.find(texts[-2], model) == pii.find(texts[-1], model) and pii.find(texts[-1], model)[1]
+    assert not pii._telling(pa.array(["plain words at a place, and no more"], pa.large_string()))[0]
+
+
+def test_op6_spans_never_overlap_and_long_texts_take_linear_time():
+    import time
+
+    model = pii.learn(1500)
+    unit = "token = sk4111 1111 1111 1111abcdEFGH12345678 mail a@b.de call (212) 555-0199 api_key: 8f14e45fceea167a5a36dedd4bea2543 and on "
+    took = []
+    for n in (200, 800):
+        began = time.time()
+        base, spans = pii.find(unit * n, model)
+        took.append(time.time() - began)
+        added = sorted(set(spans) - set(base))
+        assert set(base) <= set(spans) and len(added) >= n
+        assert all(z <= b for (_, _, z), (b, _, _) in zip(added, added[1:]))
+    assert took[1] < 10 * took[0]

@@ -11,6 +11,7 @@ telling contexts against look-alikes such as dates, prices, versions and plain w
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -199,7 +200,8 @@ def find(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tupl
     if not offered:
         return base, base
     p = model.trees.probability(describe(text, offered))
-    taken = [(a, z) for a, _, z in base]
+    taken = Taken([(a, z) for a, _, z in base])
+    numbers = [(b, e) for b, kind, e in base if kind >= 2]
     spans = list(base)
     for k in np.argsort(-p, kind="stable").tolist():
         a, kind, z = offered[k]
@@ -207,15 +209,42 @@ def find(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tupl
             continue
         parts = [(a, z)]
         if kind == KINDS.index("secret"):
-            for b, number, e in base:
-                if number >= 2 and a <= b and e <= z:
-                    parts = [(x, y) for i, j in parts for x, y in ((i, min(j, b)), (max(i, e), j)) if x < y]
-        if all(y <= b or x >= e for x, y in parts for b, e in taken):
-            taken += parts
-            spans += [(x, kind, y) for x, y in parts]
+            for b, e in numbers[bisect.bisect_left(numbers, (a, a)) :]:
+                if b >= z:
+                    break
+                if e <= z and parts and parts[-1][1] > b:
+                    i, j = parts.pop()
+                    parts += [(x, y) for x, y in ((i, min(j, b)), (max(i, e), j)) if x < y]
+        if all(map(taken.free, parts)):
+            for x, y in parts:
+                taken.add(x, y)
+                spans.append((x, kind, y))
     return base, sorted(spans)
 
 
+class Taken:
+    """Disjoint intervals in order, so that a question costs the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(z, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def free(self, span: tuple[int, int]) -> bool:
+        k = bisect.bisect_left(self.starts, span[1])
+        return k == 0 or self.ends[k - 1] <= span[0]
+
+    def add(self, a: int, z: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, z)
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
@@ -223,11 +252,12 @@ def _joined(spans) -> str:
 _NO_SPAN = hashlib.sha256(b"").hexdigest()
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = _DIGIT[64] = True
-_WORDY = re.compile(r"(?i)token|secret|passw|api_?key|key|auth| at |\[at\]|\(at\)")
+#: What each generator that needs no digit needs at least: the key word and its sign, or the words at and dot after a space or bracket.
+_WORDY = r"(?is)(token|secret|password|passwd|api_?key|key|auth)[\"']?[\s\x{80}-\x{10FFFF}]{0,3}[=:]|[ \[(]at.*[ \[(]dot"
 
 
 def _telling(texts: pa.Array) -> list[bool]:
-    """Rows that can hold a span: a digit, an @ or a telling word."""
+    """Rows that can hold a span, by a pattern that lets all pass that a base kind or a generator could match."""
     import pyarrow.compute as pc
 
     out = np.zeros(len(texts), bool)
@@ -235,15 +265,16 @@ def _telling(texts: pa.Array) -> list[bool]:
         c = t.count_bytes(_DIGIT)
         out[i:j] = c[t.off[1:]] > c[t.off[:-1]]
     rest = pa.array(np.flatnonzero(~out))
-    hint = pc.match_substring_regex(texts.take(rest), r"(?i)(token|secret|passw|api_?key|key|auth)[\"']?\s{0,3}[=:]| at .* dot |[\[(] ?at ?[\])]")
-    out[np.asarray(rest)] = np.asarray(hint)
+    out[np.asarray(rest)] = np.asarray(pc.match_substring_regex(texts.take(rest), _WORDY))
     return out.tolist()
 
 
 def detect(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
-    A null text counts as empty; rows are independent.  Clashing columns are replaced.
+    A null text counts as empty; rows are independent, so repeated rows get equal spans
+    and an empty table gives an empty one.  Texts of any length are read whole.  Clashing
+    columns are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -262,7 +293,13 @@ def detect(df: DataFrame, model: Model, text: str = "text", carry: list[str] | N
 
 
 def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The frame with each span of ``text`` replaced by its kind in brackets; a null text stays null."""
+    """The frame with each span of ``text`` replaced by its kind in brackets.
+
+    A null text stays null; all other columns stay, whatever their names, but a column
+    called _redacted is refused.  Rows are independent and keep their place.
+    """
+    if "_redacted" in df.columns:
+        raise ValueError("the name _redacted is taken")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def measure(texts: pa.Array) -> dict:
@@ -283,4 +320,4 @@ def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return {"_redacted": pa.array(out, pa.string())}
 
     made = add_columns(df, text, "_redacted string", measure)
-    return made.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_redacted"))).drop("_redacted")
+    return made.select(*(F.when(F.col(f"`{c}`").isNotNull(), F.col("_redacted")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
