@@ -443,3 +443,65 @@ def test_op6_spans_never_overlap_and_long_texts_take_linear_time():
         assert set(base) <= set(spans) and len(added) >= n
         assert all(z <= b for (_, _, z), (b, _, _) in zip(added, added[1:]))
     assert took[1] < 10 * took[0]
+
+
+def test_op10_cuts_long_chains_apart_instead_of_dropping_them(spark):
+    template = license_scan.TEMPLATES[0][1]
+    gram = " ".join(license_scan.words_of(template)[:3])
+    # a whole template, and so many chance k-grams after it that their diagonals chain far beyond two lengths
+    text = template + (" " + gram) * 400
+    few = spark.createDataFrame([(1, text), (2, "so " * 50 + template + " and " + template)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(few).collect()}
+    assert got[1].labels == "mit" and got[1].score == 1.0
+    assert got[2].labels == "mit" and len(got[2].spans) == 2
+    assert license_scan.scan(few, templates=[], phrases=[]).where("labels = ''").count() == 2
+
+
+def brute_licenses(text):
+    """Labels and score by counting all k-grams of whole word lists, without hashes."""
+    words = license_scan.words_of(text or "")
+    labels, best = {x for p, x in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}, 0.0
+    best = 1.0 if labels else 0.0
+    for label, t in license_scan.TEMPLATES:
+        own = license_scan.words_of(t)
+        grams = [tuple(own[i : i + 3]) for i in range(len(own) - 2)]
+        votes = {}
+        for i in range(len(words) - 2):
+            for j, g in enumerate(grams):
+                if g == tuple(words[i : i + 3]):
+                    votes.setdefault(i - j, []).append(i)
+        clusters = []
+        for d in sorted(votes):
+            if clusters and d - clusters[-1][-1] <= license_scan.MERGE:
+                clusters[-1].append(d)
+            else:
+                clusters.append([d])
+        for c in clusters:
+            places = [i for d in c for i in votes[d]]
+            parts = {0: c}
+            if max(places) + 3 - min(places) > 2 * len(own):
+                peak = max(c, key=lambda d: (len(votes[d]), -d))
+                parts = {}
+                for d in c:
+                    parts.setdefault(int(np.floor((d - peak) / len(own) + 0.5)), []).append(d)
+            for part in parts.values():
+                share = min(1.0, sum(len(votes[d]) for d in part) / len(grams))
+                if share >= license_scan.COVER:
+                    labels.add(label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_op10_labels_and_score_by_brute_force(spark):
+    r = random.Random(5)
+    texts = []
+    for k in range(60):
+        words = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].split()
+        for _ in range(r.randint(0, 14)):
+            i = r.randrange(len(words))
+            words[i : i + r.randint(0, 1)] = [r.choice(["other", "the", "software", "and this"])]
+        texts.append(" ".join(["some words"] * r.randint(0, 9) + words[r.randint(0, 8) :] + ["cc by nc"] * (k % 5 == 0) + words[: r.randint(0, 20)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in license_scan.scan(df).collect():
+        labels, score = brute_licenses(texts[row.doc_id])
+        assert (row.labels, round(row.score, 9)) == (labels, round(score, 9))

@@ -3,11 +3,12 @@
 All rolling word k-gram hashes of the texts are joined to the places of equal k-grams in
 the templates.  A pair votes for the diagonal place-in-text minus place-in-template;
 votes are summed by diagonal, neighbouring diagonals are merged, and a merged span is
-verified by the share of its template that it covers.  A short phrase stands where its
-diagonal has a vote for each of its k-grams.
+verified by the share of its template's k-grams that it covers.  Diagonals that chance
+votes chain to more than two lengths of the template are cut apart around the strongest
+one.  A short phrase stands where its diagonal has a vote for each of its k-grams.
 
-The template k-grams are a small fixed set, so texts send on only hashes that are among
-them; others would find nothing in the join.
+The template k-grams are a small fixed set, so the join begins as a semi-join in the text
+kernel: texts send on only hashes that are among them; others would find nothing.
 """
 
 from __future__ import annotations
@@ -62,7 +63,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES
 
     spans holds (label, first word, last word, share covered) of the verified templates.
     A null text counts as empty; each row keeps its own line, repeated rows and null keys
-    too, as they are followed by a row number.
+    too, as they are followed by a row number.  Texts are read whole, whatever their
+    length.  Only ``key`` and ``text`` of the input are used, so other columns can't clash.
+    An empty table gives an empty one; without phrases or templates nothing is found.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
@@ -79,7 +82,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES
                 starts, ends, rows = t.words(ALNUM_WORDS)
                 h, at = windows(t.hashes(starts, ends), rows, K)
                 h = h.view(np.int64)
-                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
                 first = np.searchsorted(rows, np.arange(t.n))
                 h, at = h[hit], at[hit]
                 row = rows[at]
@@ -96,14 +99,20 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES
     lines = votes.groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).join(F.broadcast(about), "template")
     base = lines.where(F.col("base") & (F.col("votes") == F.col("grams"))).select("row", "label", F.lit(True).alias("base"), F.col("diagonal").alias("at"), (F.col("diagonal") + F.col("words") - 1).alias("to"), F.lit(1.0).alias("share"))
     ordered = Window.partitionBy("row", "template").orderBy("diagonal")
-    merged = (
+    clustered = (
         lines.where(~F.col("base"))
         .withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered) > MERGE).cast("int"), F.lit(1)))
         .withColumn("cluster", F.sum("new").over(ordered))
-        .groupBy("row", "template", "label", "grams", "words", "cluster")
+    )
+    own = Window.partitionBy("row", "template", "cluster")
+    wide = F.max("hi").over(own) + K - F.min("lo").over(own) > 2 * F.col("words")
+    peak = F.max_by("diagonal", F.struct("votes", -F.col("diagonal"))).over(own)
+    merged = (
+        clustered.withColumn("part", F.when(wide, F.floor((F.col("diagonal") - peak) / F.col("words") + 0.5)).otherwise(0))
+        .groupBy("row", "template", "label", "grams", "words", "cluster", "part")
         .agg(F.sum("votes").alias("votes"), F.min("lo").alias("at"), (F.max("hi") + K - 1).alias("to"))
         .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
-        .where((F.col("share") >= COVER) & (F.col("to") - F.col("at") + 1 <= 2 * F.col("words")))
+        .where(F.col("share") >= COVER)
         .select("row", "label", F.lit(False).alias("base"), "at", "to", "share")
     )
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

@@ -72,7 +72,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash_join": OP9}
+    return {"op9_minhash_join": OP9, "op10_license_scan": op10_sql()}
+
+
+def op10_sql() -> str:
+    """The scan in SQL, on the k-grams themselves instead of their hashes."""
+    named = [*((p, label, True) for p, label in license_scan.PHRASES), *((t, label, False) for label, t in license_scan.TEMPLATES)]
+    grams, about = [], []
+    for k, (t, label, base) in enumerate(named):
+        w = license_scan.words_of(t)
+        own = [" ".join(w[i : i + license_scan.K]) for i in range(len(w) - license_scan.K + 1)]
+        grams += [f"('{g}', {k}, {i})" for i, g in enumerate(own)]
+        about.append(f"({k}, '{label}', {base}, {len(own)}, {len(w)})")
+    return OP10.format(grams=", ".join(grams), about=", ".join(about), merge=license_scan.MERGE, cover=license_scan.COVER, k=license_scan.K)
+
+
+OP10 = r"""
+WITH t(gram, template, tpos) AS (VALUES {grams}), about(template, label, base, grams, words) AS (VALUES {about}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT row, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'pos': i - 1, 'gram': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}}), recursive := true) FROM d),
+v AS (SELECT row, template, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM g JOIN t USING (gram) GROUP BY 1, 2, 3),
+l AS (SELECT * FROM v JOIN about USING (template)),
+b AS (SELECT row, label, true AS base, diagonal AS spot, 1.0::DOUBLE AS share FROM l WHERE base AND votes = grams),
+n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= {merge} THEN 0 ELSE 1 END AS fresh FROM l WHERE NOT base),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY diagonal) AS cluster FROM n),
+e AS (SELECT *, max(hi) OVER o + {k} - min(lo) OVER o > 2 * words AS wide, arg_max(diagonal, votes * 1000000000 - diagonal) OVER o AS peak FROM c WINDOW o AS (PARTITION BY row, template, cluster)),
+m AS (SELECT row, label, least(1.0, sum(votes) / any_value(grams))::DOUBLE AS share FROM e
+      GROUP BY row, template, label, cluster, CASE WHEN wide THEN floor((diagonal - peak) / words + 0.5) ELSE 0 END),
+f AS (SELECT row, label, base, spot, share FROM b UNION ALL SELECT row, label, false, NULL, share FROM m WHERE share >= {cover}),
+r AS (SELECT row, count(*) FILTER (WHERE base) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN r USING (row)
+"""
 
 
 #: Exact: every pair of different texts that share a shingle, then the closure of the links.
