@@ -505,3 +505,49 @@ def test_op10_labels_and_score_by_brute_force(spark):
     for row in license_scan.scan(df).collect():
         labels, score = brute_licenses(texts[row.doc_id])
         assert (row.labels, round(row.score, 9)) == (labels, round(score, 9))
+
+
+def crf_texts(seed, n):
+    """Texts of good prose lines and of junk lines, and which lines are junk."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
+    junk = lambda: " | ".join(word() + "!!" for _ in range(14)).upper() + " |"
+    out = []
+    for k in range(n):
+        bad = [k % 2 == 1 and (i >= 4) for i in range(12)]
+        out.append(("\n".join(junk() if b else prose() for b in bad), int(k % 2 == 0), bad))
+    return out
+
+
+def test_op4_lines_of_one_text_get_different_labels():
+    from tidewrack.llm.arrow_text import slices
+
+    texts = crf_texts(3, 120)
+    found = []
+    for _, _, t in slices(pa.array([t for t, _, _ in texts], pa.large_string())):
+        own, row, length = line_crf.line_features(t)
+        cut = np.searchsorted(row, np.arange(t.n + 1))
+        found += [line_crf.sampled(own[a:z], length[a:z], y) for a, z, (_, y, _) in zip(cut[:-1], cut[1:], texts, strict=True)]
+    field = line_crf.fit(found)
+    unseen = crf_texts(4, 40)
+    for text, label, bad in unseen:
+        t = next(slices(pa.array([text], pa.large_string())))[2]
+        own, row, _ = line_crf.line_features(t)
+        good, _, _ = line_crf.forward_backward(field.emit(line_crf.with_neighbours(own, row)), np.array([0]), np.array([len(own)]), field.step)
+        assert ((good < 0.5) == np.array(bad)).mean() >= 0.9
+        assert (field.score(t)[0] >= 0.5) == label
+
+
+def test_op4_long_labelled_texts_take_part(spark):
+    short = crf_texts(5, 40)
+    long = ["\n".join(t.split("\n")[k % 12] for k in range(3000)) for t, _, _ in (short[0], short[1])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, _, _ in short] + long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y, _) in enumerate(short)] + [(40, 1), (41, 0)], "doc_id long, quality int")
+    x = line_crf.sampled(np.ones((3000, len(line_crf.FEATURES)), np.float32), np.ones(3000, np.int64), 1)
+    assert len(x.lines) == line_crf.SAMPLE_LINES and len(set(x.run.tolist())) == line_crf.RUNS
+    only = labels.where("doc_id >= 40")
+    field, rest = (line_crf.learn(docs, x) for x in (only, labels.where("doc_id < 40")))
+    kept = [y for k, y in ((40, 1), (41, 0)) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert kept and field.prior == np.mean(kept)
+    assert not np.array_equal(line_crf.learn(docs, labels).weight, rest.weight)

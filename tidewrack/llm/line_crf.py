@@ -3,7 +3,12 @@
 Each line that has a word is good (1) or bad (0).  A line's features are its own and
 those of the lines before and after it; the chain's transition weights tie neighbours.
 Forward-backward gives each line's probability of being good, and a document's quality
-is the mean of these, weighted by the lines' lengths.
+is the mean of these, weighted by the lines' lengths and mapped to a probability.
+
+Labels are known for documents only.  A line's own label is learned from them: a first
+field sees each line alone, so a line that looks as lines of good documents do counts as
+good in a bad one too, and the other way round.  At least half of a document, by length,
+keeps the document's label, the lines that suit it best.
 """
 
 from __future__ import annotations
@@ -19,9 +24,12 @@ from .arrow_text import SPACE_WORDS, Texts, add_columns, column, mix, slices
 
 #: Labelled rows that the field is fitted on, taken by the order of their keys' hashes.
 SAMPLE = 4000
-#: Sampled texts of more lines are left out of the fit; scoring has no such bound.
-SAMPLE_LINES = 2000
+#: Lines that a sampled text brings to the fit; a longer one brings RUNS runs of lines, spread
+#: evenly over it.  Scoring has no such bound.
+SAMPLE_LINES, RUNS = 128, 4
 STEPS = 150
+#: A line counts with the other label from this probability on, good and bad documents being held equally likely.
+SURE = 0.6
 
 
 def _marks(chars: bytes) -> np.ndarray:
@@ -100,11 +108,11 @@ def with_neighbours(own: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of good, summed pair marginals and log-likelihood normaliser of many chains.
 
-    emit: log-odds of good for each line; step: 2x2 transition weights.  The chains are
-    advanced together, one line at a time.
+    emit: log-odds of good for each line; step: 2x2 transition weights; weight: what a line's
+    pair with the next one counts.  The chains are advanced together, one line at a time.
     """
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
@@ -123,7 +131,7 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     for t in range(most - 2, -1, -1):
         at = starts[: live[t + 1]] + t
         ahead = e[at + 1] * b[at + 1] / scale[at + 1][:, None]
-        pairs += np.einsum("ni,ij,nj->ij", a[at], m, ahead)
+        pairs += np.einsum("ni,ij,nj->ij", a[at] if weight is None else a[at] * weight[at][:, None], m, ahead)
         b[at] = ahead @ m.T
     both = a * b
     return both[:, 1] / both.sum(1), pairs, float(np.log(scale).sum())
@@ -136,6 +144,8 @@ class LineField:
     weight: np.ndarray
     step: np.ndarray
     prior: float
+    #: Slope and offset of the map from mean marginals to probabilities.
+    turn: tuple[float, float] = (1.0, 0.0)
 
     def emit(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.spread) @ self.weight
@@ -149,43 +159,118 @@ class LineField:
             good, _, _ = forward_backward(self.emit(with_neighbours(own, rows)), starts, np.diff(np.append(starts, len(rows))), self.step)
             total = np.bincount(rows, weights=length, minlength=t.n)
             some = total > 0
-            out[some] = (np.bincount(rows, weights=good * length, minlength=t.n)[some] / total[some]).clip(0, 1)
+            out[some] = self.calibrated((np.bincount(rows, weights=good * length, minlength=t.n)[some] / total[some]).clip(0, 1))
         return out
 
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.turn[0] * _logit(share) + self.turn[1])))
+
 
-def fit(chains: list[tuple[np.ndarray, int]], steps: int = STEPS, penalty: float = 1e-3) -> LineField:
-    """From (own features of a text's lines, label); its lines start out with the text's label.
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
 
-    Full-batch Adam on the penalised conditional log-likelihood, so the result depends on
-    the chains alone.
+
+@dataclass(frozen=True)
+class Sampled:
+    """Lines of one labelled text: features with those of neighbours, lengths, the run of each, and the label."""
+
+    lines: np.ndarray
+    length: np.ndarray
+    run: np.ndarray
+    label: int
+
+
+def sampled(own: np.ndarray, length: np.ndarray, label: int) -> Sampled:
+    """All lines of a text of up to SAMPLE_LINES, else RUNS runs spread over it; neighbours are those of the text."""
+    x = with_neighbours(own, np.zeros(len(own), np.int64))
+    if len(x) <= SAMPLE_LINES:
+        return Sampled(x, length, np.zeros(len(x), np.int64), label)
+    size = SAMPLE_LINES // RUNS
+    at = np.concatenate([np.arange(size) + k * (len(x) - size) // (RUNS - 1) for k in range(RUNS)])
+    return Sampled(x[at], length[at], np.repeat(np.arange(RUNS), size), label)
+
+
+def line_labels(texts: list[Sampled], good: np.ndarray) -> np.ndarray:
+    """Labels of all lines, given how good each looks alone."""
+    out, at = [], 0
+    for t in texts:
+        p = good[at : at + len(t.length)] if t.label else 1 - good[at : at + len(t.length)]
+        at += len(t.length)
+        order = np.argsort(-p, kind="stable")
+        total = np.cumsum(t.length[order])
+        must = np.zeros(len(p), bool)
+        must[order[: int(np.searchsorted(total, total[-1] / 2)) + 1]] = True
+        out.append(np.where(must | (p > 1 - SURE), t.label, 1 - t.label))
+    return np.concatenate(out).astype(float)
+
+
+def _train(z: np.ndarray, y: np.ndarray, weight: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chain: np.ndarray, steps: int, penalty: float, tied: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Full-batch Adam on the penalised conditional log-likelihood; without ties each line stands alone.
+
+    Every text weighs alike, whatever its number of lines: a line weighs the inverse of
+    its text's lines, and so do a chain's transitions.
     """
-    width = 3 * len(FEATURES) + 3
-    if not chains or len({y for _, y in chains}) < 2:
-        prior = float(chains[0][1]) if chains else 0.5
-        return LineField(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), prior)
-    lengths = np.array([len(x) for x, _ in chains])
-    rows = np.repeat(np.arange(len(chains)), lengths)
-    x = with_neighbours(np.concatenate([c for c, _ in chains]), rows).astype(np.float64)
-    y = np.repeat(np.array([c for _, c in chains], float), lengths)
-    mean, spread = x.mean(0), x.std(0) + 1e-3
-    mean[-1], spread[-1] = 0, 1
-    z = (x - mean) / spread
-    starts = np.cumsum(lengths) - lengths
-    # every text weighs alike, whatever its number of lines
-    inner = np.flatnonzero(rows[1:] == rows[:-1])
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), 1)
+    inner = np.flatnonzero(chain[1:] == chain[:-1])
+    np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), weight[inner])
     w, step = np.zeros(z.shape[1]), np.zeros((2, 2))
     moments = [np.zeros(len(w) + 4), np.zeros(len(w) + 4)]
-    n = len(y)
     for k in range(1, steps + 1):
-        good, pairs, _ = forward_backward(z @ w, starts, lengths, step)
-        g = np.concatenate([z.T @ (y - good) / n - penalty * w, ((seen - pairs) / n - penalty * step).ravel()])
+        if tied:
+            good, pairs, _ = forward_backward(z @ w, starts, lengths, step, weight)
+        else:
+            good, pairs = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), seen
+        g = np.concatenate([z.T @ (weight * (y - good)) - penalty * w, (seen - pairs - penalty * step).ravel()])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = 0.08 * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
         w, step = w + move[:-4], step + move[-4:].reshape(2, 2)
-    return LineField(mean, spread, w, np.clip(step, -8, 8), float(np.mean([c for _, c in chains])))
+    return w, np.clip(step, -8, 8)
+
+
+def fit(texts: list[Sampled], steps: int = STEPS, penalty: float = 1e-3) -> LineField:
+    """The field of labelled texts: line labels first, then the chain, then the map to probabilities.
+
+    The result depends on the texts alone, not on any randomness.
+    """
+    width = 3 * len(FEATURES) + 3
+    if not texts or len({t.label for t in texts}) < 2:
+        prior = float(texts[0].label) if texts else 0.5
+        return LineField(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), prior, (0.0, float(_logit(np.array(prior)))))
+    sizes = np.array([len(t.length) for t in texts])
+    of = np.repeat(np.arange(len(texts)), sizes)
+    x = np.concatenate([t.lines for t in texts]).astype(np.float32)
+    told = np.repeat(np.array([t.label for t in texts], float), sizes)
+    chain = of * RUNS + np.concatenate([t.run for t in texts])
+    starts = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    lengths = np.diff(np.append(starts, len(chain)))
+    weight = 1 / (len(texts) * sizes[of])
+    mean, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+    mean[-1], spread[-1] = 0, 1
+    z = ((x - mean) / spread).astype(np.float32)
+    own = np.r_[0 : len(FEATURES), width - 1]  # the line itself and the constant
+    even = weight / np.where(told > 0, 2 * weight[told > 0].sum(), 2 * weight[told == 0].sum())
+    alone, _ = _train(z[:, own], told, even, starts, lengths, chain, steps, penalty, False)
+    y = line_labels(texts, 1 / (1 + np.exp(-(z[:, own] @ alone))))
+    w, step = _train(z, y, weight, starts, lengths, chain, steps, penalty, True)
+    good, _, _ = forward_backward(z @ w, starts, lengths, step)
+    length = np.concatenate([t.length for t in texts])
+    share = np.bincount(of, weights=good * length) / np.bincount(of, weights=length)
+    return LineField(mean, spread, w, step, float(np.mean([t.label for t in texts])), slope(_logit(share), np.array([t.label for t in texts], float)))
+
+
+def slope(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
+    """A logistic curve through (x, y) by Newton steps; it never falls."""
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        h = p * (1 - p)
+        g = np.array([((y - p) * x).mean() - penalty * (a - 1), (y - p).mean() - penalty * b])
+        m = np.array([[(h * x * x).mean() + penalty, (h * x).mean()], [(h * x).mean(), h.mean() + penalty]])
+        move = np.clip(np.linalg.solve(m, g), -1, 1)
+        a, b = a + move[0], b + move[1]
+    return max(float(a), 0.0), float(b)
 
 
 def held_out(key):
@@ -197,8 +282,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``sample`` labelled rows that aren't held out.
 
     The sample is chosen from the keys alone; it is small enough to broadcast whatever the
-    input.  Rows with a null key or label are left out, and of a key's repeated labels the
-    largest counts.
+    input, and each text brings at most SAMPLE_LINES lines.  Rows with a null key or label
+    and texts without a word are left out, and of a key's repeated labels the largest
+    counts.  Without labels, or with one kind only, every text gets that share as its score.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
@@ -207,18 +293,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in batches:
             texts, y = column(b, text), b.column(b.schema.get_field_index("_label")).to_pylist()
             for i, j, t in slices(texts):
-                own, rows, _ = line_features(t)
+                own, rows, length = line_features(t)
                 cut = np.searchsorted(rows, np.arange(t.n + 1))
-                got = [own[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                fits = [k for k, x in enumerate(got) if 0 < len(x) <= SAMPLE_LINES]
-                yield pa.RecordBatch.from_arrays([pa.array([got[k].astype("<f4").tobytes() for k in fits], pa.binary()), pa.array([y[i + k] for k in fits], pa.int32())], names=["lines", "label"])
+                got = [(sampled(own[a:z], length[a:z], y[i + k])) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+                cols = [pa.array([x.lines.astype("<f4").tobytes() for x in got], pa.binary()), pa.array([x.length.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.run.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.label for x in got], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lines", "length", "run", "label"])
 
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_label").mapInArrow(run, "lines binary, label int").collect()
-    return fit(sorted(((np.frombuffer(r.lines, "<f4").reshape(-1, len(FEATURES)), r.label) for r in rows), key=lambda c: (c[1], len(c[0]), c[0].tobytes())))
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_label").mapInArrow(run, "lines binary, length binary, run binary, label int").collect()
+    texts = [Sampled(np.frombuffer(r.lines, "<f4").reshape(-1, 3 * len(FEATURES) + 3), np.frombuffer(r.length, "<i8"), np.frombuffer(r.run, "<i8"), r.label) for r in rows]
+    return fit(sorted(texts, key=lambda t: (t.label, len(t.length), t.lines.tobytes())))
 
 
 def score(docs: DataFrame, field: LineField, text: str = "text", carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Adds score and predicted.  A null text counts as empty; rows are scored one by one."""
+    """Adds score and predicted.
+
+    A null text counts as empty; texts without a word get the sample's share of good ones.
+    Rows are scored one by one, from all lines of a text, so repeated rows get equal
+    scores.  Columns called score or predicted are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def measure(texts: pa.Array) -> dict:
