@@ -8,9 +8,28 @@ def test_grid_spans():
     assert markup.grid_of("<tr><td rowspan=x colspan=0>a<br> b </td></tr>") == [["a\nb"]]
 
 
+def test_spans_have_no_greatest_size():
+    assert len(markup.grid_of("<tr><td colspan=300>a</td></tr>")[0]) == 300
+    assert markup.grid_of("<tr><td rowspan=2>a</td><td>b</td></tr><tr><td colspan=2>c</td></tr>") == [["a", "b"], ["a", "c", "c"]]
+
+
 def test_tool_calls(spark):
     text = 'Let me see. <tool_call>{"name": "menu", "arguments": {"date": "2026-06-13"}}</tool_call> done <tool_call>broken'
-    calls, rest = markup.calls_of(text)
-    assert calls == [("menu", '{"date": "2026-06-13"}')] and rest == "Let me see.  done"
-    df = spark.createDataFrame([(text,), (None,)], "t string").select(markup.tool_calls("t").alias("x")).select("x.*")
-    assert [(len(r.calls), r.rest) for r in df.collect()] == [(1, "Let me see.  done"), (0, "")]
+    calls, rest, broken = markup.calls_of(text)
+    assert calls == [("menu", '{"date":"2026-06-13"}')] and rest == "Let me see.  done <tool_call>broken" and not broken
+    tagged = "<TOOL_CALL x=1>\n<function=fetch>\n<parameter=board>\n학사 </parameter><parameter=limit>3</parameter></function>\n</tool_call>"
+    assert markup.calls_of(tagged) == ([("fetch", '{"board":"학사","limit":"3"}')], "", False)
+    for bad in ("<tool_call>{}</tool_call>", "<tool_call>cut off", "<tool_call></tool_call> x", "<tool_call><function=f></tool_call>"):
+        assert markup.calls_of(bad) == ([], bad, True)
+    assert markup.calls_of('<tool_call>{"name": "a", "arguments": "b"}</tool_call>') == ([("a", "{}")], "", False)
+    df = spark.createDataFrame([(text,), (None,), ("plain",)], "t string").select(markup.tool_calls("t").alias("x")).select("x.*")
+    assert [(len(r.calls), r.broken) for r in df.collect()] == [(1, False), (0, False), (0, False)]
+
+
+def test_tree_of_broken_pages():
+    from tidewrack.functions import dom
+
+    t = dom.tree("<ul><li>a<li>b<p>c<p>d</ul></div><table><tr><td>x<td>y<tr><td>z</table>&amp;&#39;")
+    assert [n.text() for n in t.all("li")] == ["a", "b c d"] and [len(r.cells()) for r in t.all("tr")] == [2, 1]
+    assert t.text().endswith("&'") and dom.tree(None).text() == ""
+    assert dom.tree("<script>var a='</p>'</script><b>a</b><i>b</i>").text() == "a b"

@@ -12,6 +12,8 @@ TODAY = date(2026, 6, 13)
 @pytest.mark.parametrize("question,want", [
     ("내일 학식", "2026-06-14"), ("어제 학식", "2026-06-12"), ("담주 화요일", "2026-06-16"), ("다음주 평일 식단", "2026-06-15 2026-06-16 2026-06-17 2026-06-18 2026-06-19"),
     ("이번 주말 식단", "2026-06-13 2026-06-14"), ("16일 메뉴", "2026-06-16"), ("일요일 메뉴", "2026-06-14"), ("2026-02-30 메뉴", None), ("11월 메뉴", None), ("금~월 메뉴", "2026-06-08 2026-06-12 2026-06-13 2026-06-14"), ("", None), (None, None),
+    ("13월 5일 메뉴", "2026-06-05"), ("다음 주말", "2026-06-20 2026-06-21"), ("월부터 수까지 학식", "2026-06-08 2026-06-09 2026-06-10"), ("토핑 메뉴", None), ("다음주 토핑", "2026-06-20"), ("화, 목 학식", "2026-06-09 2026-06-11"),
+    ("수요일부터 금요일까지 다음주", "2026-06-17 2026-06-18 2026-06-19"), ("지난주 월 이번주 화", "2026-06-01"), ("주중 식단", "2026-06-08 2026-06-09 2026-06-10 2026-06-11 2026-06-12"), ("2026-06-20이랑 6월 3일 오늘", "2026-06-03 2026-06-20"), ("1일~3일", "2026-06-01 2026-06-03"), ("이번 주 금요일", "2026-06-12"),
 ])
 def test_dates_of(question, want):
     assert M.dates_of(question, TODAY) == (want.split() if want else None)

@@ -1,34 +1,106 @@
-"""Notice boards: rows of their tables and the lines that are printed."""
+"""Notice boards: the rows of two table layouts, bodies of single notices, and printed lines."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_html, short_date
+from .dom import Node, parser, tree
 
 #: Fixed value: the number cell of a pinned notice.
 PINNED = "공지"
+#: Class words or ids of the part that holds a notice's body, by layout, best first.
+BODIES = {
+    "plain": ("board-view-content", "board_view_content", "view-content", "view-con", "view_cont", "content"),
+    "marked": ("b-content", "view-content", "view-con", "board-view-content", "content"),
+}
+#: Words of a page's frame; where they make up much of a text it is no body.
+CHROME = ("본문 바로가기", "로그인", "이전글", "다음글", "목록", "사이트맵")
+
+
+def iso_day(text: str) -> str:
+    """Days in full or with a year of two digits as ISO days; other texts stay."""
+    if re.fullmatch(r"\d{4}([.-])\d{2}[.-]\d{2}", text):
+        return text.replace(".", "-")
+    return "20" + text.replace(".", "-") if re.fullmatch(r"\d{2}\.\d{2}\.\d{2}", text) else text
+
+
+def _notice(number: str, title: str, author: str, day: str, link: Node | None, base: str) -> list[dict]:
+    if not title or not day:
+        return []
+    return [{"title": title, "author": author, "date": iso_day(day), "url": urljoin(base, link.attrs.get("href", "") if link else ""), "pinned": number == PINNED}]
+
+
+def plain_rows(html: str | None, base: str) -> list[dict]:
+    """Tables of number, title with link, author and day."""
+    out = []
+    for row in tree(html).own_rows():
+        c = row.cells()
+        if len(c) >= 4:
+            out += _notice(c[0].text(), c[1].text(), c[2].text(), c[3].text(), c[1].first("a"), base)
+    return out
+
+
+def marked_rows(html: str | None, base: str) -> list[dict]:
+    """Tables whose title, author and day are marked by classes; without marks, by their place from the right."""
+    out = []
+    for row in tree(html).own_rows():
+        c = row.cells()
+        if len(c) < 2:
+            continue
+
+        def said(box: Node | None) -> str:
+            return box.text() if box else ""
+
+        titled = next((a for b in row.all("div") if "b-title-box" in b.attrs.get("class", "") for a in b.all("a")), None)
+        author = next((x for x in row.all("span") if "b-writer" in x.attrs.get("class", "")), None)
+        day = next((x for x in row.all("span") if "b-date" in x.attrs.get("class", "")), None)
+        out += _notice(c[0].text(), said(titled) or c[1].text(), said(author) or (c[-3].text() if len(c) >= 3 else ""), said(day) or c[-2].text(), c[1].first("a"), base)
+    return out
 
 
-def notices(html: Column, base: str) -> Column:
+_ITEM = "title: string, author: string, date: string, url: string, pinned: boolean"
+
+
+def _by_layout(html: str | None, base: str, layout: str) -> list[dict]:
+    return (marked_rows if layout == "marked" else plain_rows)(html, base)
+
+
+def notices(html: Column, base: Column | str, layout: Column | str = "plain") -> Column:
     """array of struct(title, author, date, url, pinned) of a page's table, in its order.
 
-    The first table body counts, else the whole page.  Rows of less than four cells, and
-    those without a title or a date, go.  A target that starts with a slash or a question
-    mark is put after ``base``; null pages give an empty array.
+    Rows with too few cells, and those without a title or a day, go.  Targets are resolved
+    against ``base``; null pages give an empty array.
     """
-    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<tbody[^>]*>(.*?)</tbody>", 1), F.lit("")), html, F.lit(""))
-    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)))
+    return parser(_by_layout, _ITEM)(html, *(F.lit(x) if isinstance(x, str) else x for x in (base, layout)))
+
+
+def _holds(n: Node, word: str) -> bool:
+    return any(re.search(rf"(?<![\w-]){re.escape(word)}(?![\w-])", n.attrs.get(k, "")) for k in ("class", "id"))
+
+
+def noisy(text: str) -> bool:
+    """Four words of a frame or more that make up a quarter of a text or more."""
+    hits = [text.count(w) for w in CHROME]
+    return sum(hits) >= 4 and sum(h * len(w) for h, w in zip(hits, CHROME, strict=True)) >= 0.25 * len(text)
+
+
+def body_of(html: str | None, layout: str | None) -> str:
+    """The body of a notice: the first part that its layout marks, else the whole page if it is not mostly frame."""
+    root = tree(html)
+    for word in BODIES.get(layout or "", (*BODIES["plain"], *BODIES["marked"])):
+        found = next((n for n in root.all("article", "section", "div") if _holds(n, word)), None)
+        if found is not None and (text := found.text()):
+            return text
+    text = root.text()
+    return "" if noisy(text) else text
 
-    def item(c: Column) -> Column:
-        cell = lambda k: F.element_at(c, k)
-        href = F.replace(F.regexp_extract(cell(2), r"""(?is)<a\b[^>]*href=["']([^"']+)["']""", 1), F.lit("&amp;"), F.lit("&"))
-        url = F.when(href.rlike("^[/?]"), F.concat(F.lit(base), href)).otherwise(href)
-        return F.struct(clean_html(cell(2)).alias("title"), clean_html(cell(3)).alias("author"), short_date(clean_html(cell(4))).alias("date"), url.alias("url"), (clean_html(cell(1)) == PINNED).alias("pinned"))
 
-    return F.filter(F.transform(F.filter(cells, lambda c: F.size(c) >= 4), item), lambda n: (n["title"] != "") & (n["date"] != ""))
+def notice_body(html: Column, layout: Column) -> Column:
+    return parser(lambda h, w: [{"body": body_of(h, w)}], "body: string")(html, layout)[0]["body"]
 
 
 def notice_line(notice: Column, board: Column, excerpt: Column) -> Column:

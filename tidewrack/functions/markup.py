@@ -1,101 +1,78 @@
-"""Parsers whose state runs along their input: table grids and tool calls in text."""
+"""Table grids, and tool calls written in texts."""
 
 from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
-#: Spans beyond this are taken as it; pages state absurd ones.
-MOST_SPAN = 200
+from .dom import grid, tree
 
 
-class _Table(HTMLParser):
-    """Collects (row, columns to fill, rows to fill, text) of the first table body."""
+def grid_of(html: str | None) -> list[list[str]]:
+    """Rows of the first table body, each cell's lines repeated over the rows and columns that it spans."""
+    root = tree(html)
+    return [["\n".join(c.lines()) if c else "" for c in row] for row in grid((root.first("table") or root).own_rows(), "td", "th")]
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.open = self.cell = self.done = False
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.done:
-            return
-        if tag == "tr":
-            self.rows.append([])
-            self.open, self.cell = True, False
-        elif tag in ("td", "th") and self.open:
-            told = dict(attrs)
-            span = lambda k: min(MOST_SPAN, max(1, int(v))) if (v := (told.get(k) or "1").strip()).isdigit() else 1
-            self.rows[-1].append((span("colspan"), span("rowspan"), []))
-            self.cell = True
-        elif tag == "br" and self.cell:
-            self.rows[-1][-1][2].append("\n")
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def table_grid(html: pd.Series) -> pd.Series:
+    return html.map(grid_of)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr"):
-            self.cell = False
-        elif tag == "table" and self.rows:
-            self.done = True
 
-    def handle_data(self, data: str) -> None:
-        if self.cell and not self.done:
-            self.rows[-1][-1][2].append(data)
+_CALLS = StructType().add("calls", ArrayType(StructType().add("name", StringType()).add("arguments", StringType()))).add("rest", StringType()).add("broken", BooleanType())
+_OPEN, _SHUT = re.compile(r"<tool_call\b[^>]*>", re.I), re.compile("</tool_call>", re.I)
+_BOUND = {k: (re.compile(rf"<{k}\s*=\s*([^>\s]+)\s*>", re.I), re.compile(rf"</{k}>", re.I)) for k in ("function", "parameter")}
 
 
-def grid_of(html: str | None) -> list[list[str]]:
-    """Rows of the first table, each cell repeated over the rows and columns that it spans."""
-    p = _Table()
-    p.feed(html or "")
-    out, waiting = [], {}
-    for cells in p.rows:
-        line: dict[int, str] = {c: text for c, (_, text) in waiting.items()}
-        waiting = {c: (n - 1, text) for c, (n, text) in waiting.items() if n > 1}
-        at = 0
-        for wide, tall, parts in cells:
-            text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(parts).split("\n")) if x)
-            while at in line:
-                at += 1
-            for c in range(at, at + wide):
-                if c not in line:
-                    line[c] = text
-                    if tall > 1:
-                        waiting[c] = (tall - 1, text)
-            at += wide
-        out.append([line.get(c, "") for c in range(max(line, default=-1) + 1)])
+def _boxes(text: str, kind: str) -> list[tuple[str, str, int, int]]:
+    """(name, inside, start, end) of <kind=name>…</kind> in a text; an open one without an end is none."""
+    out, at = [], 0
+    begin, finish = _BOUND[kind]
+    while (a := begin.search(text, at)) and (z := finish.search(text, a.end())):
+        out.append((a[1], text[a.end() : z.start()], a.start(), z.end()))
+        at = z.end()
     return out
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def table_grid(html: pd.Series) -> pd.Series:
-    return html.map(grid_of)
-
-
-_CALLS = StructType().add("calls", ArrayType(StructType().add("name", StringType()).add("arguments", StringType()))).add("rest", StringType())
-_CALL = re.compile(r"<tool_call>(.*?)(</tool_call>|$)", re.S | re.I)
+def _said(body: str) -> tuple[str, str] | None:
+    """Name and JSON arguments of one call, written as JSON or as a function box of parameter boxes."""
+    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    try:
+        x = json.loads(body)
+    except ValueError:
+        found = _boxes(body, "function")
+        if len(found) != 1 or (found[0][2], found[0][3]) != (0, len(body)):
+            return None
+        return found[0][0], dump({k: v.strip() for k, v, _, _ in _boxes(found[0][1], "parameter")})
+    if not isinstance(x, dict) or not isinstance(x.get("name"), str) or not x["name"].strip():
+        return None
+    return x["name"].strip(), dump(x["arguments"] if isinstance(x.get("arguments"), dict) else {})
 
 
-def calls_of(content: str | None) -> tuple[list[tuple[str, str]], str]:
-    """(name, JSON arguments) of the calls written in a text, and the text without them.
+def calls_of(content: str | None) -> tuple[list[tuple[str, str]], str, bool]:
+    """Calls written in a text, the text without them, and whether it holds calls none of which can be read.
 
-    A call is a JSON object with name and arguments.  What isn't one is removed all the same.
+    A call that is broken off or can't be read stays in the text.
     """
-    calls = []
-    for m in _CALL.finditer(content or ""):
-        try:
-            x = json.loads(m[1])
-            args = x.get("arguments") or {}
-            calls.append((str(x["name"]), args if isinstance(args, str) else json.dumps(args, ensure_ascii=False, sort_keys=True)))
-        except (ValueError, KeyError, AttributeError):
-            continue
-    return calls, _CALL.sub("", content or "").strip()
+    text, calls, rest, at = content or "", [], [], 0
+    boxes = []
+    while (a := _OPEN.search(text, at)) and (z := _SHUT.search(text, a.end())):
+        boxes.append((a.start(), z.end(), _said(text[a.end() : z.start()].strip())))
+        at = z.end()
+    done = 0
+    for start, end, one in boxes:
+        if one:
+            calls.append(one)
+            rest.append(text[done:start])
+            done = end
+    return calls, "".join(rest) + text[done:], not calls and _OPEN.search(text) is not None
 
 
 @F.pandas_udf(_CALLS)
 def tool_calls(content: pd.Series) -> pd.DataFrame:
     found = [calls_of(x) for x in content]
-    return pd.DataFrame({"calls": [[{"name": n, "arguments": a} for n, a in c] for c, _ in found], "rest": [r for _, r in found]})
+    return pd.DataFrame({"calls": [[{"name": n, "arguments": a} for n, a in c] for c, _, _ in found], "rest": [r for _, r, _ in found], "broken": [b for _, _, b in found]})

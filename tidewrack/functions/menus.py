@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from datetime import date, timedelta
 
 import pandas as pd
@@ -38,70 +37,93 @@ CLOSED = "운영안함"
 MOST_DATES = 5
 
 
-def _taken(pattern: str, text: str, meant: Callable[[re.Match], date | None], into: list[date]) -> str:
-    """Appends the date of each match; the text with those matches blanked."""
-
-    def blank(m: re.Match) -> str:
-        found = meant(m)
-        if found is None:
-            return m[0]
-        into.append(found)
-        return " " * len(m[0])
-
-    return re.sub(pattern, blank, text)
-
-
-def _day(year: int, month: int, day: int) -> date | None:
-    try:
-        return date(year, month, day)
-    except ValueError:
-        return None
-
-
-def _weekdays(text: str, loose: bool) -> set[int]:
-    """Days of the week in a text: ranges, full names, and single letters (all if loose, else those that stand alone)."""
+#: What the scan tells apart, tried in this order at each place; the rest goes by one character.
+_TOKENS = {
+    "iso": r"(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})",
+    "month_day": r"(?P<m2>\d{1,2})월\s*(?P<d2>\d{1,2})일",
+    "day_only": r"(?<!\d)(?P<d3>\d{1,2})일(?!\s*요일)",
+    "near": "|".join(DAY_WORDS),
+    **{f"week{k}": p for k, p in enumerate(WEEK_WORDS)},
+    "workdays": "평일|주중",
+    "weekend": "주말",
+    "weekly": r"주간\s*(?:식단|메뉴)",
+    "weekday": f"[{''.join(DAYS)}]요일",
+    "letter": f"[{''.join(DAYS)}]",
+    "to": "[~～]",
+    "since": "부터",
+    "until": "까지",
+    "blank": r"\s+",
+    "number": r"\d+",
+    "other": ".",
+}
+_SCAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TOKENS.items()), re.S)
+#: Tokens that leave a gap, beside which a single letter stands alone.
+_GAPS = frozenset(("date", "near", "workdays", "weekday", "blank"))
+
+
+def _tokens(text: str, today: date):
+    """(kind, value, text) of each part of a question; a date that doesn't exist is a number and what follows."""
+    at = 0
+    while at < len(text):
+        m = _SCAN.match(text, at)
+        kind, g = m.lastgroup, m.groupdict()
+        if kind in ("iso", "month_day", "day_only"):
+            try:
+                yield "date", date(int(g["y"] or today.year), int(g["m"] or g["m2"] or today.month), int(g["d"] or g["d2"] or g["d3"])), m[0]
+            except ValueError:
+                m = re.compile(r"\d+").match(text, at)
+                yield "number", None, m[0]
+        elif kind.startswith("week") and kind[4:].isdigit():
+            yield "week", list(WEEK_WORDS.values())[int(kind[4:])], m[0]
+            if text[m.end() : m.end() + 1] == "말":
+                yield "weekend", None, ""
+        else:
+            value = today + timedelta(DAY_WORDS[m[0]]) if kind == "near" else DAYS.index(m[0][0]) if kind in ("weekday", "letter") else None
+            yield kind, value, m[0]
+        at = m.end()
+
+
+def _named_days(read: list[tuple], loose: bool) -> set[int]:
+    """Days of the week that tokens name: each full name, single letters (all if loose, else those that stand alone), and ranges."""
     out: set[int] = set()
-    one = "([월화수목금토일])(?:요일)?"
-    for pattern in (rf"{one}\s*[~～]\s*{one}", rf"{one}\s*부터\s*{one}\s*까지"):
-        for m in re.finditer(pattern, text):
-            if not (m[1] == "월" and re.search(r"\d$", text[: m.start()])):
-                first, last = DAYS.index(m[1]), DAYS.index(m[2])
-                out |= {(first + k) % 7 for k in range((last - first) % 7 + 1)}
-    out |= {DAYS.index(m[1]) for m in re.finditer("([월화수목금토일])요일", text)}
-    rest = re.sub("[월화수목금토일]요일", "   ", text)
-    for m in re.finditer("[월화수목금토일]", rest):
-        before, after = rest[: m.start()][-1:], rest[m.end() :][:1]
-        month = m[0] == "월" and before.isdigit()
-        if not month and (loose or all(not c or c in BETWEEN for c in (before, after))):
-            out.add(DAYS.index(m[0]))
+    beside = lambda t: t is None or t[0] in _GAPS or t[2] == "" or t[2][-1] in BETWEEN
+    named = []
+    for k, (kind, value, said) in enumerate(read):
+        before, after = (read[k - 1] if k else None), (read[k + 1] if k + 1 < len(read) else None)
+        month = said == DAYS[0] and before is not None and before[2][-1:].isdigit() and before[0] != "date"
+        if kind == "weekday" or (kind == "letter" and not month and (loose or (beside(before) and (after is None or after[0] in _GAPS or after[2][:1] in BETWEEN)))):
+            out.add(value)
+        if kind != "blank":
+            named.append((kind if not (kind == "letter" and month) else "other", value))
+    for k, (kind, first) in enumerate(named):
+        shape = [x for x, _ in named[k : k + 4]]
+        if kind in ("weekday", "letter") and len(shape) > 2 and shape[2] in ("weekday", "letter") and (shape[1] == "to" or (shape[1] == "since" and shape[3:] == ["until"])):
+            out |= {(first + d) % 7 for d in range((named[k + 2][1] - first) % 7 + 1)}
     return out
 
 
 def dates_of(question: str | None, today: date) -> list[str] | None:
     """ISO dates that a question means, five at most; null without any.
 
-    Explicit dates go before day words, those before days of the week and weekends, and
-    those before whole weeks, which mean Monday to Friday.  The first week word holds; what
-    follows a second one isn't read.  Null and empty questions mean nothing.
+    One scan tells the question's parts apart.  Explicit dates go before day words, those
+    before days of the week and weekends, and those before whole weeks, which mean Monday
+    to Friday.  The first week word holds; days of the week after a second one don't
+    count.  Null and empty questions mean nothing.
     """
-    text, explicit, near = question or "", [], []
-    text = _taken(r"(\d{4})-(\d{2})-(\d{2})", text, lambda m: _day(int(m[1]), int(m[2]), int(m[3])), explicit)
-    text = _taken(r"(\d{1,2})월\s*(\d{1,2})일", text, lambda m: _day(today.year, int(m[1]), int(m[2])), explicit)
-    text = _taken(r"(?<!\d)(\d{1,2})일(?!\s*요일)", text, lambda m: _day(today.year, today.month, int(m[1])), explicit)
-    text = _taken("|".join(DAY_WORDS), text, lambda m: today + timedelta(DAY_WORDS[m[0]]), near)
-    weeks = sorted((m.start(), shift) for p, shift in WEEK_WORDS.items() for m in re.finditer(p, question or ""))
-    text = text[: weeks[1][0]] if len(weeks) > 1 else text
-    monday = today - timedelta(today.weekday()) + timedelta(weeks[0][1] if weeks else 0)
-    workdays = re.search("평일|주중", text) is not None
-    days = _weekdays(re.sub("평일|주중", "  ", text), bool(weeks)) | ({5, 6} if "주말" in text else set())
-    if not days and (weeks or workdays or re.search(r"주간\s*(식단|메뉴)", text)):
+    parts = list(_tokens(question or "", today))
+    weeks = [k for k, (kind, _, _) in enumerate(parts) if kind == "week"]
+    read = parts[: weeks[1]] if len(weeks) > 1 else parts
+    kinds = {kind for kind, _, _ in read}
+    monday = today - timedelta(today.weekday()) + timedelta(parts[weeks[0]][1] if weeks else 0)
+    days = _named_days(read, bool(weeks)) | ({5, 6} if "weekend" in kinds else set())
+    if not days and kinds & {"week", "workdays", "weekly"}:
         days = set(range(5))
-    found = explicit or near or [monday + timedelta(d) for d in days]
+    found = next((x for k in ("date", "near") if (x := [value for kind, value, _ in parts if kind == k])), [monday + timedelta(d) for d in days])
     return [d.isoformat() for d in sorted(set(found))[:MOST_DATES]] or None
 
 
 def menu_dates(question: Column, as_of: str) -> Column:
-    """``dates_of`` on a column; the rules look at marked spans, which no SQL function does."""
+    """``dates_of`` on a column; what a letter means depends on what stands around it, which no SQL function follows."""
     today = date.fromisoformat(as_of)
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -124,9 +146,12 @@ def lines_of(text: Column) -> Column:
 def menu_label(text: Column, name: Column, cost: Column) -> Column:
     """The name, else the first line, with its price; empty for a blank text."""
     head = F.coalesce(F.nullif(name, F.lit("")), F.try_element_at(lines_of(text), F.lit(1)), F.lit(""))
-    priced = r"^(.+?)\(([\d,]+)\)$"
-    inner = F.concat(F.trim(F.regexp_extract(head, priced, 1)), F.lit(" "), price(F.regexp_extract(head, priced, 2)))
-    return F.when(F.size(lines_of(text)) < 1, "").when(head.rlike(priced), inner).when(F.coalesce(cost, F.lit("")) != "", F.concat(F.trim(head), F.lit(" "), price(cost))).otherwise(head)
+    # a price in brackets ends the label
+    last = F.substring_index(head, "(", -1)
+    sum_ = F.substring(last, F.lit(1), F.greatest(F.length(last) - 1, F.lit(0)))
+    bracketed = F.endswith(head, F.lit(")")) & (F.instr(head, "(") > 1) & (F.length(sum_) > 0) & (F.translate(sum_, "0123456789,", "") == "")
+    inner = F.concat(F.trim(F.substring(head, F.lit(1), F.length(head) - F.length(sum_) - 2)), F.lit(" "), price(sum_))
+    return F.when(F.size(lines_of(text)) < 1, "").when(bracketed, inner).when(F.coalesce(cost, F.lit("")) != "", F.concat(F.trim(head), F.lit(" "), price(cost))).otherwise(head)
 
 
 def menu_items(text: Column) -> Column:

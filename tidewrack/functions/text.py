@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+#: White space as Unicode has it; Java's own class is that of ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: Fixed value: what counts as a token.
 TOKEN = "[0-9A-Za-z가-힣]+"
 #: Relative day words and their distance from today.
@@ -20,28 +26,39 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+
+
 def clip(text: Column, limit: int) -> Column:
     """White space collapsed; a longer text is cut to limit - 1 characters and an ellipsis of dots."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    t = collapsed(text)
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("...")))
 
 
 def first_fact(text: Column, blank: str) -> Column:
-    """Up to the first full stop if it comes early, else the text, cut at 180 characters."""
-    t = F.trim(text)
+    """Up to the first full stop if it comes early, else the text, cut at 180 characters; white space is collapsed first."""
+    t = collapsed(text)
     stop = F.instr(t, ".")
     return F.when(t == "", blank).when((stop > 0) & (stop - 1 < 180), F.substring(t, F.lit(1), stop)).when(F.length(t) <= 180, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, 179)), F.lit("...")))
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references as their characters, by the standard's table of some 2,200 names."""
+    return text.map(lambda t: t if t is None or "&" not in t else entities.unescape(t))
+
+
+def without_tags(html: Column) -> Column:
+    for tag in ("script", "style", "nav"):
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    return F.regexp_replace(html, r"<[^>]+>", " ")
+
+
 def clean_html(html: Column) -> Column:
     """Text of a page: scripts, styles and navigation go, tags become spaces, entities characters."""
-    for tag in ("script", "style", "nav"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    html = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    html = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " ")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
-        html = F.replace(html, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(F.regexp_replace(html, r"\s+", " "))
+    return collapsed(unescaped(without_tags(html)))
 
 
 def title_of(html: Column) -> Column:
@@ -49,9 +66,10 @@ def title_of(html: Column) -> Column:
 
 
 def html_lines(html: Column) -> Column:
-    """Lines that block ends and breaks make, without tags and blank ones."""
-    t = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>|</(p|h3|li|td|tr)>", "\n"), r"<[^>]+>", "")
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    """Lines that breaks and ends of paragraphs, small headings, items, cells and rows make; other tags are spaces."""
+    ended = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|h3|li|td|tr)>", "\n")
+    lines = F.split(unescaped(F.regexp_replace(ended, r"<[^>]+>", " ")), "[\n\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
+    return F.filter(F.transform(lines, collapsed), lambda x: x != "")
 
 
 def title_key(text: Column) -> Column:
@@ -151,9 +169,38 @@ def links_of(html: Column, url: Column) -> Column:
 
 
 def main_text(html: Column) -> Column:
-    """Text of the first of article, main and the content block that has any; else of the page."""
-    parts = [r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>", r'(?is)<div id="content"[^>]*>(.*?)</div>']
-    return F.coalesce(*(F.nullif(clean_html(F.regexp_extract(html, p, 1)), F.lit("")) for p in parts), clean_html(html))
+    """Text of a page's main part, else of its content block, else of all of it."""
+    parts = [r"(?is)<main\b[^>]*>(.*?)</main>", r"""(?is)<div\b[^>]*id=["']content["'][^>]*>(.*?)</div>"""]
+    found = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in parts), html)
+    return clean_html(found)
+
+
+#: Words that end a page's navigation, and words that begin its footer.
+NAVIGATION = ("사이트맵", "본문 바로가기", "사이드메뉴", "통합검색")
+FOOTERS = ("만족도조사", "자료관리 담당부서", "Copyright 2024 CNU", "Copyright 2025 CNU")
+
+
+def body_text(text: Column, title: str) -> Column:
+    """A page's text from after its last navigation word to its footer.
+
+    It begins with the first long word of the title that isn't at its very start, or with
+    an academic year right before that word.  The first footer word of the list that is
+    there, but not at the start, ends it.
+    """
+
+    def end_of(word: str) -> Column:
+        back = F.instr(F.reverse(text), word[::-1])
+        return F.when(back > 0, F.struct((F.length(text) - back - len(word) + 1).alias("start"), (F.length(text) - back + 1).alias("end")))
+
+    cut = F.array_max(F.array(*(end_of(w) for w in NAVIGATION)))["end"]
+    text = F.when(cut.isNull(), text).otherwise(F.ltrim(F.substring(text, cut + 1, F.length(text))))
+    begun = []
+    for word in (w for w in title.split() if len(w) >= 4):
+        at = F.instr(text, word) - 1
+        year = F.regexp_extract(F.substring(text, F.greatest(at - 19, F.lit(1)), F.least(at, F.lit(20))), r"\d{4}학년도\s*$", 0)
+        begun.append(F.when(at > 0, F.substring(text, at + 1 - F.length(year), F.length(text))))
+    text = F.coalesce(*begun, text)
+    return F.coalesce(*(F.when(F.instr(text, w) > 1, F.rtrim(F.substring(text, F.lit(1), F.instr(text, w) - 1))) for w in FOOTERS), text)
 
 
 def chrome(text: Column, words: list[str]) -> tuple[Column, Column]:

@@ -17,7 +17,7 @@ from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
 from . import records
-from .registry import Query, Registry
+from .registry import Query, Registry, clean_sql
 from .registry import table as _table
 
 FLAGSHIP = "hybrid_topk"
@@ -114,7 +114,7 @@ _RANKED = f"{_BM25}, r AS {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)}"
 _FACT = "CASE WHEN z = '' THEN 'No text.' WHEN strpos(z, '.') BETWEEN 1 AND 180 THEN substr(z, 1, strpos(z, '.')) WHEN length(z) <= 180 THEN z ELSE rtrim(substr(z, 1, 179)) || '...' END"
 
 
-@_register(f"""WITH {_RANKED}, b AS (SELECT item_id, source, (SELECT {_FACT} FROM (SELECT trim(d.text) AS z)) AS fact FROM r JOIN documents d USING (doc_id) WHERE rank = 1)
+@_register(f"""WITH {_RANKED}, b AS (SELECT item_id, source, (SELECT {_FACT} FROM (SELECT trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS z)) AS fact FROM r JOIN documents d USING (doc_id) WHERE rank = 1)
 SELECT item_id, coalesce(fact || ' (source: ' || source || ')', 'No evidence was found.') AS answer, CASE WHEN fact IS NULL THEN 'empty' ELSE 'fallback' END AS mode FROM benchmark LEFT JOIN b USING (item_id)""")
 def fallback_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fact of the best document as the answer; a fixed text without one."""
@@ -261,24 +261,18 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("kinds"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
 
 
-@_register("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = t.k{n}) AS kind_{n}" for n in range(2)) + " FROM events, (SELECT min(event_type) AS k0, max(event_type) AS k1 FROM events) t GROUP BY user_id")
-def kind_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by user of the first and the last kind of event, by name."""
-    events = _table(spark, sf_dir, "events")
-    ends = events.agg(F.min("event_type").alias("k0"), F.max("event_type").alias("k1"))
-    return events.join(F.broadcast(ends)).groupBy("user_id").agg(F.count_if(F.col("event_type") == F.col("k0")).alias("kind_0"), F.count_if(F.col("event_type") == F.col("k1")).alias("kind_1"))
+_EVENTS = ["click", "error", "purchase", "signup", "view"]
 
 
-_CLEAN = "html"
-for _tag in ("script", "style", "nav"):
-    _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
-_CLEAN = f"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
-    _CLEAN = f"replace({_CLEAN}, '&{_name};', '{_char}')"
-_CLEAN = f"trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'))"
+@_register("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _EVENTS) + f", count(*) FILTER (event_type IS NULL OR event_type NOT IN ({', '.join(repr(k) for k in _EVENTS)})) AS others FROM events GROUP BY user_id")
+def kind_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by user of the events of each known kind, and of all others."""
+    kind = F.col("event_type")
+    known = [F.count_if(kind == k).alias(k) for k in _EVENTS]
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(*known, F.count_if(kind.isNull() | ~kind.isin(_EVENTS)).alias("others"))
 
 
-@_register(f"SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, html, {_CLEAN} AS t FROM pages)")
+@_register(f"SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, html, {clean_sql('html')} AS t FROM pages)")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", T.title_of(F.col("html")).alias("title"), T.clean_html(F.col("html")).alias("t"))
     return pages.select("page_id", "title", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import answers as A
 from ..operators import menus as D
 from ..operators import relational as R
-from .registry import Registry, table
+from .registry import Registry, clean_sql, table
 
 register = Registry()
 AS_OF = "2026-06-13"
@@ -155,7 +155,7 @@ def normalized_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.short_date(written).alias("iso"))
 
 
-@register(r"""SELECT page_id, len(l) AS lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(p|h3|li|td|tr)>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)""")
+@register(r"""SELECT page_id, len(l) AS lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(p|h3|li|td|tr)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", T.html_lines(F.col("html")).alias("l"))
     return rows.select("page_id", F.size("l").cast("long").alias("lines"), F.md5(F.array_join("l", "\n")).alias("lines_md5"))
@@ -167,25 +167,19 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.size("l").cast("long").alias("links"), F.md5(F.array_join("l", " ")).alias("links_md5"))
 
 
-def _clean(x: str) -> str:
-    for tag in ("script", "style", "nav"):
-        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-
-
 _WORDS = [" the ", " der ", " le ", " que "]
 _HITS = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in _WORDS)
 _TAKEN = " + ".join(f"(length(t) - length(replace(t, '{w}', '')))" for w in _WORDS)
 
 
-@register(f"""WITH m AS (SELECT page_id, CASE WHEN a <> '' THEN a ELSE b END AS t FROM (SELECT page_id, {_clean("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS a, {_clean("html")} AS b FROM pages))
+_AS_MAIN = "replace(replace(html, '<article>', '<main>'), '</article>', '</main>')"
+
+
+@register(f"""WITH m AS (SELECT page_id, {clean_sql(f"regexp_extract({_AS_MAIN}, '(?is)<main>(.*?)</main>', 1)")} AS t FROM pages)
 SELECT page_id, md5(t) AS main_md5, CAST({_HITS} AS BIGINT) AS hits, ({_HITS}) >= 4 AND ({_TAKEN}) * 4 >= length(t) AS noisy FROM m""")
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main part of each page, and whether chrome words take a quarter of it."""
-    main = table(spark, sf_dir, "pages").select("page_id", T.main_text(F.col("html")).alias("t"))
+    main = table(spark, sf_dir, "pages").select("page_id", T.main_text(F.expr(_AS_MAIN)).alias("t"))
     hits, taken = T.chrome(F.col("t"), _WORDS)
     return main.select("page_id", F.md5("t").alias("main_md5"), hits.alias("hits"), ((hits >= 4) & (taken * 4 >= F.length("t"))).alias("noisy"))
 

@@ -25,3 +25,13 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clean_sql(x: str) -> str:
+    """The text of a page in SQL; the references are those that the pages hold."""
+    for tag in ("script", "style", "nav"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({x}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
