@@ -551,3 +551,35 @@ def test_op4_long_labelled_texts_take_part(spark):
     kept = [y for k, y in ((40, 1), (41, 0)) if zlib.crc32(str(k).encode()) % 3 != 1]
     assert kept and field.prior == np.mean(kept)
     assert not np.array_equal(line_crf.learn(docs, labels).weight, rest.weight)
+
+
+def test_op9_many_short_texts_that_differ_in_one_word(spark):
+    """Groups of near copies far larger than a cell; links by the class's count, memory by the cell's bound."""
+    import tracemalloc
+
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:30], f"x{k}", *base[31:]]) for k in range(3000)]
+    got = minhash_join.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    # 56 shingles, of which 5 hold the word that differs: 51 / 61 >= 0.8
+    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {2999}
+    sets = [np.unique(np.random.default_rng(k).integers(0, 2**60, 5, dtype=np.uint64)) for k in range(2 * minhash_join.CELL)]
+    sets = [np.unique(np.concatenate([x, np.arange(51, dtype=np.uint64)])) for x in sets]
+    tracemalloc.start()
+    assert minhash_join.alike(sets, np.zeros(len(sets), np.int32), 0.8).sum() == len(sets) * (len(sets) - 1)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_components_split_a_centre_and_leave_no_tables(spark):
+    import os
+
+    from tidewrack.llm.components import connect
+    from tidewrack.llm.store import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    name = lambda k: k.to_bytes(4, "big")
+    edges = [(name(0), name(k)) for k in range(1, 400)] + [(name(k), name(k + 1)) for k in range(500, 560)] + [(name(9), None), (name(7), name(7))]
+    before = len([f for f in os.listdir(folder) if f.startswith("cc-")]) if os.path.isdir(folder) else 0
+    got = {bytes(r.node): bytes(r.root) for r in connect(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got == {name(k): name(0) for k in range(400)} | {name(k): name(500) for k in range(500, 561)}
+    assert len([f for f in os.listdir(folder) if f.startswith("cc-")]) == before + 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACE_WORDS, Texts, column, mix, slices, windows
-from .components import connect
+from .components import apart, connect
 from .store import keep
 
 WORDS = 5
@@ -29,6 +29,8 @@ RECALL = 0.999
 CELL = 1024
 #: Most shingles of a group in one half of a verifying cell.
 CELL_SHINGLES = 400_000
+#: Rows of a cell's matrices that are worked on at once.
+STRIP = 256
 #: Bits of the filter that keeps the sets of texts without a candidate from being shuffled;
 #: what passes it by chance finds no partner in the join.
 FILTER_BITS = 1 << 22
@@ -162,7 +164,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     Two rows are linked if their shingle sets have the given Jaccard similarity; equal
     texts are.  class_id is the least key of the rows that links connect; n_links counts
     the other rows linked to a row.  A null text counts as empty; texts without words
-    are linked to equal ones only.  Repeated rows count as rows.  Null keys come last, so
+    are linked to equal ones only.  Repeated rows count as rows.  An empty table gives an
+    empty one.  Other columns take no part.  Null keys come last, so
     a class of them only has a null id.  Keys that stand for several texts can give several
     classes one id; root, a digest, is each class's own.
     """
@@ -194,7 +197,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     # buckets with two classes or more, and the number of cells of each
     entries = one.select("digest", F.explode("bands").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
-    met = keep(entries.join(full, "bucket"), "minhash-met").join(one.select("digest", "sketch"), "digest")
+    met = entries.join(full, "bucket").join(one.select("digest", "sketch"), "digest")
     sent = in_cells(met, "bucket", "digest", "blocks").select(*cells("bucket", "blocks"), "digest", "sketch")
 
     def compare(batches):
@@ -224,7 +227,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     member = tight.join(reps, tight.node == reps.digest).join(one.select("digest", "n_shingles"), "digest").select("digest", "rep", "copies", "root", "n_shingles")
     member = keep(member, "minhash-members")
     width = member.groupBy("root").agg(verifying_blocks().alias("blocks"))
-    member = member.join(width, "root").select("digest", F.col("rep").alias("_rep"), "copies", "root", "blocks")
+    member = member.join(apart(width, "root"), "root").select("digest", F.col("rep").alias("_rep"), "copies", "root", "blocks")
     slot = 1 + F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
     seen = marks(member.select(slot.alias("slot")))
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), digest).withColumn("slot", slot)
@@ -265,8 +268,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: fl
     classes = connect(links.select("a", "b")).select(F.col("node").alias("digest"), "root")
     named = reps.join(classes, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = keep(named.join(ids, "root").join(counted, "digest", "left").select("digest", "rep", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "minhash-classes")
-    return signed.select(key, "digest").join(named, "digest").select(key, "digest", "class_id", "n_links", "rep", "root")
+    named = named.join(apart(ids, "root"), "root").join(counted, "digest", "left").select("digest", "rep", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select(key, "digest").join(apart(named, "digest"), "digest").select(key, "digest", "class_id", "n_links", "rep", "root")
 
 
 def verifying_blocks():
@@ -297,15 +300,19 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
     col, of = number[col[on]], of[on]
     order = np.argsort(col, kind="stable")
     col, of = col[order], of[order]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n), np.uint16 if len(sizes) and sizes.max() < 1 << 16 else np.uint32)
     width = 2048
     for c in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(col, [c, c + width])
         there = np.unique(of[lo:hi])
         dense = np.zeros((len(there), width), np.float32)
         dense[np.searchsorted(there, of[lo:hi]), col[lo:hi] - c] = 1
-        common[np.ix_(there, there)] += dense @ dense.T
-    union = sizes[:, None] + sizes[None, :] - common
-    out = common >= similarity * union - 1e-6
+        for a in range(0, len(there), STRIP):
+            common[np.ix_(there[a : a + STRIP], there)] += (dense[a : a + STRIP] @ dense.T).astype(common.dtype)
+    out = np.zeros((n, n), bool)
+    for a in range(0, n, STRIP):
+        own = slice(a, a + STRIP)
+        union = sizes[own, None] + sizes[None, :] - common[own].astype(np.int64)
+        out[own] = (common[own] >= similarity * union - 1e-6) & (union > 0) & ((side[own, None] == 0) | (side[own, None] != side[None, :]))
     np.fill_diagonal(out, False)
-    return out & ((side[:, None] == 0) | (side[:, None] != side[None, :])) & (union > 0)
+    return out

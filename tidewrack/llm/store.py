@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), one is set."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary one.
+
+    On a cluster a machine's own folder isn't shared, so there an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tidewrack-shared")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,7 +28,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._tidewrack_path = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete what ``keep`` wrote; only for frames that nothing will read again."""
+    spark, path = kept.sparkSession, kept._tidewrack_path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Most rows that Spark hands to Python at once; texts are long, and both sides hold a batch.
