@@ -16,7 +16,7 @@ from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
-from . import records
+from . import notices, records
 from .registry import Query, Registry, clean_sql
 from .registry import table as _table
 
@@ -377,9 +377,12 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(_failure(F.col("quality"), F.col("toxic")).alias("failure")).agg(F.count("*").alias("documents"))
 
 
+_PARTS = (_register, *(m.register for m in (records, notices)))
+
+
 def queries() -> dict[str, Query]:
-    return _register.queries | records.register.queries
+    return {name: q for part in _PARTS for name, q in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _register.sql | records.register.sql
+    return {name: q for part in _PARTS for name, q in part.sql.items()}
