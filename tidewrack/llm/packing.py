@@ -4,18 +4,18 @@ Texts are encoded once and cut losslessly into pieces of at most ``capacity`` to
 Which row a piece goes to depends on its length alone, so the plan is made from the
 histogram of lengths, at most ``capacity`` numbers whatever the input: lengths are
 taken from the largest down, and a segment tree over remaining capacities finds the
-tightest rows that still fit.  Pieces of one length are numbered without a sort of all
-of them in one task: they are dealt to ``SALTS`` slots by hash, counted, and numbered
-within each slot after the counts of the slots before it.  Each piece then looks its
-row and place up in the plan, and each row of ids is gathered from its own pieces.
+tightest rows that still fit.  Pieces of one length are numbered without being brought
+together: each task that encodes texts, a lot, numbers its own pieces of a length from 0,
+and a prefix sum over the lots' counts tells how many pieces of that length lie before.
+Each piece then looks its row and place up in the plan, and each row of ids is gathered
+from its own pieces.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ from .arrow_text import column
 from .store import keep
 
 CAPACITY = 2048
-#: Slots for the pieces of one length, so that no length is numbered by one task.
-SALTS = 64
+#: Most (lot, length) counts, of 24 bytes, that are broadcast; more are joined by a shuffle on both.
+BROADCAST_COUNTS = 500_000
+#: Packed rows in one written matrix.
+MATRIX_ROWS = 256
 
 
 class CapacityTree:
@@ -113,7 +115,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | No
     piece starts, then the end of the last), positions (as ids: each id's place in its
     piece, 0 in the padding), n_tokens, n_segments.  Pieces of a text hold all its ids
     in order.  Null and empty texts have no ids and no place.  Repeated rows are packed
-    as often as they occur; a null key stays null.
+    as often as they occur; a null key stays null.  Texts of any length are cut; an empty
+    table gives no rows.  Other columns of the input are not read, so none can clash.
     """
     path = model or vocab.model_path()
     kind = df.schema[key].dataType.simpleString()
@@ -122,6 +125,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | No
         v = vocab.load(path)
         if len(v.pieces) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        lot, before = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             keys = b.column(0)
             for i, _, ids, per_row in v.encode(column(b, text)):
@@ -132,37 +136,41 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | No
                 ends = np.append(0, np.cumsum(length))
                 raw = ids.astype("<u2").tobytes()
                 tokens = pa.array([raw[2 * a : 2 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + i)), pa.array(part), pa.array(length), tokens], names=[key, "part", "length", "tokens"])
-
-    pieces = df.select(key, text).mapInArrow(encode, f"`{key}` {kind}, part long, length long, tokens binary")
-    pieces = keep(pieces.withColumn("slot", F.pmod(F.xxhash64(key, "part", "tokens"), F.lit(SALTS)).cast("int")), "pack-pieces")
+                order = np.argsort(length, kind="stable")
+                seen = np.bincount(length, minlength=capacity + 1)
+                own = np.empty(len(length), np.int64)
+                own[order] = np.arange(len(length)) - np.repeat(np.cumsum(seen) - seen, seen) + before[length[order]]
+                before += seen
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + i)), pa.array(part), pa.array(length), pa.array(np.full(len(row), lot, np.int64)), pa.array(own), tokens], names=[key, "part", "length", "lot", "own", "tokens"])
+
+    # written once: a lot's numbers hold whatever task reads them later
+    pieces = keep(df.select(key, text).mapInArrow(encode, f"`{key}` {kind}, part long, length long, lot long, own long, tokens binary"), "pack-pieces")
     spark = df.sparkSession
-    # at most capacity * SALTS rows, whatever the input
-    slots = sorted((r.length, r.slot, r.n) for r in pieces.groupBy("length", "slot").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    before = []
-    for length, slot, n in slots:
-        before.append((length, slot, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    runs = plan(counts, capacity)
-    firsts: dict[int, list[int]] = {}
+    lots = keep(pieces.groupBy("lot", "length").agg(F.count("*").alias("n")), "pack-lots")
+    # at most capacity rows, whatever the input
+    counts = {r.length: r.n for r in lots.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table: dict[int, np.ndarray] = {}
-    for length in counts:
-        own = [r for r in runs if r[0] == length]
-        firsts[length], table[length] = [r[1] for r in own], np.array(own, np.int64)
-    shared = spark.sparkContext.broadcast((firsts, table))
-    starts = spark.createDataFrame(before, "length long, slot int, ahead long")
-    one = Window.partitionBy("length", "slot").orderBy(key, "part")
-    numbered = pieces.select(key, "part", "length", "slot", "tokens").join(F.broadcast(starts), ["length", "slot"]).withColumn("number", F.col("ahead") + F.row_number().over(one) - 1)
+    for run in plan(counts, capacity):
+        table.setdefault(run[0], []).append(run[1:])
+    shared = spark.sparkContext.broadcast({length: np.array(own, np.int64).T.copy() for length, own in table.items()})
+    # a window holds the lots of one length: as many rows as there were tasks
+    starts = lots.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("lot")) - F.col("n")).drop("n")
+    starts = starts.hint("broadcast" if lots.count() <= BROADCAST_COUNTS else "merge")
+    numbered = pieces.join(starts, ["lot", "length"]).withColumn("number", F.col("ahead") + F.col("own"))
 
     def place(batches):
-        f, t = shared.value
         for b in batches:
             length, number = (np.asarray(b.column(c)) for c in ("length", "number"))
             bins, at = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for k, (x, q) in enumerate(zip(length.tolist(), number.tolist(), strict=True)):
-                _, q0, row, _, each, room = t[x][bisect.bisect_right(f[x], q) - 1].tolist()
-                bins[k], at[k] = row + (q - q0) // each, room + (q - q0) % each * x
+            order = np.argsort(length, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(length[order]) != 0])).tolist() if len(length) else []
+            for a, z in zip(cuts, [*cuts[1:], len(length)], strict=True):
+                own = order[a:z]
+                x = int(length[own[0]])
+                first, row, _, each, room = shared.value[x]
+                k = np.searchsorted(first, number[own], side="right") - 1
+                q = number[own] - first[k]
+                bins[own], at[own] = row[k] + q // each[k], room[k] + q % each[k] * x
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bins), pa.array(at)], names=[key, "part", "tokens", "bin", "at"])
 
     placed = numbered.select(key, "part", "tokens", "length", "number").mapInArrow(place, f"`{key}` {kind}, part long, tokens binary, bin long, at long")
@@ -190,6 +198,44 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | No
     return rows.mapInArrow(lay, f"bin long, keys array<{kind}>, parts array<long>, ids binary, cu_seqlens array<int>, positions binary, n_tokens long, n_segments long")
 
 
-def write_matrices(packed: DataFrame, folder: str, shards: int = 64) -> None:
-    """Write packed rows as Parquet shards of id matrices, in the order of their row numbers."""
-    packed.repartitionByRange(shards, "bin").sortWithinPartitions("bin").write.parquet(folder)
+def write_matrices(packed: DataFrame, folder: str, rows: int = MATRIX_ROWS) -> None:
+    """Write packed rows as binary matrices, one Parquet row for each run of ``rows`` rows of ids.
+
+    matrix (its number), rows, ids and positions (little-endian unsigned 16-bit, row by
+    row), cu_seqlens (little-endian 32-bit, all rows' lengths so far, each from 0) and
+    segments (32-bit, how many of cu_seqlens each row has), keys and parts of all pieces in order.
+    """
+    kind = packed.schema["keys"].dataType.simpleString()
+    dealt = packed.withColumn("matrix", F.floor(F.col("bin") / rows).cast("long"))
+    dealt = dealt.repartition("matrix").sortWithinPartitions("matrix", "bin")
+
+    def stack(batches):
+        held: list[pa.Table] = []
+
+        def made():
+            t = pa.concat_tables(held).combine_chunks()
+            join = lambda c: b"".join(t[c].to_pylist())
+            cuts = t["cu_seqlens"].combine_chunks()
+            flat = [np.asarray(cuts.flatten()).astype("<i4").tobytes(), np.diff(np.asarray(cuts.offsets)).astype("<i4").tobytes()]
+            lists = [[x for own in t[c].to_pylist() for x in own] for c in ("keys", "parts")]
+            arrays = [pa.array([t["matrix"][0].as_py()]), pa.array([t.num_rows]), pa.array([join("ids")]), pa.array([join("positions")]), *(pa.array([x]) for x in flat), *(pa.array([x], t.schema.field(c).type) for x, c in zip(lists, ("keys", "parts"), strict=True))]
+            return pa.RecordBatch.from_arrays(arrays, names=["matrix", "rows", "ids", "positions", "cu_seqlens", "segments", "keys", "parts"])
+
+        for b in batches:
+            of = np.asarray(b.column(b.schema.get_field_index("matrix")))
+            cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+            for a, z in zip(cuts, [*cuts[1:], len(of)], strict=True):
+                if held and held[0]["matrix"][0].as_py() != of[a]:
+                    yield made()
+                    held.clear()
+                held.append(pa.Table.from_batches([b.slice(a, z - a)]))
+        if held:
+            yield made()
+
+    dealt.mapInArrow(stack, f"matrix long, rows long, ids binary, positions binary, cu_seqlens binary, segments binary, keys {kind}, parts array<long>").write.parquet(folder)
+
+
+def matrices_of(row, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """ids, positions and the cumulative lengths of each row of a written matrix."""
+    ids, positions = (np.frombuffer(row[c], "<u2").reshape(row["rows"], capacity) for c in ("ids", "positions"))
+    return ids, positions, np.split(np.frombuffer(row["cu_seqlens"], "<i4"), np.cumsum(np.frombuffer(row["segments"], "<i4"))[:-1])
