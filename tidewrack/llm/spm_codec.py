@@ -8,9 +8,10 @@ and minus infinity otherwise; exactly one path, the library's encoding, weighs 0
 A giant text is cut into chunks.  A state at a cut is a piece that ends at the cut or
 spans it, so there are few states at any cut.  Each chunk yields the max-plus matrix of
 the best weights from the states at its start to those at its end, without knowing the
-rest of the text.  Matrices combine associatively; one pass over a text's matrices in
-each direction fixes the state at every cut, and each chunk is then traced back by
-itself.  Where a chunk holds a border that no piece crosses, its matrix is the outer
+rest of the text.  Matrices combine associatively, in a tree: each run of ``FAN`` matrices
+is multiplied to one, level by level, until a text has few; the states at the ends of the
+last ones are then handed down, each run finds those at its inner cuts, and each chunk is
+traced back by itself.  Where a chunk holds a border that no piece crosses, its matrix is the outer
 product of two vectors and only the text up to its first border and from its last one
 takes part; what lies between is encoded as it would be alone.
 """
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from .store import keep
 
 #: Code points of a chunk; longer texts are cut.
 CHUNK = 16384
+#: Matrices that one step of the scan multiplies.
+FAN = 64
 LOWEST = float("-inf")
 MARK = vocab.MARK
 
@@ -140,17 +144,60 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def resolve(matrices: list[np.ndarray]) -> list[int]:
-    """The state of the best path at the end of each chunk: a scan forwards, then one backwards."""
-    ahead = [matrices[0]]
+def resolve(matrices: list[np.ndarray], entry: int = 0, exit_: int | None = None) -> list[int]:
+    """The state of the best path at the end of each chunk, given those at both ends (exit: None, the best).
+
+    A scan forwards, then one backwards.
+    """
+    ahead = [matrices[0][entry : entry + 1]]
     for m in matrices[1:]:
-        ahead.append(product(ahead[-1][:1], m))
-    at = [int(ahead[-1][0].argmax())]
+        ahead.append(product(ahead[-1], m))
+    at = [int(ahead[-1][0].argmax()) if exit_ is None else exit_]
     for k in range(len(matrices) - 1, 0, -1):
         at.append(int((ahead[k - 1][0] + matrices[k][:, at[-1]]).argmax()))
     return at[::-1]
 
 
+def _matrices(pdf) -> list[np.ndarray]:
+    return [np.frombuffer(m, "<f4").reshape(h, -1).astype(float) for m, h in zip(pdf.matrix, pdf.height, strict=True)]
+
+
+def scan(matrices: DataFrame, most: int, fan: int = FAN) -> DataFrame:
+    """row, part, entry and exit state of each of the chunks, from (row, part, height, matrix).
+
+    most: the largest part.  A task holds a run of ``fan`` matrices at most, so that a
+    text of any number of chunks is scanned by many tasks, in log(chunks) levels.
+    """
+    tasks = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def multiply(pdf):
+        found = _matrices(pdf.sort_values("part"))
+        whole = found[0]
+        for m in found[1:]:
+            whole = product(whole, m)
+        return pdf[["row", "run"]].head(1).assign(height=len(whole), matrix=[whole.astype("<f4").tobytes()])
+
+    def down(pdf):
+        pdf = pdf.sort_values("part")
+        states = resolve(_matrices(pdf), int(pdf.entry.iloc[0]), None if pdf.exit.iloc[0] < 0 else int(pdf.exit.iloc[0]))
+        return pdf[["row", "part"]].assign(entry=[int(pdf.entry.iloc[0]), *states[:-1]], exit=states)
+
+    if most >= fan:  # read on the way up and on the way down
+        matrices = keep(matrices, "spm-matrices")
+    # a number of partitions that is stated stays: matrices are few bytes for their work, and would be merged into a few tasks
+    levels = [matrices.withColumn("run", F.floor(F.col("part") / fan).cast("long")).repartition(tasks, "row", "run")]
+    while most >= fan:
+        most //= fan
+        up = keep(levels[-1].groupBy("row", "run").applyInPandas(multiply, "row long, run long, height long, matrix binary").select("row", F.col("run").alias("part"), "height", "matrix"), "spm-level")
+        levels.append(up.withColumn("run", F.floor(F.col("part") / fan).cast("long")).repartition(tasks, "row", "run"))
+    told = levels.pop().withColumns({"entry": F.lit(0).cast("long"), "exit": F.lit(-1).cast("long")})
+    states = told.groupBy("row", "run").applyInPandas(down, "row long, part long, entry long, exit long")
+    for level in reversed(levels):
+        above = keep(states.withColumnRenamed("part", "run"), "spm-states")
+        states = level.join(above, ["row", "run"]).groupBy("row", "run").applyInPandas(down, "row long, part long, entry long, exit long")
+    return states
+
+
 def border(text: str, a: int, b: int) -> int:
     """The first place in (a, b] where a new segment starts, or -1: no piece crosses it."""
     for k in range(a + 1, min(b + 1, len(text))):
@@ -270,9 +317,44 @@ def encode_chunked(text: str, path: str, size: int) -> list[int]:
     return [x for k, p in enumerate(parts) for x in p.encode(v, states[k - 1] if k else 0, states[k])] if text else []
 
 
+_pieces: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+
+def pieces_of(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The bytes that each piece stands for, their numbers, and whether a piece is none of its own (control, unknown)."""
+    if path not in _pieces:
+        v = vocab.load(path)
+        own = [bytes([int(p[3:5], 16)]) if b else b"" if s else p.replace(MARK, " ").encode() for p, b, s in zip(v.pieces, v.is_byte, v.special, strict=True)]
+        _pieces[path] = (pa.array(own, pa.large_binary()), np.array([len(x) for x in own]), v.special)
+    return _pieces[path]
+
+
+def decoded(path: str, ids: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of rows of piece ids, end to end, and where each row begins; the space that encoding puts first is still there."""
+    table, length, _ = pieces_of(path)
+    data = np.frombuffer(table.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
+    ends = np.append(0, np.cumsum(length[ids]))
+    return data[: ends[-1]], ends[np.append(0, np.cumsum(per_row))]
+
+
 def decode_ids(path: str, ids: list[list[int]]) -> list[str]:
-    """Texts of id lists; exact for ids that ``encode`` made."""
-    return vocab.load(path).sp.decode(ids)
+    """Texts of id lists, as the library gives them; lists with special ids or odd bytes go through it."""
+    flat = np.fromiter((x for one in ids for x in one), np.int64)
+    per_row = np.array([len(x) for x in ids], np.int64)
+    data, at = decoded(path, flat, per_row)
+    raw, special = data.tobytes(), np.append(0, np.cumsum(pieces_of(path)[2][flat]))
+    rows = np.append(0, np.cumsum(per_row))
+    out = []
+    for k, one in enumerate(ids):
+        text = None
+        if special[rows[k + 1]] == special[rows[k]]:
+            own = raw[at[k] : at[k + 1]]
+            try:
+                text = own[own[:1] == b" " :].decode()
+            except UnicodeDecodeError:
+                pass
+        out.append(vocab.load(path).sp.decode(one) if text is None else text)
+    return out
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "text", model: str | None = None) -> DataFrame:
@@ -296,10 +378,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
     """key, ids (array of int), n_tokens, n_chunks, round_trip (decoding gives the text back).
 
     Texts of one chunk are encoded where they are read.  Chunks of longer ones are dealt
-    out over the cluster, and of each only its matrix goes on to the scan of its text;
-    all matrices of a text are smaller than the text, which had to fit a row.  A null
+    out over the cluster, and of each only its matrix goes on to the scan.  A null
     text counts as empty and has no ids.  Repeated rows and null keys each keep a row:
-    longer texts are followed by a row number of their own, not by their key.
+    longer texts are followed by a row number of their own, not by their key.  An empty
+    table gives an empty one.  Only ``key`` and ``text`` are read, so no other column can clash.
     """
     path = model or vocab.model_path()
     kind = df.schema[key].dataType.simpleString()
@@ -315,7 +397,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
             for i, j, ids, per_row in v.encode(texts):
                 off = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
-                same = _same(path, lists, texts.slice(i, j - i))
+                same = _same(path, ids, per_row, texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), lists, pa.array(per_row.astype(np.int64)), pa.array(np.ones(j - i, np.int64)), pa.array(same)], names=[key, "ids", "n_tokens", "n_chunks", "round_trip"])
 
     schema = f"`{key}` {kind}, ids array<int>, n_tokens long, n_chunks long, round_trip boolean"
@@ -341,14 +423,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
 
     of_chunk = parts.select("row", "part", "piece", "start", "end").mapInArrow(matrices, "row long, part long, height long, matrix binary")
 
-    def scan(pdf):
-        pdf = pdf.sort_values("part")
-        states = resolve([np.frombuffer(m, "<f4").reshape(h, -1).astype(float) for m, h in zip(pdf.matrix, pdf.height, strict=True)])
-        return pdf[["row", "part"]].assign(entry=[0, *states[:-1]], exit=states)
-
-    # a number of partitions that is stated stays: matrices are few bytes for their work, and would be merged into a few tasks
-    dealt = of_chunk.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
-    states = dealt.groupBy("row").applyInPandas(scan, "row long, part long, entry long, exit long")
+    states = scan(of_chunk, parts.agg(F.max("part")).first()[0] or 0)
 
     def back(batches):
         l, v = lattice(path), vocab.load(path)
@@ -373,6 +448,18 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
     return small.unionByName(large)
 
 
-def _same(path: str, lists: pa.ListArray, texts: pa.Array) -> list[bool]:
+def _same(path: str, ids: np.ndarray, per_row: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Whether decoding gives each text back; a literal U+2581 is a space to the model."""
-    return [a == b.replace(MARK, " ") for a, b in zip(decode_ids(path, lists.to_pylist()), texts.to_pylist(), strict=True)]
+    data, at = decoded(path, ids, per_row)
+    prefixed = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.replace_substring(texts, MARK, " "), pa.scalar(" ", pa.large_string()))
+    size = np.asarray(pc.binary_length(texts)) > 0
+    out = np.diff(at) == np.where(size, np.asarray(pc.binary_length(prefixed)), 0)
+    off = np.frombuffer(prefixed.buffers()[1], np.int64)[prefixed.offset : prefixed.offset + len(prefixed) + 1]
+    said = np.frombuffer(prefixed.buffers()[2], np.uint8)
+    if out.all() and size.all():
+        wrong = np.flatnonzero(data != said[off[0] : off[-1]])
+        out[np.searchsorted(at[1:], wrong, side="right")] = False
+        return out
+    for k in np.flatnonzero(out & size).tolist():
+        out[k] = np.array_equal(data[at[k] : at[k + 1]], said[off[k] : off[k + 1]])
+    return out
