@@ -15,7 +15,7 @@ def date_range(text: Column, page_year: Column, box: Column) -> Column:
     December in the first box of a page belongs to the year before; an end month before
     the start month belongs to the year after the start.
     """
-    found = F.regexp_extract_all(text, F.lit(r"(\d{1,2}\.\d{1,2})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(\d{2}\.\d{2})"), F.lit(1))
     part = lambda x, k: F.try_element_at(F.split(x, r"\."), F.lit(k)).try_cast("int")
     first, last = F.try_element_at(found, F.lit(1)), F.coalesce(F.try_element_at(found, F.lit(2)), F.try_element_at(found, F.lit(1)))
     year = page_year - F.when((part(first, 1) == 12) & (box == 0), 1).otherwise(0)

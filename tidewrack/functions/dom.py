@@ -46,8 +46,9 @@ class Node:
                 yield from k.pieces(hidden)
 
     def text(self, between: str = " ") -> str:
-        """Its words; ``between`` stands where tags were."""
-        return between.join(x for x in (" ".join(p.split()) for p in self.pieces()) if x)
+        """Its words; ``between`` stands where tags were, and a newline also where one stands in the page."""
+        parts = (y for p in self.pieces() for y in (p.split("\n") if between == "\n" else [p]))
+        return between.join(x for x in (" ".join(p.split()) for p in parts) if x)
 
     def lines(self) -> list[str]:
         """Lines that breaks and ends of blocks make, without blank ones."""

@@ -180,6 +180,11 @@ NAVIGATION = ("사이트맵", "본문 바로가기", "사이드메뉴", "통합
 FOOTERS = ("만족도조사", "자료관리 담당부서", "Copyright 2024 CNU", "Copyright 2025 CNU")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def body_text(text: Column, title: str) -> Column:
     """A page's text from after its last navigation word to its footer.
 
@@ -188,19 +193,27 @@ def body_text(text: Column, title: str) -> Column:
     there, but not at the start, ends it.
     """
 
-    def end_of(word: str) -> Column:
-        back = F.instr(F.reverse(text), word[::-1])
-        return F.when(back > 0, F.struct((F.length(text) - back - len(word) + 1).alias("start"), (F.length(text) - back + 1).alias("end")))
-
-    cut = F.array_max(F.array(*(end_of(w) for w in NAVIGATION)))["end"]
-    text = F.when(cut.isNull(), text).otherwise(F.ltrim(F.substring(text, cut + 1, F.length(text))))
-    begun = []
-    for word in (w for w in title.split() if len(w) >= 4):
-        at = F.instr(text, word) - 1
-        year = F.regexp_extract(F.substring(text, F.greatest(at - 19, F.lit(1)), F.least(at, F.lit(20))), r"\d{4}학년도\s*$", 0)
-        begun.append(F.when(at > 0, F.substring(text, at + 1 - F.length(year), F.length(text))))
-    text = F.coalesce(*begun, text)
-    return F.coalesce(*(F.when(F.instr(text, w) > 1, F.rtrim(F.substring(text, F.lit(1), F.instr(text, w) - 1))) for w in FOOTERS), text)
+    def after_navigation(t: Column) -> Column:
+        def end_of(word: str) -> Column:
+            back = F.instr(F.reverse(t), word[::-1])
+            return F.when(back > 0, F.struct((F.length(t) - back - len(word) + 1).alias("start"), (F.length(t) - back + 1).alias("end")))
+
+        return let(F.array_max(F.array(*(end_of(w) for w in NAVIGATION)))["end"], lambda cut: F.when(cut.isNull(), t).otherwise(F.ltrim(F.substring(t, cut + 1, F.length(t)))))
+
+    def from_title(t: Column) -> Column:
+        def from_word(word: str) -> Column:
+            def begun(at: Column) -> Column:
+                year = F.regexp_extract(F.substring(t, F.greatest(at - 19, F.lit(1)), F.least(at, F.lit(20))), r"\d{4}학년도\s*$", 0)
+                return F.when(at > 0, F.substring(t, at + 1 - F.length(year), F.length(t)))
+
+            return let(F.instr(t, word) - 1, begun)
+
+        return F.coalesce(*(from_word(w) for w in title.split() if len(w) >= 4), t)
+
+    def to_footer(t: Column) -> Column:
+        return F.coalesce(*(F.when(F.instr(t, w) > 1, F.rtrim(F.substring(t, F.lit(1), F.instr(t, w) - 1))) for w in FOOTERS), t)
+
+    return let(let(let(text, after_navigation), from_title), to_footer)
 
 
 def chrome(text: Column, words: list[str]) -> tuple[Column, Column]:

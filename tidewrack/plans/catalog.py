@@ -16,7 +16,7 @@ from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
-from . import notices, records
+from . import builds, notices, records
 from .registry import Query, Registry, clean_sql
 from .registry import table as _table
 
@@ -377,7 +377,7 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(_failure(F.col("quality"), F.col("toxic")).alias("failure")).agg(F.count("*").alias("documents"))
 
 
-_PARTS = (_register, *(m.register for m in (records, notices)))
+_PARTS = (_register, *(m.register for m in (records, notices, builds)))
 
 
 def queries() -> dict[str, Query]:
