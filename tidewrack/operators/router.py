@@ -1,29 +1,146 @@
-"""Linear classifier over character n-grams: TF-IDF scaled to length one, weights by class."""
+"""Linear classifier over character n-grams: TF-IDF scaled to length one, weights by class.
+
+The model is three small tables.  A text's n-grams are counted and weighed where the text
+is read, so nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
+#: Lengths of the n-grams.
+SHORTEST, LONGEST = 2, 5
+
+
+@lru_cache(maxsize=1 << 16)
+def word_ngrams(word: str) -> tuple[str, ...]:
+    """The n-grams of a padded word; lengths beyond the padded word's own have none."""
+    p = f" {word} "
+    return tuple(p[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(p) - n + 1))
+
+
+def ngrams(text: str | None) -> Iterator[tuple[tuple[str, ...], int]]:
+    """N-grams of each different word, and how often the word stands there."""
+    return ((word_ngrams(w), n) for w, n in Counter((text or "").lower().split()).items())
+
+
+def ngram_profile(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ngrams, distinct_ngrams of each row, without a shuffle; texts without a word have none and go."""
+
+    def run(batches):
+        for b in batches:
+            total, distinct = [], []
+            for t in b.column(1).to_pylist():
+                found = list(ngrams(t))
+                total.append(sum(len(g) * n for g, n in found))
+                distinct.append(len(set().union(*(g for g, _ in found))) if found else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())], names=[key, "ngrams", "distinct_ngrams"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ngrams long, distinct_ngrams long").where("ngrams > 0")
+
+
+@dataclass(frozen=True)
+class Model:
+    """terms and their idf, classes, weights (classes x terms) and biases."""
+
+    terms: dict[str, int]
+    idf: np.ndarray
+    classes: list[int]
+    weight: np.ndarray
+    bias: np.ndarray
+
+    def scores(self, text: str | None) -> np.ndarray:
+        counts: Counter = Counter()
+        for found, n in ngrams(text):
+            for g in found:
+                if (k := self.terms.get(g)) is not None:
+                    counts[k] += n
+        at = np.fromiter(counts, np.int64, len(counts))
+        v = np.fromiter(counts.values(), float, len(counts)) * self.idf[at]
+        norm = np.sqrt((v * v).sum())
+        return self.bias + (self.weight[:, at] @ v / norm if norm > 0 else 0.0)
 
 
-def ngram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf.  N-grams stay in words, so each distinct word of a text is cut once."""
-    words = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), " ")).alias("word")).where("word <> ''").groupBy(key, "word").agg(F.count("*").alias("n"))
-    return words.select(key, "n", F.explode(char_ngrams(F.col("word"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+#: Most terms of a model; it is held by each task.
+MOST_TERMS = 2_000_000
+
+
+def model_of(vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame) -> Model:
+    """The model of tables (term, idf), (term, class, weight), (class, bias); raises where they don't fit together.
+
+    Terms and classes must each be there once, each term needs a number and a weight for
+    each class, and there must be a class.
+    """
+    size = vocabulary.agg(F.count("*").alias("n"), F.count_distinct("term").alias("d"), F.count("idf").alias("idf")).first()
+    if size.n > MOST_TERMS:
+        raise ValueError(f"{size.n} terms; a model has at most {MOST_TERMS}")
+    if size.d != size.n:
+        raise ValueError("terms are null or there twice")
+    if size.idf != size.n:
+        raise ValueError("a term has no idf")
+    biases = sorted((r[0], r[1]) for r in intercepts.select("class", "bias").collect())
+    classes = [c for c, _ in biases]
+    if not classes or len(set(classes)) != len(classes):
+        raise ValueError("there must be classes, each once")
+    terms = sorted((r[0], r[1]) for r in vocabulary.select("term", "idf").collect())
+    number, place = {t: k for k, (t, _) in enumerate(terms)}, {c: k for k, c in enumerate(classes)}
+    rows = weights.select("term", "class", "weight").collect()
+    if len(rows) != len(terms) * len(classes) or any(r[0] not in number or r[1] not in place or r[2] is None for r in rows) or len({(r[0], r[1]) for r in rows}) != len(rows):
+        raise ValueError("weights must be there once for each term and class")
+    weight = np.zeros((len(classes), len(terms)))
+    for t, c, w in rows:
+        weight[place[c], number[t]] = w
+    return Model(number, np.array([x for _, x in terms], float), classes, weight, np.array([b for _, b in biases], float))
+
+
+def scores(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """key, class, score of each row and class."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            made = np.array([m.scores(t) for t in b.column(1).to_pylist()]).reshape(-1, len(m.classes))
+            at = pa.array(np.repeat(np.arange(b.num_rows), len(m.classes)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.tile(m.classes, b.num_rows), pa.int32()), pa.array(np.round(made.ravel(), 6))], names=[key, "class", "score"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, class int, score double")
 
 
 def decide(df: DataFrame, vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame, key: str, text: str) -> DataFrame:
     """key, class, score: the best class of each row, the first of equals.
 
-    vocabulary (term, idf), weights (term, class, weight), intercepts (class, bias).
     Rows without a known n-gram get the intercepts alone.
     """
-    found = ngram_counts(df, key, text).join(vocabulary, "term").withColumn("v", F.col("tf") * F.col("idf"))
-    norm = found.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    sums = found.join(weights, "term").groupBy(key, "class").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
-    every = df.select(key).distinct().join(F.broadcast(intercepts))
-    scored = every.join(sums, [key, "class"], "left").join(norm, key, "left").withColumn("score", F.round(F.col("bias") + F.coalesce(F.col("s") / F.nullif("norm", F.lit(0.0)), F.lit(0.0)), 6))
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), "class")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, "class", "score")
+    every = scores(df, model_of(vocabulary, weights, intercepts), key, text)
+    return every.groupBy(key).agg(F.max(F.struct("score", -F.col("class"))).alias("m")).select(key, (-F.col("m.col2")).alias("class"), F.col("m.score").alias("score"))
+
+
+PARTS = ("vocabulary", "weights", "intercepts")
+
+
+def save(folder: str, vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame) -> None:
+    """Write a model's tables, after they were found to fit together."""
+    model_of(vocabulary, weights, intercepts)
+    for name, df in zip(PARTS, (vocabulary, weights, intercepts), strict=True):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The tables of the first folder that holds a whole model; None without one, and questions then go unrouted."""
+    for folder in folders:
+        try:
+            parts = tuple(spark.read.parquet(f"{folder}/{name}") for name in PARTS)
+            model_of(*parts)
+            return parts
+        except Exception:  # noqa: BLE001 - a model that is missing or broken is one that isn't there
+            continue
+    return None

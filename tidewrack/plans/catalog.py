@@ -16,7 +16,8 @@ from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
-from . import builds, notices, records
+from ..operators import scoring as X
+from . import builds, knowledge, notices, records
 from .registry import Query, Registry, clean_sql
 from .registry import table as _table
 
@@ -43,18 +44,21 @@ _TOP = "(SELECT *, CAST(row_number() OVER (PARTITION BY {q} ORDER BY score DESC,
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top(S.bm25(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")), "item_id", "score", "doc_id", K)
+    return X.bm25_top(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), K)
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return S.top(S.lexical(docs, _table(spark, sf_dir, "benchmark"), F.concat_ws(" ", "source", "lang")), "item_id", "score", "doc_id", K)
+    docs = _table(spark, sf_dir, "documents").withColumn("title", F.concat_ws(" ", "source", "lang"))
+    return X.lexical_top(docs, _table(spark, sf_dir, "benchmark"), K, "title")
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return S.top(S.dense(v, asked, "vec_id", "query_id"), "query_id", "score", "vec_id", K)
+    return X.dense_top(v, _asked(v), K, "vec_id", "query_id")
 
 
 _DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
@@ -107,7 +111,7 @@ def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_topk_domain_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics cover the documents that the filter leaves."""
     docs = _table(spark, sf_dir, "documents").where(F.col("source").isNull() | (F.col("source") != "src0"))
-    return S.top(S.bm25(docs, _table(spark, sf_dir, "benchmark")), "item_id", "score", "doc_id", K).select("item_id", "doc_id", "score", "rank")
+    return X.bm25_top(docs, _table(spark, sf_dir, "benchmark"), K)
 
 
 _RANKED = f"{_BM25}, r AS {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)}"
@@ -162,8 +166,7 @@ SELECT label, support, round(CASE WHEN said > 0 THEN both_ / said ELSE 0 END, 6)
 def label_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other vector's label as the prediction of each query vector's."""
     v = _table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    best = S.top(S.dense(v, asked, "vec_id", "query_id").where("vec_id <> query_id"), "query_id", "score", "vec_id", 1)
+    best = X.dense_top(v, _asked(v), 1, "vec_id", "query_id", others=True)
     labels = v.select("vec_id", "label")
     pairs = best.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth")), "query_id")
     return Q.f1_by_label(pairs, "truth", "label")
@@ -183,7 +186,7 @@ def docs_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     docs = _table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("total"), (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_ids"), F.count_if(blank("text")).alias("empty_text"), F.count_if(blank("source")).alias("no_source"), (F.count("*") - F.count_distinct("text")).alias("repeated_texts"))
+    return docs.agg(F.count("*").alias("total"), (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_ids"), F.count_if(blank("text")).alias("empty_text"), F.count_if(blank("source")).alias("no_source"), (F.count("*") - F.count_distinct(F.sha2("text", 256))).alias("repeated_texts"))
 
 
 @_register("SELECT count(*) AS docs, CAST(sum(CAST('0x' || substr(md5(doc_id || '|' || text), 1, 12) AS BIGINT)) AS DECIMAL(38,0)) AS fingerprint FROM documents")
@@ -310,8 +313,7 @@ p AS (SELECT doc_id, ' ' || w || ' ' AS p FROM w),
 g AS (SELECT doc_id, unnest(list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))) AS term FROM p, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE length(p) >= k)
 SELECT doc_id, count(*) AS ngrams, count(DISTINCT term) AS distinct_ngrams FROM g GROUP BY 1""")
 def char_ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = router.ngram_counts(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return counts.groupBy("doc_id").agg(F.sum("tf").alias("ngrams"), F.count("*").alias("distinct_ngrams"))
+    return router.ngram_profile(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 #: A small linear model: term, idf, and a weight for each class; bias by class.
@@ -319,13 +321,16 @@ _MODEL = [("th", 1.2, 1.5, -0.5, -0.7), ("sch", 1.9, -0.8, 1.8, -0.6), (" le", 1
 _BIAS = [(0, 0.2), (1, -0.1), (2, 0.0)]
 
 
-@_register(f"""WITH v(term, idf, w0, w1, w2) AS (VALUES {', '.join(str(m) for m in _MODEL)}), b(c, bias) AS (VALUES {', '.join(str(x) for x in _BIAS)}),
+_ROUTED = f"""WITH v(term, idf, w0, w1, w2) AS (VALUES {', '.join(str(m) for m in _MODEL)}), b(c, bias) AS (VALUES {', '.join(str(x) for x in _BIAS)}),
 w AS (SELECT item_id, ' ' || unnest(list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) || ' ' AS p FROM benchmark),
 g AS (SELECT item_id, unnest(list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))) AS term FROM w, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE length(p) >= k),
 t AS (SELECT item_id, term, count(*) * CAST(any_value(idf) AS DOUBLE) AS x, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2 FROM g JOIN v USING (term) GROUP BY 1, 2),
 n AS (SELECT item_id, sqrt(sum(x * x)) AS norm, sum(x * CAST(w0 AS DOUBLE)) AS s0, sum(x * CAST(w1 AS DOUBLE)) AS s1, sum(x * CAST(w2 AS DOUBLE)) AS s2 FROM t GROUP BY 1),
 s AS (SELECT item_id, c AS class, round(CAST(bias AS DOUBLE) + coalesce(CASE c WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END / norm, 0), 6) AS score FROM benchmark CROSS JOIN b LEFT JOIN n USING (item_id))
-SELECT item_id, class, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, class) = 1""")
+"""
+
+
+@_register(_ROUTED + "SELECT item_id, class, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, class) = 1")
 def linear_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = spark.createDataFrame([(m[0], m[1]) for m in _MODEL], "term string, idf double")
     weights = spark.createDataFrame([(m[0], c, m[2 + c]) for m in _MODEL for c in range(3)], "term string, class int, weight double")
@@ -377,7 +382,8 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(_failure(F.col("quality"), F.col("toxic")).alias("failure")).agg(F.count("*").alias("documents"))
 
 
-_PARTS = (_register, *(m.register for m in (records, notices, builds)))
+knowledge.register.sql["router_margins"] = _ROUTED + "SELECT item_id, round(max(score) - min(score) FILTER (n = 2), 5) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS n FROM s) WHERE n <= 2 GROUP BY item_id"
+_PARTS = (_register, *(m.register for m in (records, notices, builds, knowledge)))
 
 
 def queries() -> dict[str, Query]:
