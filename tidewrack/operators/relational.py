@@ -73,3 +73,21 @@ def month_documents(spans: DataFrame, after: str) -> DataFrame:
     months = rows.groupBy(month).agg(F.array_sort(F.collect_list(F.struct("start", "end", "name", "line"))).alias("all"), F.count("*").alias("events"))
     head = F.concat(F.year(month).cast("string"), F.lit("년 "), F.month(month).cast("string"), F.lit(f"월{after}\n\n"))
     return months.select(F.concat(F.lit("calendar_month_"), F.date_format(month, "yyyy_MM")).alias("id"), F.concat(head, F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"), "events")
+
+
+#: Most rows of a list that names are held against.
+MOST_NAMES = 10_000
+
+
+def contained(df: DataFrame, key: str, name: Column, listed: DataFrame, value: str, order: str) -> DataFrame:
+    """key and the first value (by order) of a short list that the name holds or that holds the name; others go.
+
+    The list is sent to all tasks, so its length is checked; each row keeps its best match
+    before anything is shuffled.
+    """
+    n = listed.limit(MOST_NAMES + 1).count()
+    if n > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    few = listed.select(F.col(order).alias("_o"), F.col(value).alias(value))
+    met = df.select(key, name.alias("_name")).join(F.broadcast(few), F.contains("_name", value) | F.contains(value, "_name"))
+    return met.groupBy(key).agg(F.min_by(value, "_o").alias(value))

@@ -6,7 +6,7 @@ whose id is divisible by 100, as their stated query set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -17,7 +17,7 @@ from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
 from ..operators import scoring as X
-from . import builds, knowledge, notices, records
+from . import builds, knowledge, notices, records, service
 from .registry import Query, Registry, clean_sql
 from .registry import table as _table
 
@@ -337,21 +337,28 @@ def linear_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.decide(_table(spark, sf_dir, "benchmark"), vocabulary, weights, spark.createDataFrame(_BIAS, "class int, bias double"), "item_id", "text")
 
 
-_QUESTIONS = [("오늘 식단 알려줘", "오늘 식단 알려줘 2026-06-13"), ("이번 주말 셔틀", "이번 주말 셔틀 2026-06-13 2026-06-14"), ("2026-06-01 오늘", "2026-06-01 오늘"), ("다음주 일정", "다음주 일정 " + " ".join(f"2026-06-{d}" for d in range(15, 22))), ("plain question", "plain question")]
+_WORDS = {"오늘 식단": [0], "내일 메뉴": [1], "이번 주말 셔틀": [0, 1], "다음주 일정": list(range(2, 9)), "plain": []}
 
 
-@_register("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{a}')" for q, a in _QUESTIONS) + ") t(question, expanded)")
+@_register("SELECT o_orderkey, CASE o_orderkey % 6 " + " ".join(f"WHEN {n} THEN '{w} ' || o_orderkey || '{''.join(' ' + f'2026-06-{13 + d:02}' for d in days)}'" for n, (w, days) in enumerate(_WORDS.items())) + " ELSE '오늘 ' || strftime(o_orderdate, '%Y-%m-%d') END AS expanded FROM orders")
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q, _ in _QUESTIONS], "question string").select("question", T.expand_dates(F.col("question"), AS_OF).alias("expanded"))
+    """Questions with day and week words get the dates that they mean; one that holds a date stays."""
+    k = F.col("o_orderkey")
+    asked = F.coalesce(*(F.when(k % 6 == n, F.concat(F.lit(w + " "), k.cast("string"))) for n, w in enumerate(_WORDS)), F.concat(F.lit("오늘 "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.expand_dates(asked, AS_OF).alias("expanded"))
 
 
-_RANGES = [("09.01", 2025, 8, "2025-09-01", "2025-09-01"), ("12.22 ~ 01.05", 2026, 0, "2025-12-22", "2026-01-05"), ("02.30", 2025, 1, None, None), ("06.10~06.21", 2024, 5, "2024-06-10", "2024-06-21"), ("none", 2024, 5, None, None)]
-
-
-@_register("SELECT text, CAST(a AS DATE) AS start_day, CAST(z AS DATE) AS end_day FROM (VALUES " + ", ".join(f"('{t}', {a!r}, {z!r})" for t, _, _, a, z in _RANGES).replace("None", "NULL") + ") t(text, a, z)")
+@_register("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_custkey % 60 AS INT) AS u, year(o_orderdate) AS y, o_custkey % 2 = 0 AS one, o_custkey % 3 AS box FROM orders),
+s AS (SELECT *, TRY_CAST(format('{:04d}-{:02d}-{:02d}', y - CASE WHEN month(d) = 12 AND box = 0 THEN 1 ELSE 0 END, month(d), day(d)) AS DATE) AS a, CASE WHEN one THEN d ELSE u END AS v FROM o),
+z AS (SELECT *, TRY_CAST(format('{:04d}-{:02d}-{:02d}', y - CASE WHEN month(d) = 12 AND box = 0 THEN 1 ELSE 0 END + CASE WHEN month(v) < month(d) THEN 1 ELSE 0 END, month(v), day(v)) AS DATE) AS b FROM s)
+SELECT o_orderkey, CASE WHEN b IS NOT NULL THEN a END AS start_day, CASE WHEN a IS NOT NULL THEN b END AS end_day FROM z""")
 def calendar_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in _RANGES], "text string, year int, box int").withColumn("r", C.date_range(F.col("text"), F.col("year"), F.col("box")))
-    return rows.select("text", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
+    """Days and ranges of days in short form, in three boxes of a page for the order's year."""
+    d = F.col("o_orderdate").cast("date")
+    short = lambda x: F.date_format(x, "MM.dd")
+    text = F.when(F.col("o_custkey") % 2 == 0, F.concat(short(d), F.lit("(월)"))).otherwise(F.concat(short(d), F.lit(" ~ "), short(F.date_add(d, (F.col("o_custkey") % 60).cast("int")))))
+    span = C.date_range(text, F.year(d), F.col("o_custkey") % 3)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", span.alias("r")).select("o_orderkey", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
 
 
 @_register("""SELECT o_orderkey, strftime(d, '%Y-%m-%d') || ' (' || ['월', '화', '수', '목', '금', '토', '일'][isodow(d)] || ') ' || strftime(m, '%Y-%m-%d') || '~' || strftime(m + 6, '%Y-%m-%d') || ' ' || strftime(m + 7, '%Y-%m-%d') || '~' || strftime(m + 13, '%Y-%m-%d') AS context,
@@ -361,29 +368,24 @@ def week_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", C.week_context(day).alias("context"), C.last_workday_before(day).alias("workday_before"))
 
 
-_GRID = "<table><tr><th rowspan=2>meal</th><th colspan=2>hall</th></tr><tr><td>one</td><td>two<br>three</td></tr><tr><td>noon</td><td colspan=2>soup</td></tr></table>"
-_CELLS = [(0, "meal|hall|hall"), (1, "meal|one|two;three"), (2, "noon|soup|soup")]
-
-
-@_register("SELECT CAST(r AS INT) AS line, cells FROM (VALUES " + ", ".join(f"({r}, '{c}')" for r, c in _CELLS) + ") t(r, cells)")
+@_register("""SELECT p_partkey, l AS line, CASE l WHEN 0 THEN 'k|' || p_brand || '|' || p_brand WHEN 1 THEN 'k|' || p_name || '|' || p_type || ';' || p_size WHEN 2 THEN 'k|' || p_name || '|x' ELSE p_brand || '|' || repeat('e|', CAST(p_size AS INT) - 1) || 'e' END AS cells FROM part, (VALUES (0), (1), (2), (3)) t(l)""")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(_GRID,)], "html string").select(F.posexplode(M.table_grid("html")).alias("line", "c"))
-    return rows.select("line", F.replace(F.array_join("c", "|"), F.lit("\n"), F.lit(";")).alias("cells"))
-
-
-def _failure(found: Column, expected: Column) -> Column:
-    return F.when(found.isNull(), "data_missing").when(expected.isNull(), "ok").when(found != expected, "retrieval_miss").otherwise("ok")
-
-
-@_register("""SELECT failure, count(*) AS documents FROM (SELECT CASE WHEN l.quality IS NULL THEN 'data_missing' WHEN l.toxic IS NULL THEN 'ok' WHEN l.quality <> l.toxic THEN 'retrieval_miss' ELSE 'ok' END AS failure
-FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1""")
-def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy(_failure(F.col("quality"), F.col("toxic")).alias("failure")).agg(F.count("*").alias("documents"))
-
-
+    """Tables with cells that span rows and columns, as many as the part's size."""
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    html = F.concat(
+        F.lit("<table><tr><th rowspan='3'>k</th><th colspan=2>"), "p_brand", F.lit("</th></tr><tr><td rowspan=2>"), name, F.lit("</td><td>"), kind, F.lit("<br>"), size,
+        F.lit("</td></tr><tr><td>x</td></tr><tr><td>"), "p_brand", F.lit('</td><td colspan="'), size, F.lit('">e</td></tr></table><table><tr><td>no</td></tr></table>'),
+    )
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(M.table_grid(html)).alias("line", "c"))
+    return rows.select("p_partkey", "line", F.replace(F.array_join("c", "|"), F.lit("\n"), F.lit(";")).alias("cells"))
+
+
+_MEASURED = f"""WITH {_BM25}, {_LEX}, r AS (SELECT 'bm25' AS mode, * FROM {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)} UNION ALL SELECT 'lexical', * FROM {_TOP.format(q='item_id', k='doc_id', f='lx', n=K)}),
+e AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN NULL ELSE 'en' END AS expected FROM benchmark),
+h AS (SELECT e.item_id, expected, m AS mode, count(r.doc_id) AS found, coalesce(bool_or(lang = expected AND rank = 1), false) AS top1, coalesce(bool_or(lang = expected), false) AS topk FROM e CROSS JOIN (VALUES ('bm25'), ('lexical')) t(m) LEFT JOIN r ON r.item_id = e.item_id AND r.mode = m AND e.item_id % 10 <> 9 LEFT JOIN documents USING (doc_id) GROUP BY ALL)"""
+service.register.sql |= {name: q.replace("__MEASURED__", _MEASURED) for name, q in service.register.sql.items()}
 knowledge.register.sql["router_margins"] = _ROUTED + "SELECT item_id, round(max(score) - min(score) FILTER (n = 2), 5) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS n FROM s) WHERE n <= 2 GROUP BY item_id"
-_PARTS = (_register, *(m.register for m in (records, notices, builds, knowledge)))
+_PARTS = (_register, *(m.register for m in (records, notices, builds, knowledge, service)))
 
 
 def queries() -> dict[str, Query]:

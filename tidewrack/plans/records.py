@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boards as B
 from ..functions import menus as M
 from ..functions import text as T
+from ..functions.calendar import DAYS
 from ..operators import answers as A
 from ..operators import menus as D
 from ..operators import relational as R
@@ -21,18 +22,17 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-_DATED = [
-    ("오늘 학식", "2026-06-13", None), ("내일모레 2학 메뉴", "2026-06-15", "제2학생회관"), ("다음주 월, 수 3학", "2026-06-15,2026-06-17", "제3학생회관"),
-    ("주간 식단표", "2026-06-08,2026-06-09,2026-06-10,2026-06-11,2026-06-12", None), ("다음 주말 생활과학대학", "2026-06-20,2026-06-21", "생활과학대학"),
-    ("월요일~수요일 제 1 학생회관", "2026-06-08,2026-06-09,2026-06-10", "제1학생회관"), ("6월 16일 학식", "2026-06-16", None), ("6월 메뉴", None, None),
-    ("이번주 월요일이랑 다음주 화요일", "2026-06-08", None), ("2학년 학식", None, None), ("다음주 금, 월, 월, 수, 토, 일", "2026-06-15,2026-06-17,2026-06-19,2026-06-20,2026-06-21", None),
-]
-
-
-@register(f"SELECT * FROM (VALUES {_values(_DATED)}) t(question, days, hall)")
+@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(coalesce(TRY_CAST(format('2026-{:02d}-{:02d}', month(o_orderdate), day(o_orderdate)) AS DATE), TRY_CAST(format('2026-06-{:02d}', day(o_orderdate)) AS DATE)), '%Y-%m-%d')
+WHEN 2 THEN strftime(TRY_CAST(format('2026-06-{:02d}', day(o_orderdate)) AS DATE), '%Y-%m-%d') WHEN 3 THEN strftime(DATE '2026-06-15' + CAST(isodow(o_orderdate) AS INT) - 1, '%Y-%m-%d') WHEN 4 THEN '2026-06-12' END AS days,
+CASE o_custkey % 3 WHEN 0 THEN '제2학생회관' WHEN 1 THEN '생활과학대학' END AS hall FROM orders""")
 def menu_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q, _, _ in _DATED], "question string")
-    return asked.select("question", F.array_join(M.menu_dates(F.col("question"), AS_OF), ",").alias("days"), M.hall_of(F.col("question")).alias("hall"))
+    """Menu questions that name days in five ways, or none, and halls."""
+    k, d, by = F.col("o_orderkey") % 6, F.col("o_orderdate"), F.col("o_custkey") % 3
+    name = F.element_at(F.array(*(F.lit(x) for x in DAYS)), F.weekday(d) + 1)
+    day = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "M월 d일")).when(k == 2, F.date_format(d, "d일")).when(k == 3, F.concat(F.lit("다음 주 "), name, F.lit("요일"))).when(k == 4, "어제").otherwise("6월")
+    asked = F.concat(day, F.when(by == 0, " 제 2 학생회관 학식").when(by == 1, " 생활 과학 메뉴").otherwise(" 2학년 학식"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", asked.alias("q"))
+    return rows.select("o_orderkey", F.array_join(M.menu_dates(F.col("q"), AS_OF), ",").alias("days"), M.hall_of(F.col("q")).alias("hall"))
 
 
 _COMPOUNDS = {("수강", "신청"): "수강신청", ("2", "학생", "회관"): "제2학생회관", ("제", "2", "학생", "회관"): "제2학생회관", ("통학", "버스"): "통학버스", ("통학버스", "시간"): "통학버스시간"}
@@ -102,12 +102,12 @@ def price_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("p_brand", F.when(F.col("lo").isNull(), "no price").when(F.col("lo") == F.col("hi"), low).otherwise(F.concat(low, F.lit("~"), high)).alias("prices"))
 
 
-@register("""SELECT o_orderkey, pinned FROM (SELECT *, o_orderpriority = '1-URGENT' AS pinned, row_number() OVER (PARTITION BY o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= CASE WHEN pinned THEN 5 ELSE 20 END""")
+@register("""SELECT o_orderkey, pinned FROM (SELECT *, o_orderpriority = '1-URGENT' AS pinned, row_number() OVER (PARTITION BY o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE pinned OR n <= 20""")
 def pinned_and_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 5 pinned notices and the newest 20 others; each list is a top-n, not a window over one group."""
+    """All pinned notices and the newest 20 others; the list is a top-n, not a window over one group."""
     marked = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderpriority") == "1-URGENT").alias("pinned"))
-    newest = lambda df, n: df.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(n)
-    return newest(marked.where("pinned"), 5).unionByName(newest(marked.where("NOT pinned"), 20)).select("o_orderkey", "pinned")
+    newest = marked.where("NOT pinned").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(20)
+    return marked.where("pinned").unionByName(newest).select("o_orderkey", "pinned")
 
 
 @register("""WITH t AS (SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%gasket%' AND p_size % 2 = 0 THEN 1 WHEN lower(p_name) LIKE '%gasket%' THEN 2 ELSE 3 END AS stage, p_name FROM part)
@@ -212,11 +212,13 @@ def prediction_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("rows"), F.count_if(~same).alias("mismatches"), F.round(F.avg(same.cast("int")), 6).alias("match_rate"), F.bool_and(same).alias("passed"))
 
 
-@register("SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' AND trim(text) <> '' THEN 'llm' WHEN role = 'user' THEN 'fallback' END, 'none') AS mode FROM conversations")
+@register("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank' WHEN turn % 3 <> 0 THEN 'A ' || text WHEN turn % 2 = 0 THEN 'B ' || text ELSE 'C' END AS model, CASE WHEN trim(text) = '' THEN 'fallback' WHEN turn % 3 <> 0 THEN 'llm' WHEN turn % 2 = 0 THEN 'llm_retry' ELSE 'fallback' END AS mode FROM conversations WHERE role = 'user'""")
 def batch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.col("role") == "user"
-    blank = F.trim("text") == ""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(asked & ~blank, "llm").when(asked, "fallback").otherwise("none").alias("mode"))
+    """A batch whose first or second try may fail."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").withColumnRenamed("text", "question")
+    first = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("A "), "question"))
+    second = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("B "), "question"))
+    return A.batch(asked, first, second, F.lit("C"), "blank").select("conv_id", "turn", "model", "mode")
 
 
 @register("""SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) > 1""")
@@ -230,10 +232,9 @@ _FAMILIES = [(0, "red"), (1, "widget"), (2, "ring"), (3, "gasket cover"), (4, "b
 
 @register(f"""SELECT p_partkey, family FROM part, (VALUES {_values(_FAMILIES)}) f(ord, family) WHERE contains(p_name, family) OR contains(family, p_name) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY ord) = 1""")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part with the first family that its name holds, or that holds its name; the families are a configured list."""
-    name = F.col("p_name")
-    fits = [F.when(F.contains(name, F.lit(f)) | F.contains(F.lit(f), name), f) for _, f in _FAMILIES]
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(*fits).alias("family")).where("family IS NOT NULL")
+    """Each part with the first family that its name holds, or that holds its name; the families are a configured list of a few rows."""
+    families = spark.createDataFrame(_FAMILIES, "ord int, family string")
+    return R.contained(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), families, "family", "ord").select("p_partkey", "family")
 
 
 _DOMAINS = [("/en/", "english"), ("/fr/", "french"), (".net", "network"), (".org", "society")]
