@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrack.llm import fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, queries, spm_codec, token_counts, url_gbt, vocab
+from tidewrack.llm import byte_bpe, fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, queries, spm_codec, token_counts, url_gbt, vocab
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, ids string, bin long, rank int, class_id long, host string"
@@ -107,6 +107,24 @@ def test_op1_measures(spark, docs, v):
 def test_op1_keeps_good_and_rejects_some_bad(spark):
     out = queries.op1_fertility(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     assert out.where("quality = 1 and not kept").count() == 0
+    bad = out.where("quality = 0")
+    assert bad.where("not kept").count() >= 0.3 * bad.count() > 0
+
+
+def test_op1_bands_hold_for_short_texts(spark):
+    short = ["zq" * 60, "the cat sat on the mat and looked at the dog", "x", "", None]
+    got = {r.text: r for r in fertility.screen(spark.createDataFrame([(t, "en") for t in short], "text string, lang string")).collect()}
+    assert got[short[0]].n_tokens < 150 and got[short[0]].band_failed
+    assert not any(got[t].band_failed for t in short[1:]) and {got[t].band for t in short} == {"en"}
+
+
+def test_op1_byte_vocabulary_on_whole_texts(docs):
+    multi = byte_bpe.load(*byte_bpe.ranks_path())
+    for r in docs.limit(20).collect():
+        assert multi.by_pieces(r.text or "").tolist() == multi.encode(r.text or "").tolist() == multi.encoding.encode_ordinary(r.text or "")
+    gap = "a" + " " * 2_000_000 + "b"
+    assert multi.encoding.decode_bytes(multi.encode(gap).tolist()).decode() == gap
+    assert not multi.is_byte[multi.encode("plain words")].any() and multi.is_byte[multi.encode("\U0001f9ff")].any()
 
 
 def test_segments_give_the_librarys_ids(v):

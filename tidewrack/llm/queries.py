@@ -19,7 +19,7 @@ BLOCKED_WORDS = ["casino", "bets", "pills", "spam", "ads-", "-track"]
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = fertility.screen(docs, carry=["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "band")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band_failed", "n_tokens", "chars_per_token", "byte_share", "entropy", "multi_tokens", "multi_chars_per_token", "multi_byte_share", "multi_entropy", "band")
 
 
 def op2_spm_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
