@@ -248,6 +248,33 @@ def test_op5_rules_and_trees(spark):
     assert url_gbt.judge(pages.limit(0), url_gbt.learn(spark.createDataFrame([], "url string, label int")), queries.URL_RULES).count() == 0
 
 
+def test_op5_odd_urls_and_names(spark):
+    long = "http://a.org/" + "x/" * 50_000 + "?" + "k=1&" * 5_000
+    urls = [long, long, "http://b.com", "http://b.com", None, None]
+    df = spark.createDataFrame([(k, u, "f", "u", "b", "d") for k, u in enumerate(urls)], ["page_id", "url", "f_depth", "u_host", "_bins", "a.b"])
+    both = spark.createDataFrame([("http://b.com", 1), ("http://b.com", 0), ("http://b.com", 0), ("http://c.com", None)], "url string, label int")
+    got = url_gbt.judge(df, url_gbt.learn(both), []).orderBy("page_id").collect()
+    assert [(r.f_depth, r.u_host, r._bins, r["a.b"]) for r in got] == [("f", "u", "b", "d")] * 6
+    assert all(got[k][3:] == got[k + 1][3:] for k in (0, 2, 4))
+    assert got[0].path == "/" + "x/" * 50_000 and {r.block_score for r in got} == {0.5}
+
+
+def test_op5_held_out_verdicts(spark):
+    """Labels by how a URL is built, no word in common between the URLs fitted on and those held out."""
+    r = random.Random(4)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+
+    def made(block):
+        if block:
+            return f"http://{word(4)}{r.randint(100, 9999)}-{word(3)}{r.randint(10, 99)}.{word(5)}.test/{word(3)}?" + "&".join(f"{word(2)}={r.randint(1, 10**8)}" for _ in range(r.randint(2, 6)))
+        return f"https://{word(9)}.test/" + "/".join(word(r.randint(3, 8)) for _ in range(r.randint(1, 4)))
+
+    rows = [(made(k % 3 == 0), int(k % 3 == 0)) for k in range(1500)]
+    model = url_gbt.learn(spark.createDataFrame(rows[:1000], "url string, label int"))
+    out = url_gbt.judge(spark.createDataFrame(rows[1000:], "url string, label int"), model, [])
+    assert out.where("(verdict = 'block') = (label = 1)").count() >= 0.95 * 500
+
+
 def test_op5_counts_suffixes_over_all_labelled_urls(spark, monkeypatch):
     monkeypatch.setattr(url_gbt, "SAMPLE", 300)
     urls = [(f"http://a{k}.rare.test/{k}", 1) for k in range(90)] + [(f"http://b{k}.few.test/{k}", 1) for k in range(49)] + [(f"http://c{k}.site{k % 30}.test/{k}", k % 3 == 0) for k in range(1800)]

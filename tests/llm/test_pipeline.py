@@ -23,6 +23,16 @@ def test_odd_rows_and_empty_tables(spark, docs):
     assert P.near_duplicates(spark, odd, SF).count() == 4 - 1 + 0  # null and empty texts are one class
 
 
+def test_columns_of_any_name_stay_as_they_are(spark, docs):
+    names = ["k_own", "score", "predicted", "_redacted", "a.b", "in_text", "digest", "class_id", "cosine", "root"]
+    wide = docs.limit(60).select("*", *(F.concat(F.lit(f"{k}-"), F.col("doc_id")).alias(n) for k, n in enumerate(names)))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{k}-{r.doc_id}" for k in range(len(names))], name
+
+
 def test_quality_keeps_good_documents(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = P.quality(spark, docs, SF).join(labels, "doc_id")

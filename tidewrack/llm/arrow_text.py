@@ -169,19 +169,28 @@ def add_columns(df, text: str, fields: str, fn, carry: list[str] | None = None,
     where ``df`` has none of that name.  A carried column whose name is among the new
     ones is replaced.  There is no shuffle; rows keep their partition.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     new = StructType.fromDDL(fields)
     kept = [c for c in (df.columns if carry is None else carry) if c not in new.names]
     more = [second] if second in df.columns else []
-    source = df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, text, *more])))
-    out = StructType([*(source.schema[c] for c in kept), *new])
+    read = list(dict.fromkeys([*kept, text, *more]))
+    # columns go by place: a name with a dot could not be passed to Python
+    source = df.select(*(quoted(c).alias(f"c{k}") for k, c in enumerate(read)))
+    out = StructType([*(StructField(c, source.schema[read.index(c)].dataType) for c in kept), *new])
 
     def run(batches):
         for batch in batches:
-            args = [batch.column(batch.schema.get_field_index(c)) for c in more] or [None] * (second is not None)
-            made = fn(column(batch, text), *args)
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            args = [batch.column(read.index(c)) for c in more] or [None] * (second is not None)
+            made = fn(column(batch, f"c{read.index(text)}"), *args)
+            arrays = [batch.column(read.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(made[c]) for c in new.names)], names=out.names)
 
     return source.mapInArrow(run, out)
+
+
+def quoted(name: str):
+    """The column of exactly this name."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -309,7 +309,8 @@ def score(docs: DataFrame, field: LineField, text: str = "text", carry: list[str
 
     A null text counts as empty; texts without a word get the sample's share of good ones.
     Rows are scored one by one, from all lines of a text, so repeated rows get equal
-    scores.  Columns called score or predicted are replaced.
+    scores; a very long text is scored alone.  An empty table gives an empty one.  Columns
+    called score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .arrow_text import add_columns, slices
+from .arrow_text import add_columns, quoted, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "national_id", "iban", "local_phone", "masked_email")
@@ -295,17 +295,19 @@ def detect(df: DataFrame, model: Model, text: str = "text", carry: list[str] | N
 def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The frame with each span of ``text`` replaced by its kind in brackets.
 
-    A null text stays null; all other columns stay, whatever their names, but a column
-    called _redacted is refused.  Rows are independent and keep their place.
+    A null text stays null; all other columns stay, whatever their names.  Rows are
+    independent and keep their place, so repeated rows are redacted alike and an empty table
+    gives an empty one; texts of any length are read whole.
     """
-    if "_redacted" in df.columns:
-        raise ValueError("the name _redacted is taken")
+    new = "_redacted"
+    while new in df.columns:
+        new += "_"
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def measure(texts: pa.Array) -> dict:
         flags = _telling(texts)
         if not any(flags):
-            return {"_redacted": texts.cast(pa.string())}
+            return {new: texts.cast(pa.string())}
         out = []
         for k, some in enumerate(flags):
             t = texts[k].as_py()
@@ -317,7 +319,7 @@ def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         done = z
                 t = "".join(parts) + t[done:]
             out.append(t)
-        return {"_redacted": pa.array(out, pa.string())}
+        return {new: pa.array(out, pa.string())}
 
-    made = add_columns(df, text, "_redacted string", measure)
-    return made.select(*(F.when(F.col(f"`{c}`").isNotNull(), F.col("_redacted")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
+    made = add_columns(df, text, f"{new} string", measure)
+    return made.select(*(F.when(quoted(c).isNotNull(), F.col(new)).alias(c) if c == text else quoted(c) for c in df.columns))

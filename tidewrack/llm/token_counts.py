@@ -20,7 +20,8 @@ def count_tokens(df: DataFrame, text: str = "text", model: str | None = None, li
     """Adds n_bytes, n_tokens, n_whole (tokens found by the shortcut) and over_limit.
 
     A null text counts as empty, which has no tokens.  Rows are independent, so ties and
-    repeated rows each get their own count; an empty table gives an empty one.
+    repeated rows each get their own count; an empty table gives an empty one.  Texts are
+    counted whole, whatever their length.  Columns with the name of an added one are replaced.
     """
     path = model or vocab.model_path()
 

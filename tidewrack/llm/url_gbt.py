@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import quoted
 from .store import keep
 
 #: Labelled URLs that the trees are fitted on, chosen by the hash of the URL.
@@ -121,8 +122,9 @@ def learn(labelled: DataFrame, url: str = "url", label: str = "label", trees: in
     """Boost logistic-loss trees on (url, label), label 1 to block.
 
     The prior and the suffixes' statistics are counted over all distinct labelled URLs, the
-    trees are fitted on at most SAMPLE of them; null labels are left out.  With no rows or
-    one label only, the model gives the prior.
+    trees are fitted on at most SAMPLE of them; null labels are left out.  Repeated rows
+    count once, and a URL with both labels once with each, so that its own evidence cancels.
+    With no rows or one label only, the model gives the prior.  Other columns aren't read.
     """
     known = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(label).cast("int").alias("y")).distinct()
     known = keep(known.withColumn("suffix", suffix_of(host_of(F.col("url")))), "url-labelled")
@@ -194,15 +196,20 @@ def judge(df: DataFrame, model: Trees, rules: list[tuple[str, str, str]], url: s
     """Adds host, path, rule, block_score and verdict; clashing columns are replaced.
 
     A null URL has an empty host and path, fits no rule and is judged as an empty text.
-    Repeated rows get equal verdicts.
+    Repeated rows get equal verdicts, URLs of any length are read whole, and an empty table
+    gives an empty one.  The columns of the work in between begin with f_, u_ or an
+    underscore; columns of ``df`` with such names are kept apart and come back unchanged.
     """
     new = ["host", "path", "rule", "block_score", "verdict"]
     kept = [c for c in df.columns if c not in new]
-    out = with_features(df.select(*kept), F.col(url))
+    # positional names keep the work's own columns from clashing with those of df
+    inner = {c: f"in_{k}" for k, c in enumerate(kept)}
+    source = df.select(*(quoted(c).alias(inner[c]) for c in kept), quoted(url).alias("in_url"))
+    out = with_features(source, F.col("in_url"))
     rule, said = rule_of(F.col("u_host"), F.col("u_path"), rules)
     stats = model.suffixes.select(F.col("suffix").alias("u_match"), "blocked", "seen")
     out = out.withColumns({"u_suffix": suffix_of(F.col("u_host")), "u_rule": rule, "u_said": said}).join(stats, F.col("u_suffix") == F.col("u_match"), "left")
     out = out.withColumn("_bins", _binned([*(F.col(f"f_{c}") for c in FEATURES), _rate(model.prior)], model.cuts))
     out = out.withColumn("u_score", 1 / (1 + F.exp(-model.margin())))
     verdict = F.coalesce(F.col("u_said"), F.when(F.col("u_score") >= threshold, "block").otherwise("allow"))
-    return out.select(*kept, F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("u_rule").alias("rule"), F.col("u_score").alias("block_score"), verdict.alias("verdict"))
+    return out.select(*(F.col(inner[c]).alias(c) for c in kept), F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("u_rule").alias("rule"), F.col("u_score").alias("block_score"), verdict.alias("verdict"))
