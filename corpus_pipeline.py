@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.llm import line_crf, lsa_search, minhash_join, pii, spm_codec
+from tidewrack.llm.arrow_text import quoted
 from tidewrack.llm.store import keep, table
 
 
@@ -18,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the line field scores at 0.5 or more."""
     field = line_crf.learn(docs, table(spark, sf_dir, "labels"))
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"in_{c}") for c in names))
-    return line_crf.score(inner, field, text="in_text").where("predicted = 1").select(*(F.col(f"`in_{c}`").alias(c) for c in names))
+    inner = docs.select(*(quoted(c).alias(f"in_{c}") for c in names))
+    return line_crf.score(inner, field, text="in_text").where("predicted = 1").select(*(quoted(f"in_{c}").alias(c) for c in names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names = docs.columns
     member = minhash_join.group(docs.select("doc_id", "text"))
     first = member.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("root", F.col("rep").alias("k_id")).agg(F.min("digest").alias("k_digest")).select("k_id", "k_digest")
-    keyed = docs.withColumn("k_own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    found = keyed.join(first, keyed.doc_id.eqNullSafe(first.k_id) & (keyed.k_own == first.k_digest), "left_semi")
-    return found.dropDuplicates(["doc_id", "k_own"]).select(*names)
+    own = "k_own"
+    while own in names:
+        own += "_"
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    found = keyed.join(first, keyed.doc_id.eqNullSafe(first.k_id) & (keyed[own] == first.k_digest), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).select(*map(quoted, names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; n_chars follows the text."""
     out = pii.redact(docs, pii.learn())
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
