@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from tidewrack.operators import evaluation, knowledge, router, scoring
+from tidewrack.operators import evaluation, knowledge, retrieval, router, scoring
+from tidewrack.runtime import over_all_cores
 
 
 def corpus(seed, n):
@@ -92,3 +93,19 @@ def test_advice_and_report():
     assert evaluation.advice({m: (1, 2) for m in evaluation.MODES}, 0) == ["keep the present way and collect more data"]
     text = evaluation.report({"dining": 2}, {"ok": 1}, counts, 4, 1, 0)
     assert "| `ocr_gap` | 0 |" in text and "| bm25_dense | 3/4 (75.0%) | 4/4 (100.0%) |" in text
+
+
+def test_term_counts(spark):
+    got = {r.term: (r.df, r.cf) for r in retrieval.term_counts(spark.createDataFrame([("a b A",), ("b",), (None,), ("",), ("!!",)], "text string"), "text").collect()}
+    assert got == {"a": (1, 2), "b": (2, 2)}
+
+
+def test_small_scans_are_dealt_over_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(0, 1000, 1, 9).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    assert over_all_cores(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in over_all_cores(one).collect()) == list(range(1000))
+    assert over_all_cores(many).rdd.getNumPartitions() == max(many.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    assert over_all_cores(one.limit(0)).count() == 0
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,3)]" in over_all_cores(one).where("id = 3")._jdf.queryExecution().toString()

@@ -18,7 +18,7 @@ from ..operators import retrieval as S
 from ..operators import router
 from ..operators import scoring as X
 from . import builds, knowledge, notices, records, service
-from .registry import Query, Registry, clean_sql
+from .registry import Query, Registry, clean_sql, texts
 from .registry import table as _table
 
 FLAGSHIP = "hybrid_topk"
@@ -44,11 +44,11 @@ _TOP = "(SELECT *, CAST(row_number() OVER (PARTITION BY {q} ORDER BY score DESC,
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.bm25_top(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), K)
+    return X.bm25_top(texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"), K)
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("title", F.concat_ws(" ", "source", "lang"))
+    docs = texts(spark, sf_dir).withColumn("title", F.concat_ws(" ", "source", "lang"))
     return X.lexical_top(docs, _table(spark, sf_dir, "benchmark"), K, "title")
 
 
@@ -110,7 +110,7 @@ def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"WITH {_BM25.replace('FROM documents)', 'FROM documents WHERE source IS NULL OR source <> ' + chr(39) + 'src0' + chr(39) + ')')} SELECT item_id, doc_id, score, rank FROM {_TOP.format(q='item_id', k='doc_id', f='bm', n=K)}")
 def bm25_topk_domain_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics cover the documents that the filter leaves."""
-    docs = _table(spark, sf_dir, "documents").where(F.col("source").isNull() | (F.col("source") != "src0"))
+    docs = texts(spark, sf_dir).where(F.col("source").isNull() | (F.col("source") != "src0"))
     return X.bm25_top(docs, _table(spark, sf_dir, "benchmark"), K)
 
 
@@ -174,7 +174,7 @@ def label_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH t AS (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.term_table(_table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.term_counts(texts(spark, sf_dir), "text")
 
 
 @_register("SELECT source, lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL")
@@ -284,7 +284,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"SELECT doc_id, len(d.t) AS tokens, len(list_distinct(d.t)) AS distinct_tokens, c.t AS excerpt FROM (SELECT doc_id, text, {_TOK.format('text')} AS t FROM documents) d, LATERAL (SELECT CASE WHEN length(z) <= 80 THEN z ELSE rtrim(substr(z, 1, 79)) || '...' END AS t FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS z)) c")
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.tokens(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"), T.clip(F.col("text"), 80).alias("excerpt"))
+    return texts(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"), T.clip(F.col("text"), 80).alias("excerpt"))
 
 
 @_register("SELECT page_id, url FROM pages WHERE contains(lower(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', '', 'g')), 'thehea') OR contains(lower(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', '', 'g')), 'enach')")
@@ -313,7 +313,7 @@ p AS (SELECT doc_id, ' ' || w || ' ' AS p FROM w),
 g AS (SELECT doc_id, unnest(list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))) AS term FROM p, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE length(p) >= k)
 SELECT doc_id, count(*) AS ngrams, count(DISTINCT term) AS distinct_ngrams FROM g GROUP BY 1""")
 def char_ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return router.ngram_profile(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return router.ngram_profile(texts(spark, sf_dir), "doc_id", "text")
 
 
 #: A small linear model: term, idf, and a weight for each class; bias by class.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import knowledge as W
 from ..operators import router
-from .registry import Registry, table
+from .registry import Registry, table, texts
 
 register = Registry()
 K = 4
@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     meta = F.create_map(F.lit("domain"), F.col("lang"), F.lit("label"), F.concat(F.lit("L"), F.col("source")), F.lit("n"), k.cast("string"))
     id_ = F.concat(F.when(k % 10 == 0, "Spec-").otherwise("doc_"), F.format_string("%08d", k))
-    return table(spark, sf_dir, "documents").select(id_.alias("id"), F.col("lang").alias("title"), "text", F.when(k % 2 == 0, F.col("source")).otherwise("").alias("domain"), meta.alias("metadata"), F.lit(None).cast("string").alias("source_url"), F.col("source").alias("source_name"), "doc_id")
+    return texts(spark, sf_dir).select(id_.alias("id"), F.col("lang").alias("title"), "text", F.when(k % 2 == 0, F.col("source")).otherwise("").alias("domain"), meta.alias("metadata"), F.lit(None).cast("string").alias("source_url"), F.col("source").alias("source_name"), "doc_id")
 
 
 def _base(where: str) -> str:

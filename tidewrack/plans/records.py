@@ -12,7 +12,7 @@ from ..functions.calendar import DAYS
 from ..operators import answers as A
 from ..operators import menus as D
 from ..operators import relational as R
-from .registry import Registry, clean_sql, table
+from .registry import Registry, clean_sql, table, texts
 
 register = Registry()
 AS_OF = "2026-06-13"
@@ -249,7 +249,7 @@ def domain_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS n FROM documents) SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS mean_tokens, CAST(max(n) AS BIGINT) AS most_tokens FROM t""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(T.tokens(F.col("text"))).cast("long")
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("mean_tokens"), F.max(n).alias("most_tokens"))
+    return texts(spark, sf_dir).agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("mean_tokens"), F.max(n).alias("most_tokens"))
 
 
 @register("""SELECT CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m-%d') || ' ' || strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') || ' ' || strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') || ' ' || strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') AS anchors,

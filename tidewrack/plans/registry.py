@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import over_all_cores
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for queries that work on each whole text."""
+    return over_all_cores(table(spark, sf_dir, "documents"))
+
+
 def clean_sql(x: str) -> str:
     """The text of a page in SQL; the references are those that the pages hold."""
     for tag in ("script", "style", "nav"):

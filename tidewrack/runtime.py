@@ -1,10 +1,10 @@
-"""Makes the package importable in Python workers of a session that was started elsewhere."""
+"""The session: what its Python workers import, and how a scan is dealt over its cores."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> None:
@@ -18,3 +18,14 @@ def reachable(spark: SparkSession) -> None:
     known = [p for x in (environment.get("PYTHONPATH"), os.environ.get("PYTHONPATH")) for p in (x or "").split(os.pathsep)]
     if here not in known:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, environment.get("PYTHONPATH")]))
+
+
+def over_all_cores(scan: DataFrame) -> DataFrame:
+    """The same rows, dealt anew if the scan has fewer splits than the session has cores.
+
+    A row group is read by one task, so a small table of long texts would keep one core
+    busy; a table of many files stays as it is.  Only for frames that just read a table:
+    counting the splits of others could run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
