@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, spm_codec, token_counts, url_gbt
-from .store import table
+from .store import documents, table
 
 #: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -17,21 +17,21 @@ BLOCKED_WORDS = ["casino", "bets", "pills", "spam", "ads-", "-track"]
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = fertility.screen(docs, carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band_failed", "n_tokens", "chars_per_token", "byte_share", "entropy", "multi_tokens", "multi_chars_per_token", "multi_byte_share", "multi_entropy", "band")
 
 
 def op2_spm_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm_codec.encode(table(spark, sf_dir, "documents"))
+    return spm_codec.encode(documents(spark, sf_dir))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     field = line_crf.learn(docs, table(spark, sf_dir, "labels"))
     return line_crf.score(docs, field, carry=["doc_id"]).select("doc_id", line_crf.held_out("doc_id").alias("held_out"), "score", "predicted")
 
@@ -47,15 +47,15 @@ def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(table(spark, sf_dir, "documents"), pii.learn(), carry=["doc_id"])
+    return pii.detect(documents(spark, sf_dir), pii.learn(), carry=["doc_id"])
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_whole")
+    return token_counts.count_tokens(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_whole")
 
 
 def op8_lsa_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     return lsa_search.search(docs, items, lsa_search.fit(docs))
 
 

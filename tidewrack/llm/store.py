@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import over_all_cores
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary one.
@@ -49,3 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where they have fewer splits than there are cores, dealt over all cores."""
+    return over_all_cores(table(spark, sf_dir, "documents"))
