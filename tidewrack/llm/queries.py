@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, spm_codec, token_counts, url_gbt
+from . import byte_prefix, fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, ranked_search, spm_codec, token_counts, url_gbt
 from .store import documents, table
 
 #: (verdict, host, path).
@@ -67,12 +67,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_byte_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_prefix.digests(documents(spark, sf_dir), carry=["doc_id"])
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_spm_codec, op3_packing, op4_line_crf, op5_url_gbt, op6_pii, op7_token_counts, op8_lsa_search, op9_minhash_join, op10_license_scan)}
+    return {f.__name__: f for f in (op1_fertility, op2_spm_codec, op3_packing, op4_line_crf, op5_url_gbt, op6_pii, op7_token_counts, op8_lsa_search, op9_minhash_join, op10_license_scan, op11_byte_prefix, op12_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash_join": OP9, "op10_license_scan": op10_sql()}
+    return {"op9_minhash_join": OP9, "op10_license_scan": op10_sql(), "op12_ranked_search": OP12}
 
 
 def op10_sql() -> str:
@@ -124,3 +132,15 @@ q AS (SELECT x AS m, sum(u.copies) AS links FROM l JOIN u ON u.m = y GROUP BY 1)
 SELECT d.doc_id, k.class_id, CAST(u.copies - 1 + coalesce(q.links, 0) AS BIGINT) AS n_links
 FROM d JOIN u USING (m) JOIN k USING (m) LEFT JOIN q USING (m)
 """
+
+#: The same ranking by joins; div is // here.
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT DISTINCT item, item_id, unnest(t) AS term FROM i),
+f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+r AS (SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM f JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER o AS INT) AS rank, doc_id, score FROM r WHERE score > 0 WINDOW o AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 10
+"""
