@@ -123,6 +123,19 @@ class Texts:
         return out
 
 
+def binary(data: np.ndarray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """The spans between the bounds as an Arrow array."""
+    if not len(bounds):
+        return pa.array([], pa.large_binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def codes(t: Texts, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each span, equal for equal bytes, and how many there are; ``inside`` marks the spans' bytes in the data."""
+    told = binary(t.data[inside], np.append(0, np.cumsum(ends - starts))).dictionary_encode()
+    return told.indices.to_numpy().astype(np.int64), len(told.dictionary)
+
+
 def windows(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word windows that stay in one row, and the index of their first word."""
     if len(h) < k:

@@ -15,11 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import byte_bpe, vocab
-from .arrow_text import SPACE_WORDS, Texts, add_columns, mix, slices, windows
+from .arrow_text import SPACE_WORDS, Texts, add_columns, codes
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -93,35 +94,31 @@ def rules(t: Texts) -> dict[str, np.ndarray]:
     n_words = np.bincount(rows, minlength=t.n)
     word_chars = np.bincount(rows, weights=points[ends] - points[starts], minlength=t.n)
     ls, le, lr = t.lines()
+    line, _ = codes(t, ls, le, t.data != 10)
     full = word_bytes[le] > word_bytes[ls]
-    ls, le, lr = ls[full], le[full], lr[full]
-    keys = np.sort(mix(t.hashes(ls, le) + lr.astype(np.uint64)))
-    repeated = keys[1:][keys[1:] == keys[:-1]]
-    n_dup = np.zeros(t.n, np.int64)
-    if len(repeated):
-        h = mix(t.hashes(ls, le) + lr.astype(np.uint64))
-        distinct, first = np.unique(h, return_index=True)
-        n_dup = np.bincount(lr, minlength=t.n) - np.bincount(lr[first], minlength=t.n)
+    n_dup = np.bincount(lr[full], minlength=t.n)
+    once = np.unique(line[full] * t.n + lr[full])
+    n_dup = n_dup - np.bincount(once % t.n, minlength=t.n) if t.n else n_dup
     return {
         "n_words": n_words,
         "word_chars": word_chars,
         "n_symbols": symbols[t.off[1:]] - symbols[t.off[:-1]],
         "n_dup_lines": n_dup,
-        "n_repeat_words": repeat_words(t.hashes(starts, ends), rows, t.n),
+        "n_repeat_words": repeat_words(*codes(t, starts, ends, SPACE_WORDS[t.data]), rows, t.n),
     }
 
 
-def repeat_words(h: np.ndarray, rows: np.ndarray, n: int, k: int = 3) -> np.ndarray:
-    """Words in k-word windows that stand twice or more in their row."""
-    keys, at = windows(h, rows, k)
-    keys = mix(keys + rows[at].astype(np.uint64))
-    order = np.sort(keys)
-    repeated = np.unique(order[1:][order[1:] == order[:-1]])
-    if not len(repeated):
+def repeat_words(word: np.ndarray, words: int, rows: np.ndarray, n: int, k: int = 3) -> np.ndarray:
+    """Words in k-word windows that stand twice or more in their row; equal words have equal numbers, below ``words``."""
+    if len(word) < k:
         return np.zeros(n, np.int64)
-    place = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
-    hit = at[repeated[place] == keys]
-    inside = np.zeros(len(h), bool)
+    at = np.flatnonzero(rows[: len(rows) - k + 1] == rows[k - 1 :])
+    # windows grow by a word at a time and are numbered anew, so no number leaves 64 bits
+    number = rows[at]
+    for j in range(k):
+        number = pd.factorize(number * np.int64(words) + word[at + j])[0]
+    hit = at[np.bincount(number, minlength=1)[number] > 1]
+    inside = np.zeros(len(word), bool)
     for j in range(k):
         inside[hit + j] = True
     return np.bincount(rows[inside], minlength=n)
@@ -178,7 +175,7 @@ def screen(df: DataFrame, text: str = "text", lang: str | None = "lang", model:
     of_lang = {c: NAMES.index(c) for c in LANGUAGE_BANDS["piece"]}
     piece_limits, byte_limits = limits_of("piece"), limits_of("bytes")
 
-    def measure(texts: pa.Array, langs: pa.Array | None) -> dict:
+    def measure(texts: pa.Array, langs: pa.Array | None = None) -> dict:
         v, multi = vocab.load(path), byte_bpe.load(*ranks)
         found: list[dict] = []
         told = langs.to_pylist() if langs is not None else None

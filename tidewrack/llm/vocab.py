@@ -18,13 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 
-from .arrow_text import SLICE_BYTES, Texts, slices
+from .arrow_text import SLICE_BYTES, Texts, binary, slices
 
 MARK = "▁"
 #: Each is a segment by itself.
 ALONE = b"\n"
-#: Distinct segments held before the memo starts anew; bounds a worker's memory.
-MEMO_ENTRIES = 300_000
+#: Distinct segments, and their bytes, held before the memo starts anew; bounds a worker's memory.
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 64 << 20
 
 
 class Vocabulary:
@@ -64,18 +64,14 @@ class Vocabulary:
         return [(x.encode(), i) for i, x, ids in zip(at, texts, self._segments(texts), strict=True) if ids == [i]]
 
     def start_memo(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 18, np.uint16 if len(self.pieces) <= 1 << 16 else np.int32)
         self.at = np.zeros(MEMO_ENTRIES + 1, np.int64)
-        self.fill = self.entries = 0
-        data = np.frombuffer(b"".join(b for b, _ in self.whole), np.uint8)
-        ends = np.cumsum([len(b) for b, _ in self.whole])
-        starts = ends - [len(b) for b, _ in self.whole]
-        seeds = Texts(data, np.array([0, len(data)])).hashes(starts, ends)
-        self._add(seeds.tolist(), [[i] for _, i in self.whole])
+        self.fill = self.entries = self.held = 0
+        self._add([piece for piece, _ in self.whole], [[i] for _, i in self.whole])
         self.shortcut = self.entries
 
-    def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
+    def _add(self, keys: list[bytes], ids: list[list[int]]) -> None:
         flat = np.fromiter(chain.from_iterable(ids), self.ids.dtype)
         while self.fill + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -83,28 +79,27 @@ class Vocabulary:
         if self.entries + len(ids) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(ids)), np.int64)])
         self.at[self.entries + 1 : self.entries + 1 + len(ids)] = self.fill + np.cumsum(np.fromiter(map(len, ids), np.int64))
-        self.known.update(zip(hashes, range(self.entries, self.entries + len(ids)), strict=True))
+        self.known.update(zip(keys, range(self.entries, self.entries + len(ids)), strict=True))
         self.entries += len(ids)
         self.fill += len(flat)
+        self.held += sum(map(len, keys))
 
     def entries_of(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """For each segment of rows that begin with the dummy prefix: its memo entry, its row."""
-        if self.entries > MEMO_ENTRIES:
+        if self.entries > MEMO_ENTRIES or self.held > MEMO_BYTES:
             self.start_memo()
         starts, ends, rows = segments(t)
-        h = t.hashes(starts, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
+        # segments lie side by side, so they are an Arrow array as they stand; it tells equal ones by their bytes
+        told = binary(t.data, np.append(starts, len(t.data))).dictionary_encode()
+        listed = told.dictionary.to_pylist()
         entry = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            raw = t.data.tobytes()
-            at = first[new]
-            texts = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            ids = self._segments(texts)
+        new = np.flatnonzero(entry < 0).tolist()
+        if new:
+            keys = [listed[k] for k in new]
+            ids = self._segments([x.decode() for x in keys])
             entry[new] = self.entries + np.arange(len(new))
-            self._add(distinct[new].tolist(), ids)
-        return entry[inverse], rows
+            self._add(keys, ids)
+        return entry[told.indices.to_numpy()], rows
 
     def _slices(self, texts: pa.Array, limit: int):
         prefixed = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
