@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import date
 
 import pytest
@@ -52,7 +53,17 @@ def test_wrong_settings(root, old, new, said):
         W.load_config(root / W.SETTINGS, {})
 
 
-def test_discovery_and_paths(root, tmp_path):
+@pytest.mark.parametrize("closed", [False, True])
+def test_discovery_and_paths(root, tmp_path, monkeypatch, closed):
+    """Whatever the machine has at /data; ``closed``: a folder that can't be entered."""
+    stat = os.stat
+
+    def told(path, *args, **kwargs):
+        if str(path).startswith("/data/"):
+            raise PermissionError(13, "closed") if closed else FileNotFoundError(2, "none")
+        return stat(path, *args, **kwargs)
+
+    monkeypatch.setattr(os, "stat", told)
     deep = root / "a/b"
     deep.mkdir(parents=True)
     assert W.discover(None, {}, deep) == root / W.SETTINGS

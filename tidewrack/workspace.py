@@ -152,13 +152,21 @@ def _below(path: str, head: str) -> str | None:
     return flat.removeprefix(head + "/") if flat.startswith(head + "/") else None
 
 
+def _there(path: Path) -> bool:
+    """Whether the file is there; one in a folder that can't be entered isn't."""
+    try:
+        return path.exists()
+    except OSError:
+        return False
+
+
 def input_path(path: str, root: Path | None = None, cwd: Path | None = None) -> Path:
     """The file itself if it is there, else that of the workspace's data, else of the working folder's."""
     literal = Path(path).expanduser()
-    if literal.exists():
+    if _there(literal):
         return literal.resolve()
     rest = _below(path, INPUTS) or path
-    if root and (root / INPUTS / rest).exists():
+    if root and _there(root / INPUTS / rest):
         return (root / INPUTS / rest).resolve()
     return ((cwd or Path.cwd()) / INPUTS / rest).resolve()
 
