@@ -584,18 +584,23 @@ def test_op4_lines_of_one_text_get_different_labels():
         assert (field.score(t)[0] >= 0.5) == label
 
 
-def test_op4_long_labelled_texts_take_part(spark):
+def test_op4_long_labelled_texts_take_part(spark, monkeypatch):
     short = crf_texts(5, 40)
     long = ["\n".join(t.split("\n")[k % 12] for k in range(3000)) for t, _, _ in (short[0], short[1])]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, _, _ in short] + long)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y) for k, (_, y, _) in enumerate(short)] + [(40, 1), (41, 0)], "doc_id long, quality int")
     x = line_crf.sampled(np.ones((3000, len(line_crf.FEATURES)), np.float32), np.ones(3000, np.int64), 1)
-    assert len(x.lines) == line_crf.SAMPLE_LINES and len(set(x.run.tolist())) == line_crf.RUNS
+    assert len(x.lines) == len(x.length) == 3000
     only = labels.where("doc_id >= 40")
     field, rest = (line_crf.learn(docs, x) for x in (only, labels.where("doc_id < 40")))
     kept = [y for k, y in ((40, 1), (41, 0)) if zlib.crc32(str(k).encode()) % 3 != 1]
     assert kept and field.prior == np.mean(kept)
     assert not np.array_equal(line_crf.learn(docs, labels).weight, rest.weight)
+    # repeated rows of a key are one labelled row; whole rows stay out where the lines would be too many
+    again = line_crf.learn(docs.unionAll(docs).unionAll(docs), labels)
+    assert np.array_equal(again.weight, line_crf.learn(docs, labels).weight)
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 2000)
+    assert np.array_equal(line_crf.learn(docs, labels).weight, rest.weight)
 
 
 def test_op9_many_short_texts_that_differ_in_one_word(spark):

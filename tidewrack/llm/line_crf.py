@@ -17,16 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACE_WORDS, Texts, add_columns, column, mix, slices
 
-#: Labelled rows that the field is fitted on, taken by the order of their keys' hashes.
-SAMPLE = 4000
-#: Lines that a sampled text brings to the fit; a longer one brings RUNS runs of lines, spread
-#: evenly over it.  Scoring has no such bound.
-SAMPLE_LINES, RUNS = 128, 4
+#: Labelled rows that the field is fitted on, taken by the order of their keys' hashes, and the
+#: most lines that they hold together.  A row of the sample brings its whole text; were there
+#: more lines, the rows of the longest texts would not be in the sample.
+SAMPLE, SAMPLE_LINES = 4000, 400_000
 STEPS = 150
 #: A line counts with the other label from this probability on, good and bad documents being held equally likely.
 SURE = 0.6
@@ -173,22 +172,16 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sampled:
-    """Lines of one labelled text: features with those of neighbours, lengths, the run of each, and the label."""
+    """Lines of one labelled text: features with those of neighbours, lengths, and the label."""
 
     lines: np.ndarray
     length: np.ndarray
-    run: np.ndarray
     label: int
 
 
 def sampled(own: np.ndarray, length: np.ndarray, label: int) -> Sampled:
-    """All lines of a text of up to SAMPLE_LINES, else RUNS runs spread over it; neighbours are those of the text."""
-    x = with_neighbours(own, np.zeros(len(own), np.int64))
-    if len(x) <= SAMPLE_LINES:
-        return Sampled(x, length, np.zeros(len(x), np.int64), label)
-    size = SAMPLE_LINES // RUNS
-    at = np.concatenate([np.arange(size) + k * (len(x) - size) // (RUNS - 1) for k in range(RUNS)])
-    return Sampled(x[at], length[at], np.repeat(np.arange(RUNS), size), label)
+    """All lines of a text."""
+    return Sampled(with_neighbours(own, np.zeros(len(own), np.int64)), length, label)
 
 
 def line_labels(texts: list[Sampled], good: np.ndarray) -> np.ndarray:
@@ -242,18 +235,16 @@ def fit(texts: list[Sampled], steps: int = STEPS, penalty: float = 1e-3) -> Line
     of = np.repeat(np.arange(len(texts)), sizes)
     x = np.concatenate([t.lines for t in texts]).astype(np.float32)
     told = np.repeat(np.array([t.label for t in texts], float), sizes)
-    chain = of * RUNS + np.concatenate([t.run for t in texts])
-    starts = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
-    lengths = np.diff(np.append(starts, len(chain)))
+    starts, lengths = np.cumsum(sizes) - sizes, sizes
     weight = 1 / (len(texts) * sizes[of])
     mean, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
     mean[-1], spread[-1] = 0, 1
     z = ((x - mean) / spread).astype(np.float32)
     own = np.r_[0 : len(FEATURES), width - 1]  # the line itself and the constant
     even = weight / np.where(told > 0, 2 * weight[told > 0].sum(), 2 * weight[told == 0].sum())
-    alone, _ = _train(z[:, own], told, even, starts, lengths, chain, steps, penalty, False)
+    alone, _ = _train(z[:, own], told, even, starts, lengths, of, steps, penalty, False)
     y = line_labels(texts, 1 / (1 + np.exp(-(z[:, own] @ alone))))
-    w, step = _train(z, y, weight, starts, lengths, chain, steps, penalty, True)
+    w, step = _train(z, y, weight, starts, lengths, of, steps, penalty, True)
     good, _, _ = forward_backward(z @ w, starts, lengths, step)
     length = np.concatenate([t.length for t in texts])
     share = np.bincount(of, weights=good * length) / np.bincount(of, weights=length)
@@ -279,28 +270,32 @@ def held_out(key):
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineField:
-    """Fit on at most ``sample`` labelled rows that aren't held out.
+    """Fit on at most ``sample`` labelled rows that aren't held out, of SAMPLE_LINES lines together.
 
     The sample is chosen from the keys alone; it is small enough to broadcast whatever the
-    input, and each text brings at most SAMPLE_LINES lines.  Rows with a null key or label
-    and texts without a word are left out, and of a key's repeated labels the largest
-    counts.  Without labels, or with one kind only, every text gets that share as its score.
+    input, and its texts come whole.  Rows with a null key or label and texts without a word
+    are left out; of a key's repeated labels the largest counts, of its repeated rows the
+    least text.  Without labels, or with one kind only, every text gets that share as its score.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
+    whole = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    lines = 1 + F.length("_text") - F.length(F.translate("_text", "\n", ""))
+    few = Window.orderBy("_lines", F.xxhash64("_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``sample`` rows
+    taken = whole.withColumn("_lines", lines).withColumn("_total", F.sum("_lines").over(few)).where(F.col("_total") <= SAMPLE_LINES)
 
     def run(batches):
         for b in batches:
-            texts, y = column(b, text), b.column(b.schema.get_field_index("_label")).to_pylist()
+            texts, y = column(b, "_text"), b.column(b.schema.get_field_index("_label")).to_pylist()
             for i, j, t in slices(texts):
                 own, rows, length = line_features(t)
                 cut = np.searchsorted(rows, np.arange(t.n + 1))
                 got = [(sampled(own[a:z], length[a:z], y[i + k])) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
-                cols = [pa.array([x.lines.astype("<f4").tobytes() for x in got], pa.binary()), pa.array([x.length.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.run.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.label for x in got], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lines", "length", "run", "label"])
+                cols = [pa.array([x.lines.astype("<f4").tobytes() for x in got], pa.binary()), pa.array([x.length.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.label for x in got], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lines", "length", "label"])
 
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_label").mapInArrow(run, "lines binary, length binary, run binary, label int").collect()
-    texts = [Sampled(np.frombuffer(r.lines, "<f4").reshape(-1, 3 * len(FEATURES) + 3), np.frombuffer(r.length, "<i8"), np.frombuffer(r.run, "<i8"), r.label) for r in rows]
+    rows = taken.select("_text", "_label").mapInArrow(run, "lines binary, length binary, label int").collect()
+    texts = [Sampled(np.frombuffer(r.lines, "<f4").reshape(-1, 3 * len(FEATURES) + 3), np.frombuffer(r.length, "<i8"), r.label) for r in rows]
     return fit(sorted(texts, key=lambda t: (t.label, len(t.length), t.lines.tobytes())))
 
 
