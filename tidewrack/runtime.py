@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,16 @@ def over_all_cores(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's files under the session's ``spark.checkpoint.dir``, which all machines share.
+
+    Where that is unset, a session on this machine gets a temporary folder; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "tidewrack-runs")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
