@@ -33,3 +33,25 @@ def test_tree_of_broken_pages():
     assert [n.text() for n in t.all("li")] == ["a", "b c d"] and [len(r.cells()) for r in t.all("tr")] == [2, 1]
     assert t.text().endswith("&'") and dom.tree(None).text() == ""
     assert dom.tree("<script>var a='</p>'</script><b>a</b><i>b</i>").text() == "a b"
+
+
+def test_pages_nest_as_deep_as_they_like():
+    from tidewrack.functions import boards, campus, dom
+
+    deep = 100_000
+    page = "<div class='calen_box'>" * deep + "<b>in" + "<p>side</p>" + "</b></div>" * deep + "<li>after"
+    root = dom.tree(page)
+    assert sum(1 for _ in root.all("div")) == deep and root.text() == "in side after" and root.lines() == ["in side", "after"]
+    assert root.first("li").text() == "after" and list(root.pieces()) == ["in", "side", "after"]
+    mixed = "".join(f"<t{k % 97}>" for k in range(deep)) + "x" + "".join(f"</u{k % 97}></t{k % 97}>" for k in range(deep))
+    assert dom.tree(mixed).text() == "x"
+    assert campus.calendar_boxes("<ul>" * deep + "<div class='calen_box'></div>") == campus.calendar_boxes("<div class='calen_box'></div>")
+    assert boards.body_of("<section>" * deep + "text", None) == "text"
+    assert dom.tree("a<nav>b<i>c</i></nav>d").text() == "a d"
+
+
+def test_class_words_of_a_body():
+    from tidewrack.functions import boards, dom
+
+    for attrs, there in (("class='x fr-view y'", True), ("class='fr-view-2'", False), ("id='fr-view'", True), ("class='a_fr-view'", False), ("class='a.fr-view'", True), ("", False)):
+        assert boards._holds(dom.tree(f"<div {attrs}>").first("div"), "fr-view") == there

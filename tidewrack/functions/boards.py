@@ -79,7 +79,8 @@ def notices(html: Column, base: Column | str, layout: Column | str = "plain") ->
 
 
 def _holds(n: Node, word: str) -> bool:
-    return any(re.search(rf"(?<![\w-]){re.escape(word)}(?![\w-])", n.attrs.get(k, "")) for k in ("class", "id"))
+    """Whether the word is one of the node's class words or its id; all but letters, digits and dashes parts words."""
+    return any(word in re.split(r"[^\w-]+", n.attrs.get(k, "")) for k in ("class", "id"))
 
 
 def noisy(text: str) -> bool:

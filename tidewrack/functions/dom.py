@@ -6,6 +6,7 @@ SQL functions can't follow; each page is one row and is parsed by itself.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -27,23 +28,37 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids = tag, attrs, []
 
+    def walk(self, hidden: frozenset[str] = frozenset()) -> Iterator[tuple[Node | str, bool]]:
+        """What is below this one, in order: (text or node, True), and (node, False) where it ends; inside hidden tags nothing.
+
+        Pages nest as deep as they like, so the open nodes are kept here and not on Python's stack.
+        """
+        open_: list[tuple[Node, Iterator[Node | str]]] = [(self, iter(self.kids))]
+        while open_:
+            node, rest = open_[-1]
+            k = next(rest, None)
+            if k is None:
+                open_.pop()
+                if open_:
+                    yield node, False
+                continue
+            if isinstance(k, str):
+                yield k, True
+            elif k.tag not in hidden:
+                yield k, True
+                open_.append((k, iter(k.kids)))
+
     def all(self, *tags: str, cls: str | None = None, id: str | None = None) -> Iterator[Node]:
         """Nodes below this one, in order, of some tags, with a class word, with an id."""
-        for k in self.kids:
-            if isinstance(k, Node):
-                if (not tags or k.tag in tags) and (cls is None or cls in k.attrs.get("class", "").split()) and (id is None or k.attrs.get("id") == id):
-                    yield k
-                yield from k.all(*tags, cls=cls, id=id)
+        for k, begins in self.walk():
+            if begins and isinstance(k, Node) and (not tags or k.tag in tags) and (cls is None or cls in k.attrs.get("class", "").split()) and (id is None or k.attrs.get("id") == id):
+                yield k
 
     def first(self, *tags: str, cls: str | None = None, id: str | None = None) -> Node | None:
         return next(self.all(*tags, cls=cls, id=id), None)
 
     def pieces(self, hidden: frozenset[str] = HIDDEN) -> Iterator[str]:
-        for k in self.kids:
-            if isinstance(k, str):
-                yield k
-            elif k.tag not in hidden:
-                yield from k.pieces(hidden)
+        return (k for k, _ in self.walk(hidden) if isinstance(k, str))
 
     def text(self, between: str = " ") -> str:
         """Its words; ``between`` stands where tags were, and a newline also where one stands in the page."""
@@ -52,18 +67,7 @@ class Node:
 
     def lines(self) -> list[str]:
         """Lines that breaks and ends of blocks make, without blank ones."""
-        out: list[str] = []
-
-        def go(n: Node) -> None:
-            for k in n.kids:
-                if isinstance(k, str):
-                    out.append(k)
-                    continue
-                out.append("\n" if k.tag == "br" else " ")
-                go(k)
-                out.append("\n" if k.tag in LINE_ENDS else " ")
-
-        go(self)
+        out = [k if isinstance(k, str) else "\n" if (k.tag == "br" if begins else k.tag in LINE_ENDS) else " " for k, begins in self.walk()]
         return [x for x in (" ".join(y.split()) for y in "".join(out).splitlines()) if x]
 
     def own_rows(self) -> list[Node]:
@@ -78,19 +82,26 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Node("", {})]
+        self.times: Counter[str] = Counter()
+
+    def _end(self) -> str:
+        tag = self.open.pop().tag
+        self.times[tag] -= 1
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = CLOSED_BY.get(tag, ())
         while len(self.open) > 1 and self.open[-1].tag in ends:
-            self.open.pop()
+            self._end()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.times[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in self.open[1:]):
-            while self.open.pop().tag != tag:
+        if self.times[tag]:
+            while self._end() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
