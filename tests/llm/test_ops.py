@@ -286,6 +286,31 @@ def test_op5_counts_suffixes_over_all_labelled_urls(spark, monkeypatch):
     assert url_gbt.judge(labelled, model, []).count() == len(urls) + 40
 
 
+def test_op5_suffix_rates_come_from_other_hosts(spark, monkeypatch):
+    """A suffix of one host has no rate in the fit, however often the host is labelled."""
+    seen = []
+    rate = url_gbt._rate
+    monkeypatch.setattr(url_gbt, "_rate", lambda prior: seen.append(prior) or rate(prior))
+    monkeypatch.setattr(url_gbt, "LEAST_SEEN", 5)
+    urls = [(f"http://one.bad.test/{'abcdefgh'[k % 8]}{k:03d}", 1) for k in range(60)] + [(f"http://w{k:02d}.good.test/{'abcdefgh'[k % 8]}{k:03d}", 0) for k in range(60)]
+    model = url_gbt.learn(spark.createDataFrame(urls, "url string, label int"), trees=1, depth=1)
+    assert seen and model.trees[0][1][0] != model.names.index("suffix_rate")
+
+
+def test_op5_verdicts_on_hosts_that_were_not_labelled(spark):
+    """Reported hosts that are held out are found by their form; so is one that nobody reported."""
+    out = queries.op5_url_gbt(spark, "/root/testdata/sf0.1").where("rule IS NULL").toPandas()
+    listed = out.host.map(lambda h: any(w in h for w in queries.REPORTED))
+    held = out[out.held_out]
+    assert listed[out.held_out].any() and (~out.held_out & listed).any()
+    assert ((held.verdict == "block") == listed[out.held_out]).mean() >= 0.95
+    spam = ["m.adult-x.example.com", "new-shop.example.org", "cheap-pills.example.com"]
+    words = [f"www.{w}.example.com" for w in ("ththed", "tionre", "thering")]
+    labelled = spark.createDataFrame([(f"https://{h}/en/{k}", int(any(w in h for w in queries.REPORTED))) for k, h in enumerate(sorted(set(out.host[~out.held_out])) * 20)], "url string, label int")
+    got = {r.url: r.verdict for r in url_gbt.judge(spark.createDataFrame([(f"http://{h}/fr/1",) for h in spam + words], "url string"), url_gbt.learn(labelled), []).collect()}
+    assert [got[f"http://{h}/fr/1"] for h in spam + words] == ["block"] * 3 + ["allow"] * 3
+
+
 def test_op5_query(spark):
     for r in queries.op5_url_gbt(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         host, path, rule, said = brute_rule(r.url)

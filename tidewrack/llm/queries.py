@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_prefix, fertility, license_scan, line_crf, lsa_search, minhash_join, packing, pii, ranked_search, spm_codec, token_counts, url_gbt
@@ -12,8 +12,8 @@ from .store import documents, table
 
 #: (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Host words of a block list; a page of such a host is labelled for the trees, others count as background.
-BLOCKED_WORDS = ["casino", "bets", "pills", "spam", "ads-", "-track"]
+#: Words by which hosts were reported; the pages of a reported host are labelled 1, those of other hosts 0.
+REPORTED = ["casino", "bets", "pills", "spam", "ads-", "-track"]
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +37,22 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges pages by rules, else by trees that learn how reported hosts look.
+
+    The labels are reports of hosts, and cover only the hosts that aren't held out; pages that
+    a rule decides aren't among them.  So what a held-out host gets is inferred from its form.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_gbt.host_of(F.col("url")), url_gbt.path_of(F.col("url"))
-    _, said = url_gbt.rule_of(host, path, URL_RULES)
-    listed = F.exists(F.array(*(F.lit(w) for w in BLOCKED_WORDS)), lambda w: F.contains(host, w))
-    label = F.when(said == "block", 1).when(said == "allow", 0).when(listed, 1).otherwise(0)
-    model = url_gbt.learn(pages.select("url", label.alias("label")))
-    return url_gbt.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+    rule, _ = url_gbt.rule_of(host, path, URL_RULES)
+    reported = F.exists(F.array(*(F.lit(w) for w in REPORTED)), lambda w: F.contains(host, w))
+    labelled = pages.where(rule.isNull() & (host != "") & ~_host_held_out(host)).select("url", reported.cast("int").alias("label"))
+    out = url_gbt.judge(pages, url_gbt.learn(labelled), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score", _host_held_out(F.col("host")).alias("held_out"))
+
+
+def _host_held_out(host: Column) -> Column:
+    return F.crc32(host.cast("binary")) % 3 == 1
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
