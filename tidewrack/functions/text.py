@@ -114,18 +114,20 @@ def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(words, of))
 
 
-def expand_dates(question: Column, as_of: str) -> Column:
+def expand_dates(question: Column, as_of: str | Column, more: Column | None = None) -> Column:
     """The question with the ISO dates that its relative day and week words mean, as seen on ``as_of``.
 
-    Nothing is added to a question that holds an ISO date; a date is added once.
+    ``more``: an array of other words to add after them.  Nothing is added to a question that
+    holds an ISO date; a date is added once.
     """
-    today = F.lit(as_of).cast("date")
+    today = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
     monday = F.trunc(today, "WEEK")
     iso = lambda d: F.date_format(d, "yyyy-MM-dd")
     days = F.create_map(*(x for k, v in DAY_WORDS.items() for x in (F.lit(k), F.array(iso(F.date_add(today, v))))))
     weeks = F.create_map(*(x for k, (a, z) in WEEK_WORDS.items() for x in (F.lit(k), F.array(*(iso(F.date_add(monday, d)) for d in range(a, z + 1))))))
     longest = "|".join(sorted(WEEK_WORDS, key=len, reverse=True))
     found = F.flatten(F.concat(F.transform(F.regexp_extract_all(question, F.lit("|".join(DAY_WORDS)), F.lit(0)), lambda w: days[w]), F.transform(F.regexp_extract_all(question, F.lit(longest), F.lit(0)), lambda w: weeks[w])))
+    found = found if more is None else F.concat(found, more)
     return F.when(question.rlike(r"\b\d{4}-\d{2}-\d{2}\b") | (F.size(found) == 0), question).otherwise(F.concat_ws(" ", question, F.array_join(F.array_distinct(found), " ")))
 
 

@@ -69,8 +69,8 @@ class Model:
         return self.bias + (self.weight[:, at] @ v / norm if norm > 0 else 0.0)
 
 
-#: Most terms of a model; it is held by each task.
-MOST_TERMS = 2_000_000
+#: Most terms and weights of a model; it is held by each task.
+MOST_TERMS, MOST_WEIGHTS = 2_000_000, 20_000_000
 
 
 def model_of(vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame) -> Model:
@@ -90,11 +90,16 @@ def model_of(vocabulary: DataFrame, weights: DataFrame, intercepts: DataFrame) -
     classes = [c for c, _ in biases]
     if not classes or len(set(classes)) != len(classes):
         raise ValueError("there must be classes, each once")
+    if size.n * len(classes) > MOST_WEIGHTS:
+        raise ValueError(f"{size.n} terms by {len(classes)} classes; a model has at most {MOST_WEIGHTS} weights")
+    # all that could be wrong is counted before a row leaves the tasks
+    fits = weights.join(vocabulary.select("term"), "term").where(F.col("class").isin(classes) & F.col("weight").isNotNull())
+    told, good = weights.count(), fits.agg(F.count("*").alias("n"), F.count_distinct("term", "class").alias("d")).first()
+    if not told == good.n == good.d == size.n * len(classes):
+        raise ValueError("weights must be there once for each term and class")
     terms = sorted((r[0], r[1]) for r in vocabulary.select("term", "idf").collect())
     number, place = {t: k for k, (t, _) in enumerate(terms)}, {c: k for k, c in enumerate(classes)}
     rows = weights.select("term", "class", "weight").collect()
-    if len(rows) != len(terms) * len(classes) or any(r[0] not in number or r[1] not in place or r[2] is None for r in rows) or len({(r[0], r[1]) for r in rows}) != len(rows):
-        raise ValueError("weights must be there once for each term and class")
     weight = np.zeros((len(classes), len(terms)))
     for t, c, w in rows:
         weight[place[c], number[t]] = w

@@ -17,7 +17,7 @@ from ..operators import relational as R
 from ..operators import retrieval as S
 from ..operators import router
 from ..operators import scoring as X
-from . import builds, knowledge, notices, records, service
+from . import builds, knowledge, notices, records, service, training
 from .registry import Query, Registry, clean_sql, texts
 from .registry import table as _table
 
@@ -385,7 +385,7 @@ e AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN NULL ELSE 'e
 h AS (SELECT e.item_id, expected, m AS mode, count(r.doc_id) AS found, coalesce(bool_or(lang = expected AND rank = 1), false) AS top1, coalesce(bool_or(lang = expected), false) AS topk FROM e CROSS JOIN (VALUES ('bm25'), ('lexical')) t(m) LEFT JOIN r ON r.item_id = e.item_id AND r.mode = m AND e.item_id % 10 <> 9 LEFT JOIN documents USING (doc_id) GROUP BY ALL)"""
 service.register.sql |= {name: q.replace("__MEASURED__", _MEASURED) for name, q in service.register.sql.items()}
 knowledge.register.sql["router_margins"] = _ROUTED + "SELECT item_id, round(max(score) - min(score) FILTER (n = 2), 5) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS n FROM s) WHERE n <= 2 GROUP BY item_id"
-_PARTS = (_register, *(m.register for m in (records, notices, builds, knowledge, service)))
+_PARTS = (_register, *(m.register for m in (records, notices, builds, knowledge, service, training)))
 
 
 def queries() -> dict[str, Query]:
