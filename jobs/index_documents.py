@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from jobs.cli import log, main
 from tidewrack.functions.text import TOKEN
 from tidewrack.operators import postings as P
+from tidewrack.runtime import as_pattern
 
 SETTINGS = {"key": str, "text": str, "pattern": str, "slice_docs": int, "files_per_batch": int}
 
@@ -56,9 +57,7 @@ def run(spark: SparkSession, documents: str, out: str, key: str = "doc_id", text
         counts[number] = 0 if made is None else int(made.where(f"bucket = -1 AND batch = {number}").agg(F.sum("docs")).first()[0] or 0)
         log.info("batch %d: read %d rows, added %d documents to %s/postings", number, rows, counts[number], out)
 
-    # a stream reads a folder; a pattern, here one that only the path itself fits, may name a file too
-    named = documents.rstrip("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{named[:-1]}[{named[-1]}]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(as_pattern(documents))
     query = stream.select(key, text).writeStream.foreachBatch(take).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("index_documents: read %s in %d batches, added %d documents", documents, len(counts), sum(counts.values()))

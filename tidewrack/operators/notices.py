@@ -131,9 +131,39 @@ def _evidence(regular: DataFrame, pinned: DataFrame, id_: str, title: str, url:
 
 #: Notices that a stored board keeps, characters of a body, and the printed overview.
 STORED, BODY = 20, 2500
+#: Fixed value: most pages of a board that a crawl reads.
+PAGES = 20
 OVERVIEW = "충남대학교 학사공지 게시판 최근 게시글입니다.\n\n"
 
 
+def pages_read(rows: DataFrame, enough: int = STORED, most: int = PAGES) -> DataFrame:
+    """board, page of the pages that a crawl of each board reads.
+
+    rows: board, page (from 1 on), pinned.  A board is read page by page until ``enough``
+    rows that aren't pinned are there, a page is empty, or ``most`` pages are read; an empty
+    page has no rows.  Only counts by page are brought together, at most ``most`` of a board.
+    """
+    counted = rows.where(F.col("page").between(1, most)).groupBy("board", "page").agg(F.count_if(~F.col("pinned")).alias("n"))
+    per_board = counted.groupBy("board").agg(F.map_from_entries(F.collect_list(F.struct("page", "n"))).alias("n"))
+
+    def go_on(state: Column, page: Column) -> Column:
+        """The rows so far and the last page read, as long as each page is there and more are wanted."""
+        n = F.try_element_at("n", page)
+        more = (state["last"] == page - 1) & (state["sum"] < enough) & n.isNotNull()
+        return F.struct(F.when(more, state["sum"] + n).otherwise(state["sum"]).alias("sum"), F.when(more, page.cast("long")).otherwise(state["last"]).alias("last"))
+
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("last"))
+    pages = F.sequence(F.lit(1), F.lit(most)).cast("array<bigint>")
+    last = per_board.select("board", F.aggregate(pages, start, go_on)["last"].alias("last")).where("last > 0")
+    return last.select("board", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("page"))
+
+
+def crawled(rows: DataFrame, enough: int = STORED, most: int = PAGES) -> DataFrame:
+    """The rows of the pages that a crawl reads; rows without a board are none's."""
+    read = pages_read(rows.where(F.col("board").isNotNull()).withColumn("page", F.col("page").cast("long")), enough, most)
+    return rows.join(read, (rows.board == read.board) & (rows.page == read.page), "left_semi")
+
+
 def board_selection(rows: DataFrame) -> DataFrame:
     """All pinned notices and the newest 20 others of a crawled board, each number once.
 

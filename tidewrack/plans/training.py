@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import postings, router, router_training
+from ..operators import notices as N
 from ..operators import periods as P
-from ..operators import router, router_training
+from ..runtime import as_pattern, run_folder
+from ..streaming import deadlines
 from .registry import Registry, table, texts
 
 register = Registry()
@@ -74,3 +77,37 @@ def router_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register.queries["router_languages"] = router_languages
+
+
+_BOARDS = ["click", "error", "view"]
+
+
+@register("""WITH a AS (SELECT ts, event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events WHERE event_type IN ('click', 'error', 'view')),
+s AS (SELECT start, count(DISTINCT event_type) FILTER (ts <= start + INTERVAL 20 MINUTE) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (ts <= start + INTERVAL 20 MINUTE) AS boards, count(*) FILTER (ts <= start + INTERVAL 20 MINUTE) AS on_time, count(*) FILTER (ts > start + INTERVAL 20 MINUTE) AS late FROM a GROUP BY 1)
+SELECT start, coalesce(boards, '') AS boards, on_time, late, n = 3 AS complete FROM s WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM a) - INTERVAL 1 HOUR""")
+def stage_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as arrivals of boards in stages of an hour, read as a stream; the stages that are over."""
+    path, out = f"{sf_dir}/events.parquet", run_folder(spark, "stages")
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(as_pattern(path))
+    deadlines.append(deadlines.stages(stream, _BOARDS), f"{out}/closed", f"{out}/checkpoint").awaitTermination()
+    return deadlines.closed(spark, f"{out}/closed", schema["ts"].dataType.simpleString())
+
+
+@register("""WITH r AS (SELECT event_id, user_id % 500 AS board, 1 + event_id % 23 AS page, event_type = 'error' AS pinned FROM events),
+c AS (SELECT board, page, count(*) FILTER (NOT pinned) AS n FROM r WHERE page <= 20 GROUP BY ALL),
+s AS (SELECT *, row_number() OVER w AS place, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WINDOW w AS (PARTITION BY board ORDER BY page))
+SELECT event_id, board, page, pinned FROM r SEMI JOIN (SELECT board, page FROM s WHERE place = page AND before < 20) k USING (board, page)""")
+def crawled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of the pages of users' boards: those that a crawl reads until it has enough."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 500).alias("board"), (1 + F.col("event_id") % 23).alias("page"), (F.col("event_type") == "error").alias("pinned"))
+    return N.crawled(rows)
+
+
+def bm25_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of bm25_topk from an index that is made once and searched without the texts."""
+    index = postings.kept(table(spark, sf_dir, "documents"), run_folder(spark, "index"))
+    return postings.search(index, table(spark, sf_dir, "benchmark"), 4)
+
+
+register.queries["bm25_kept_index"] = bm25_kept_index

@@ -44,3 +44,9 @@ def run_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tidewrack-runs")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_pattern(path: str) -> str:
+    """A pattern that only the path itself fits: a file stream takes a folder, or a pattern of files."""
+    named = path.rstrip("/")
+    return f"{named[:-1]}[{named[-1]}]"
