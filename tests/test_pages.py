@@ -68,3 +68,42 @@ def test_sources_fall_back_in_order(spark):
 def test_semester_ends(spark):
     text = "- 2026-06-22: 하기방학\n- 2026-12-19:동기방학\n- 2026-06-19: 제1학기 종강(하기방학 직전, 추정)"
     assert spark.createDataFrame([(text,)], "t string").select(D.semester_ends(F.col("t")).alias("x")).first().x == ["- 2026-12-18: 제2학기 종강(동기방학 직전, 추정)"]
+
+
+def test_registered_pages(spark):
+    from tidewrack.operators import live
+
+    pages = spark.createDataFrame([("u1", "<main>side note Guide book. text &amp; more</main>"), ("u1", None), ("u2", "<main></main>"), ("u3", "<main>Guide</main>"), (None, "<main>x</main>"), ("u4", "<main>plain</main>")], "url string, html string").withColumn("title", F.lit("clash"))
+    registry = spark.createDataFrame([("a", "u1", "the Guide book"), ("b", "u2", "x"), ("c", "u9", "x"), ("d", None, "x"), ("e", "u4", None)], "source_id string, url string, title string")
+    got = {r.id: (r.text, r.url, r.metadata) for r in live.page_evidence(pages.select("url", "html"), registry).collect()}
+    assert got == {"live_page_a": ("Guide book. text & more", "u1", {"tool": "fetch_page_text", "source_id": "a"}), "live_page_e": ("plain", "u4", {"tool": "fetch_page_text", "source_id": "e"})}
+    long = spark.createDataFrame([("u1", "<main>" + "y" * 5000 + "</main>")], "url string, html string")
+    assert [len(r.text) for r in live.page_evidence(long, registry).collect()] == [live.PAGE_CHARS]
+
+
+def test_requested_boards(spark):
+    from tidewrack.operators import live
+
+    df = spark.createDataFrame([("Shown ",), ("internal",), ("other",), (" ",), (None,), ("unknown",)], "v string")
+    asked = live.requested_board(F.col("v"), {"Shown": "internal", "Aliased": "other"}, {"other": "site"})
+    assert [tuple(r.x) for r in df.select(asked.alias("x")).collect()] == [("internal", None), ("internal", None), ("site", "other"), (None, None), (None, None), ("unknown", None)]
+    assert [tuple(r.x) for r in df.limit(1).select(live.requested_board(F.col("v"), {}, {}).alias("x")).collect()] == [("Shown", None)]
+
+
+def test_representatives_of_hot_groups(spark):
+    from tidewrack.operators import relational
+
+    rows = [(k, "hot", k % 50) for k in range(3000)] + [(9000, "a", 1), (9001, None, 2), (9002, "a", 1)]
+    df = spark.createDataFrame(rows, "k int, g string, t int")
+    newest = [F.col("t").desc(), F.col("k")]
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for n in (1, 2, 5, 4000):
+        first = {}
+        for r in order:
+            first.setdefault(r[1], r)
+        reps = sorted(first.values(), key=lambda r: (-r[2], r[0]))
+        rest = [r for r in order if r not in reps]
+        want = sorted((reps + rest)[:n], key=lambda r: (-r[2], r[0]))
+        assert [tuple(r) for r in relational.representatives_then_fill(df, "g", newest, n).collect()] == want
+    plan = relational.representatives_then_fill(df, "g", newest, 5)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2

@@ -187,7 +187,7 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def body_text(text: Column, title: str) -> Column:
+def body_text(text: Column, title: str | Column) -> Column:
     """A page's text from after its last navigation word to its footer.
 
     It begins with the first long word of the title that isn't at its very start, or with
@@ -203,14 +203,16 @@ def body_text(text: Column, title: str) -> Column:
         return let(F.array_max(F.array(*(end_of(w) for w in NAVIGATION)))["end"], lambda cut: F.when(cut.isNull(), t).otherwise(F.ltrim(F.substring(t, cut + 1, F.length(t)))))
 
     def from_title(t: Column) -> Column:
-        def from_word(word: str) -> Column:
+        def from_word(word: Column) -> Column:
             def begun(at: Column) -> Column:
                 year = F.regexp_extract(F.substring(t, F.greatest(at - 19, F.lit(1)), F.least(at, F.lit(20))), r"\d{4}학년도\s*$", 0)
                 return F.when(at > 0, F.substring(t, at + 1 - F.length(year), F.length(t)))
 
             return let(F.instr(t, word) - 1, begun)
 
-        return F.coalesce(*(from_word(w) for w in title.split() if len(w) >= 4), t)
+        words = F.filter(F.split(F.lit(title) if isinstance(title, str) else title, r"\s+"), lambda w: F.length(w) >= 4)
+        begins = F.filter(F.transform(words, from_word), lambda x: x.isNotNull())
+        return F.coalesce(F.try_element_at(begins, F.lit(1)), t)
 
     def to_footer(t: Column) -> Column:
         return F.coalesce(*(F.when(F.instr(t, w) > 1, F.rtrim(F.substring(t, F.lit(1), F.instr(t, w) - 1))) for w in FOOTERS), t)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from .menus import compact_text, daily_text
 NO_MENU, WEEK_HEAD = "의 식단 정보가 없습니다.", "# 주간 학생식당 식단"
 #: Characters of a registered page, and most days of a menu request.
 PAGE_CHARS, MOST_DAYS = 3000, 5
+#: Fixed value: the tool's name.
+PAGE_TOOL = "fetch_page_text"
 
 
 def menu_records(pages: DataFrame, hall: str | None = None) -> DataFrame:
@@ -84,11 +84,34 @@ def calendar_evidence(pages: DataFrame, key: str, today: Column, month: int | No
     return found.select(key, F.concat(F.lit("오늘: "), F.date_format(today, "yyyy-MM-dd"), F.lit(" (한국 표준시)\n"), "text").alias("text"))
 
 
-def page_evidence(pages: DataFrame, registry: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """source_id, title, text, url of registered pages (id, url, title) among ``pages`` (url, html); others and empty ones give none."""
-    out = None
-    for id_, url, title in registry:
-        text = F.rtrim(F.substring(T.body_text(T.main_text(F.col("html")), title), 1, PAGE_CHARS))
-        own = pages.where(F.col("url") == url).select(F.lit(id_).alias("source_id"), F.lit(title).alias("title"), text.alias("text"), "url").where("text <> ''")
-        out = own if out is None else out.unionByName(own)
-    return out
+def page_evidence(pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """id, source_id, title, text, url, metadata of the registered pages among ``pages`` (url, html).
+
+    registry: source_id, url, title.  The text is the page's main part between navigation and
+    footer, from the title on; other pages and empty ones give none.
+    """
+    own = registry.where(F.col("url").isNotNull()).select("source_id", "title", F.col("url").alias("_url"))
+    read = pages.join(own, F.col("url") == F.col("_url"))
+    text = F.rtrim(F.substring(T.body_text(T.main_text(F.col("html")), F.coalesce("title", F.lit(""))), 1, PAGE_CHARS))
+    about = F.create_map(F.lit("tool"), F.lit(PAGE_TOOL), F.lit("source_id"), F.col("source_id"))
+    return read.select(F.concat(F.lit("live_page_"), "source_id").alias("id"), "source_id", "title", text.alias("text"), "url", about.alias("metadata")).where("text <> ''")
+
+
+def internal_name(value: Column, names: dict[str, str]) -> Column:
+    """The internal name of a displayed one, after aliases; a name that isn't displayed is internal already."""
+    if not names:
+        return F.trim(value)
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.trim(value)), F.trim(value))
+
+
+def requested_board(value: Column, names: dict[str, str], aliases: dict[str, str]) -> Column:
+    """struct(board, alias): the board that a request means, and the alias by which it named it; both null for a blank one.
+
+    names: displayed to internal; aliases: internal names that stand for others.
+    """
+    named = internal_name(value, names)
+    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)) if aliases else F.create_map().cast("map<string,string>")
+    meant = F.try_element_at(table, named)
+    blank = F.coalesce(F.trim(value), F.lit("")) == ""
+    return F.struct(F.when(~blank, F.coalesce(meant, named)).alias("board"), F.when(~blank & meant.isNotNull(), named).alias("alias"))

@@ -30,9 +30,13 @@ def carry_forward(df: DataFrame, value: str, by: list, order: list, to: str) ->
 
 
 def representatives_then_fill(df: DataFrame, group: str, newest: list, n: int) -> DataFrame:
-    """The newest row of each group, then the newest of all, n together and newest first."""
-    marked = df.withColumn("_rep", F.row_number().over(Window.partitionBy(group).orderBy(*newest)) == 1)
-    return marked.orderBy(F.col("_rep").desc(), *newest).limit(n).drop("_rep").orderBy(*newest)
+    """The newest row of each group, then the newest of all, n together and newest first.
+
+    The newest n of all are among the newest n of their groups, and these are found before
+    anything is shuffled, so a group's size doesn't matter.
+    """
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*newest))).where(F.col("_place") <= n)
+    return placed.orderBy(F.col("_place") > 1, *newest).limit(n).drop("_place").orderBy(*newest)
 
 
 def months_covered(start: Column, end: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boards as B
+from ..operators import index_build as V
 from ..operators import notices as N
+from ..runtime import run_folder
 from .registry import Registry, table
 
 register = Registry()
@@ -121,3 +123,22 @@ def board_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {_CRAWLED} SELECT (SELECT count(*) FROM c) AS board_rows, count(*) FILTER (pinned) AS selected_pinned, count(*) FILTER (NOT pinned) AS selected_regular, count(*) FILTER (failed) AS detail_failed, coalesce(string_agg(id, ',' ORDER BY id) FILTER (failed), '') AS failed_ids FROM b""")
 def board_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.board_report(_crawled(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    path = run_folder(spark, "notices")
+    counts = {"pinned": F.count_if("pinned"), "failed": F.count_if("failed"), "first_day": F.min("date"), "last_day": F.max("date")}
+    V.build(_documents(spark, sf_dir), path, [F.col("date").desc(), "id"], V.notice_checks(), counts)
+    return path
+
+
+@register(f"WITH {_CRAWLED} SELECT * FROM b")
+def built_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board's documents, written as a version of an index that has no empty text or day, and read again."""
+    return V.read(spark, _built(spark, sf_dir))
+
+
+@register(f"WITH {_CRAWLED} SELECT CAST(1 AS BIGINT) AS version, count(*) AS rows, count(*) FILTER (pinned) AS pinned, count(*) FILTER (failed) AS failed, min(date) AS first_day, max(date) AS last_day FROM b")
+def built_notices_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the build of that version counted while it wrote."""
+    return V.versions(spark, _built(spark, sf_dir)).select("version", "rows", "pinned", "failed", "first_day", "last_day")

@@ -10,6 +10,7 @@ from ..functions import menus as M
 from ..functions import text as T
 from ..functions.calendar import DAYS
 from ..operators import answers as A
+from ..operators import live
 from ..operators import menus as D
 from ..operators import relational as R
 from .registry import Registry, clean_sql, table, texts
@@ -35,14 +36,17 @@ def menu_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(M.menu_dates(F.col("q"), AS_OF), ",").alias("days"), M.hall_of(F.col("q")).alias("hall"))
 
 
-_COMPOUNDS = {("수강", "신청"): "수강신청", ("2", "학생", "회관"): "제2학생회관", ("제", "2", "학생", "회관"): "제2학생회관", ("통학", "버스"): "통학버스", ("통학버스", "시간"): "통학버스시간"}
-_MERGED = [("수강 신청 기간", "수강신청 기간"), ("제 2 학생 회관 메뉴", "제2학생회관 메뉴"), ("통학 버스 시간 안내", "통학버스시간 안내"), ("버스", "버스"), ("a 통학 버스", "a 통학버스"), ("2 학생 2 학생 회관", "2 학생 제2학생회관")]
+#: Compounds of words that the items hold; what the first makes starts the second.
+_COMPOUNDS = {("de", "la"): "de+la", ("de+la", "re"): "de+la+re", ("to", "the"): "to+the", ("it", "and"): "it+and", ("la", "ci"): "la+ci", ("que", "ci", "n"): "que+ci+n"}
+_MERGED = "' ' || array_to_string(list_transform(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'), lambda w: w || ' '), ' ')"
+for _words, _one in _COMPOUNDS.items():
+    _MERGED = f"replace({_MERGED}, ' {'  '.join(_words)} ', ' {_one} ')"
 
 
-@register(f"SELECT * FROM (VALUES {_values(_MERGED)}) t(question, merged)")
+@register(f"SELECT item_id, md5(trim(replace({_MERGED}, '  ', ' '))) AS merged_md5, len(string_split(trim(replace({_MERGED}, '  ', ' ')), ' ')) AS tokens FROM benchmark")
 def compound_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q, _ in _MERGED], "question string")
-    return asked.select("question", F.array_join(T.merge_compounds(F.split("question", " "), _COMPOUNDS), " ").alias("merged"))
+    merged = T.merge_compounds(T.tokens(F.col("text")), _COMPOUNDS)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.array_join(merged, " ")).alias("merged_md5"), F.size(merged).cast("long").alias("tokens"))
 
 
 _ALIASES = {"the": ["die", "le", "el"], "and": ["und"]}
@@ -293,3 +297,26 @@ def routed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.col("lang")).otherwise("").alias("fresh"), F.when(k % 4 == 0, "again").alias("again"), (k % 7 == 0).alias("refused"),
     )
     return A.routed(rows, A.Echo(), "no evidence", "live failed", "refused").select("doc_id", "evidence", "answer")
+
+
+_PAGE = f"""m AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, {clean_sql(f"regexp_extract({_AS_MAIN}, '(?is)<main>(.*?)</main>', 1)")} AS t FROM pages),
+w AS (SELECT *, list_filter(list_transform(list_filter(string_split_regex(title, '\\s+'), lambda x: length(x) >= 4), lambda x: strpos(t, x)), lambda n: n > 1) AS begins FROM m)"""
+
+
+@register(f"WITH {_PAGE}, x AS (SELECT *, rtrim(substr(CASE WHEN len(begins) > 0 THEN substr(t, begins[1]) ELSE t END, 1, 3000)) AS text FROM w) SELECT 'live_page_p' || page_id AS id, title, md5(text) AS text_md5, url FROM x WHERE text <> ''")
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is registered by its address, under its own title."""
+    pages = table(spark, sf_dir, "pages")
+    registry = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source_id"), "url", T.title_of(F.col("html")).alias("title"))
+    found = live.page_evidence(pages.select("url", F.expr(_AS_MAIN).alias("html")), registry)
+    return found.select("id", "title", F.md5("text").alias("text_md5"), "url")
+
+
+_SHOWN, _OTHER = {"FURNITURE": "f", "BUILDING": "b"}, {"b": "site"}
+
+
+@register("""SELECT c_custkey, CASE c_mktsegment WHEN 'FURNITURE' THEN 'f' WHEN 'BUILDING' THEN 'site' ELSE c_mktsegment END AS board, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' END AS alias FROM customer""")
+def requested_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as names of boards: displayed, internal, and by an alias."""
+    asked = live.requested_board(F.concat(F.lit(" "), "c_mktsegment"), _SHOWN, _OTHER)
+    return table(spark, sf_dir, "customer").select("c_custkey", asked.alias("x")).select("c_custkey", "x.board", "x.alias")
