@@ -10,6 +10,7 @@ from ..operators import postings, router, router_training
 from ..operators import notices as N
 from ..operators import periods as P
 from ..runtime import as_pattern, run_folder
+from ..sources import pages as G
 from ..streaming import deadlines
 from .registry import Registry, table, texts
 
@@ -111,3 +112,14 @@ def bm25_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register.queries["bm25_kept_index"] = bm25_kept_index
+
+
+@register(r"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN regexp_replace(replace(html, 'charset="utf-8"', 'charset="iso-8859-1"'), '[^\x00-\x{FF}]', '?', 'g') ELSE replace(html, 'charset="utf-8"', 'charset="no-such-set"') END AS html FROM pages)
+SELECT page_id, lower(coalesce(nullif(regexp_extract(html[:2000], 'charset="([\w-]+)', 1), ''), 'utf-8')) AS charset, md5(html) AS html_md5 FROM p""")
+def sniffed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes in the charset that they declare: one by its own name, one in Latin-1, one under a name that nobody knows."""
+    k = F.col("page_id") % 3
+    named = lambda name: F.replace(F.col("html"), F.lit('charset="utf-8"'), F.lit(f'charset="{name}"'))
+    latin = F.encode(F.regexp_replace(named("iso-8859-1"), r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    raw = F.when(k == 0, F.encode("html", "UTF-8")).when(k == 1, latin).otherwise(F.encode(named("no-such-set"), "UTF-8"))
+    return G.with_text(table(spark, sf_dir, "pages").select("page_id", raw.alias("content"))).select("page_id", "charset", F.md5("html").alias("html_md5"))
