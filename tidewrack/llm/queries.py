@@ -41,18 +41,30 @@ def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The labels are reports of hosts, and cover only the hosts that aren't held out; pages that
     a rule decides aren't among them.  So what a held-out host gets is inferred from its form.
+    Held out are the reported hosts with the greatest hashes, up to a third of them, and of
+    the others those whose hash leaves 1 when divided by 3.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_gbt.host_of(F.col("url")), url_gbt.path_of(F.col("url"))
     rule, _ = url_gbt.rule_of(host, path, URL_RULES)
-    reported = F.exists(F.array(*(F.lit(w) for w in REPORTED)), lambda w: F.contains(host, w))
-    labelled = pages.where(rule.isNull() & (host != "") & ~_host_held_out(host)).select("url", reported.cast("int").alias("label"))
+    open_ = pages.where(rule.isNull()).select("url", host.alias("host")).where("host <> ''")
+    # the greatest hash of the two thirds that stay in: one number
+    cut = open_.where(_reported(F.col("host"))).select("host").distinct().agg(F.percentile_approx(_hash(F.col("host")), 2 / 3, 10_000)).first()[0]
+    labelled = open_.where(~_held_out(F.col("host"), cut)).select("url", _reported(F.col("host")).cast("int").alias("label"))
     out = url_gbt.judge(pages, url_gbt.learn(labelled), URL_RULES)
-    return out.select("page_id", "host", "path", "rule", "verdict", "block_score", _host_held_out(F.col("host")).alias("held_out"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score", _held_out(F.col("host"), cut).alias("held_out"))
 
 
-def _host_held_out(host: Column) -> Column:
-    return F.crc32(host.cast("binary")) % 3 == 1
+def _hash(host: Column) -> Column:
+    return F.crc32(host.cast("binary"))
+
+
+def _reported(host: Column) -> Column:
+    return F.exists(F.array(*(F.lit(w) for w in REPORTED)), lambda w: F.contains(host, w))
+
+
+def _held_out(host: Column, cut: int | None) -> Column:
+    return F.when(_reported(host), _hash(host) > F.lit(cut if cut is not None else 0)).otherwise(_hash(host) % 3 == 1)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
