@@ -66,6 +66,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES
     too, as they are followed by a row number.  Texts are read whole, whatever their
     length.  Only ``key`` and ``text`` of the input are used, so other columns can't clash.
     An empty table gives an empty one; without phrases or templates nothing is found.
+    Of diagonals with equally many votes, an over-wide chain is cut around the least one.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()

@@ -117,6 +117,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | No
     in order.  Null and empty texts have no ids and no place.  Repeated rows are packed
     as often as they occur; a null key stays null.  Texts of any length are cut; an empty
     table gives no rows.  Other columns of the input are not read, so none can clash.
+    Pieces of equal length tie: they are numbered by task and then by arrival, so which of
+    them goes to which row follows from how the input is split; the rows' fill does not.
     """
     path = model or vocab.model_path()
     kind = df.schema[key].dataType.simpleString()

@@ -274,7 +274,8 @@ def detect(df: DataFrame, model: Model, text: str = "text", carry: list[str] | N
 
     A null text counts as empty; rows are independent, so repeated rows get equal spans
     and an empty table gives an empty one.  Texts of any length are read whole.  Clashing
-    columns are replaced.
+    columns are replaced.  Of overlapping spans the base ones stay, then the likeliest; of
+    equally likely ones the one that was offered first.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
