@@ -16,7 +16,11 @@ from tidewrack.llm.store import keep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the line field scores at 0.5 or more."""
+    """Keeps documents that the line field scores at 0.5 or more; one of exactly 0.5 stays.
+
+    A null or empty text gets the sample's share of good ones, repeated rows get equal
+    verdicts, texts are scored whole, and an empty table stays empty.
+    """
     field = line_crf.learn(docs, table(spark, sf_dir, "labels"))
     names = docs.columns
     inner = docs.select(*(quoted(c).alias(f"in_{c}") for c in names))
@@ -40,12 +44,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
+    """Drops documents that leak a benchmark item, each row of a repeated one.
+
+    Null and empty texts leak nothing; whole texts are searched; of several items that a text
+    leaks one is enough, so ties don't matter.  Empty tables on either side drop nothing.
+    """
     return lsa_search.without_leaks(docs, table(spark, sf_dir, "benchmark"), lsa_search.fit(docs))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; n_chars follows the text."""
+    """Replaces personal data in the texts; n_chars, which must be there, follows the text.
+
+    A null text stays null with its n_chars; repeated rows change alike, whole texts are
+    read, and ties between spans go as ``pii.detect`` says.  An empty table stays empty.
+    """
     out = pii.redact(docs, pii.learn())
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
 
