@@ -5,9 +5,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewrack.functions.slices import slices
 from tidewrack.operators import router
 from tidewrack.operators import router_training as R
 from tidewrack.plans import training
@@ -114,3 +116,21 @@ def test_query(spark):
     held = out.where("held_out AND label IS NOT NULL")
     assert held.count() and R.macro_f1(held, "label", "predicted") > 0.8
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_terms_are_counted_in_slices_of_bounded_text(spark, monkeypatch):
+    texts = ["aa bb", "aa aa", None, "", "x" * 50, "aa"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = Counter(g for t in texts for g in counts(t))
+    assert {r.term: r.documents for r in R.document_frequencies(df, "text").collect()} == want
+    monkeypatch.setattr(R, "MOST_HELD", 1)
+    assert {r.term: r.documents for r in R.document_frequencies(df, "text").collect()} == want
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert [s.column(0).to_pylist() for s in slices(batch, 0, most=10)] == [["aa bb", "aa aa", None, ""], ["x" * 50], ["aa"]]
+
+
+def test_the_sample_is_that_of_the_order_by_hash(spark):
+    df = spark.createDataFrame([(f"t{k % 7}", k % 3) for k in range(60)] + [(None, 1)] * 3, "text string, class int").repartition(3)
+    for most in (0, 1, 8, 9, 40, 63, 100):
+        want = df.orderBy(F.xxhash64("text"), "text", "class").limit(most)
+        assert sorted(map(str, R.sampled(df, most).collect())) == sorted(map(str, want.collect()))
