@@ -107,3 +107,13 @@ def test_representatives_of_hot_groups(spark):
         assert [tuple(r) for r in relational.representatives_then_fill(df, "g", newest, n).collect()] == want
     plan = relational.representatives_then_fill(df, "g", newest, 5)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_pages_that_were_fetched_for_a_source_meet_it_alone(spark):
+    from tidewrack.operators import live
+
+    pages = spark.createDataFrame([("a", "u1", "<main>one</main>"), ("b", "u1", "<main>two</main>"), ("c", None, "<main>three</main>")], "source_id string, url string, html string")
+    registry = pages.select("source_id", "url", F.lit("t").alias("title"))
+    got = {(r.id, r.text, r.url) for r in live.page_evidence(pages, registry, "source_id").collect()}
+    assert got == {("live_page_a", "one", "u1"), ("live_page_b", "two", "u1"), ("live_page_c", "three", None)}
+    assert live.page_evidence(pages.drop("source_id"), registry).count() == 4
