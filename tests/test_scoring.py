@@ -109,3 +109,13 @@ def test_small_scans_are_dealt_over_all_cores(spark, tmp_path):
     assert over_all_cores(many).rdd.getNumPartitions() == max(many.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     assert over_all_cores(one.limit(0)).count() == 0
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,3)]" in over_all_cores(one).where("id = 3")._jdf.queryExecution().toString()
+
+
+def test_texts_are_scored_in_slices(spark, monkeypatch):
+    docs, asked = corpus(3, 60), [(1, "w1 w2 w3"), (2, "w5")]
+    df, questions = spark.createDataFrame(docs, "id string, text string").coalesce(1), spark.createDataFrame(asked, "item_id int, text string")
+    df = df.withColumn("title", df.text)
+    both = lambda: [sorted(map(tuple, x.collect())) for x in (scoring.bm25_top(df, questions, 5, "id"), scoring.lexical_top(df, questions, 5, "title", "id"))]
+    want = both()
+    monkeypatch.setattr(scoring, "TEXT_BYTES", 1)
+    assert both() == want
