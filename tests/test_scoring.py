@@ -119,3 +119,11 @@ def test_texts_are_scored_in_slices(spark, monkeypatch):
     want = both()
     monkeypatch.setattr(scoring, "TEXT_BYTES", 1)
     assert both() == want
+
+
+def test_a_table_of_one_file_is_dealt_by_key(spark, tmp_path):
+    from tidewrack.plans.registry import dealt
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = dealt(spark.read.parquet(str(tmp_path / "one")), "id")
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and rows.count() == 1000
