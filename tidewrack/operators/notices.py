@@ -62,24 +62,22 @@ def recent(items: DataFrame, boards: list[dict], details: DataFrame | None = Non
     cap = None if limit is None else max(1, min(int(limit), MOST))
     n = (cap or ONE_REGULAR) if board else min(cap or ALL_REGULAR, ALL_REGULAR)
     n_pinned = n if board else ALL_PINNED
-    rows, note, shown = items, None, chosen
+    every = [*chosen, *(b["board"] for b in boards if b["board"] not in chosen)]
+    own = F.col("board").isin(chosen)
+    fits = mentions(F.col("title"), wanted)
+    # 1: matches of the boards asked, 2: of the others, 3: what stands there without a match
+    stage = F.when(fits & own, 1).when(fits & F.lit(board is None), 2).when(own, 3) if wanted else F.when(own, 1)
+    label = F.when((F.col("stage") == 2) & F.lit(len(every) > 1) | F.lit(len(chosen) > 1), F.col("label")).otherwise("")
+    rows = items.withColumn("stage", stage).where("stage IS NOT NULL").withColumn("label", label)
     if wanted:
-        fits, own = mentions(F.col("title"), wanted), F.col("board").isin(chosen)
-        staged = rows.withColumn("stage", F.when(fits & own, 1).when(fits & F.lit(board is None), 2).when(own, 3)).where("stage IS NOT NULL")
-        stage = staged.agg(F.min("stage")).first()[0]
-        rows = staged.where(F.col("stage") == stage).drop("stage") if stage else staged.limit(0).drop("stage")
-        if stage == 3:
-            note = NOT_FOUND.format(", ".join(wanted))
-        else:
-            rows = keep_first(rows, ["url"], ["ord", "place"])
-        if stage == 2:
-            shown = [*chosen, *(b["board"] for b in boards if b["board"] not in chosen)]
-    else:
-        rows = rows.where(F.col("board").isin(chosen))
-    labelled = len(shown) > 1 or len(chosen) > 1
-    rows = rows.withColumn("label", F.col("label") if labelled else F.lit(""))
-    if board is None:
-        rows = _each_board(rows)
+        match = F.col("stage") < 3
+        rows = keep_first(rows, ["stage", F.when(match, F.col("url")), F.when(~match, F.col("ord")), F.when(~match, F.col("place"))], ["ord", "place"])
+    # the boards are read once: what can be shown of each stage is kept, a few rows of each list
+    few = (_each_board(rows) if board is None else _newest(rows, n)).localCheckpoint()
+    at = few.agg(F.min("stage")).first()[0]
+    rows = few.where(F.col("stage") == F.lit(at)).drop("stage")
+    note = NOT_FOUND.format(", ".join(wanted)) if at == 3 else None
+    shown = every if wanted and at == 2 else chosen
     regular, pinned = rows.where("NOT pinned"), rows.where("pinned").orderBy(*newest()).limit(n_pinned)
     if board is None and not wanted:
         regular = spread(regular, n)
@@ -93,10 +91,15 @@ def recent(items: DataFrame, boards: list[dict], details: DataFrame | None = Non
 
 
 def _each_board(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.coalesce(F.nullif("label", F.lit("")), "url"), "pinned").orderBy("ord", "place")
+    w = Window.partitionBy("stage", F.coalesce(F.nullif("label", F.lit("")), "url"), "pinned").orderBy("ord", "place")
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= EACH_BOARD).drop("_n")
 
 
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("stage", "pinned").orderBy(*newest())
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def spread(regular: DataFrame, n: int) -> DataFrame:
     """The newest of each board in the boards' order, then the newest of all, n together; a url once."""
     best = Window.partitionBy("ord").orderBy(*newest())
@@ -182,7 +185,8 @@ def board_documents(selected: DataFrame, details: DataFrame) -> DataFrame:
     the text; with an empty body a note that names the attachment's page.
     """
     d = details.select("no", *(F.col(c).alias(f"d_{c}") for c in ("title", "date", "department", "body", "url")), F.lit(True).alias("d_there"))
-    rows = selected.join(d, "no", "left")
+    # the selected are held and the bodies pass by them; sorted bodies would fill a task's memory
+    rows = d.join(selected.hint("shuffle_hash"), "no", "right")
     filled = lambda c: F.coalesce(F.nullif(f"d_{c}", F.lit("")), c)
     stub = F.concat(F.coalesce("d_title", F.lit("")), F.lit("\n게시일: "), F.coalesce("d_date", F.lit("")), F.lit("\n작성: "), F.coalesce("d_department", F.lit("")), F.lit("\n(본문은 첨부파일 참조: "), F.coalesce("d_url", F.lit("")), F.lit(")"))
     body = F.when(F.col("d_there").isNull(), F.col("title")).when(F.trim(F.coalesce("d_body", F.lit(""))) == "", stub).otherwise(F.col("d_body"))

@@ -9,7 +9,7 @@ from ..functions import boards as B
 from ..operators import index_build as V
 from ..operators import notices as N
 from ..runtime import run_folder
-from .registry import Registry, table
+from .registry import Registry, dealt, table
 
 register = Registry()
 
@@ -42,7 +42,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.concat(F.lit("<table><tbody><tr><td>"), number, F.lit('</td><td> <a class="x" href="?no='), key, F.lit('&amp;p=1">'), title, F.lit("</a></td><td>"), by, F.lit("</td><td>"), day, F.lit(" </td></tr><tr><td>short</td></tr></tbody></table>"))
     marked = F.concat(F.lit("<tbody><tr><td>"), number, F.lit("</td><td><div class='b-title-box'><i>new</i><a href='?no="), key, F.lit("'>"), title, F.lit("</a></div></td><td><span class='b-writer'>"), by, F.lit("</span><span class='b-date'>"), day, F.lit("</span></td></tr></tbody>"))
     url = F.concat(F.lit("http://b"), ord_.cast("string"), F.lit(".example/list"))
-    return table(spark, sf_dir, "orders").select(
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), "o_orderkey")
+    return orders.select(
         F.concat(F.lit("b"), ord_.cast("string")).alias("board"), F.concat(F.lit("board "), ord_.cast("string")).alias("label"), ord_.alias("ord"), F.col("o_orderkey").alias("page"), url.alias("url"),
         F.when(ord_ % 2 == 0, "plain").otherwise("marked").alias("layout"), F.when(ord_ % 2 == 0, plain).otherwise(marked).alias("html"),
     )
