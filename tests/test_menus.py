@@ -49,3 +49,12 @@ def test_merge_compounds(spark):
 @pytest.mark.parametrize("text,want", [('{"a": 1, "b": "x"}', {"a": "1", "b": "x"}), ("[1]", {}), ("{bad", {}), ("", {}), (None, {})])
 def test_object_of(spark, text, want):
     assert (spark.createDataFrame([(text,)], "x string").select(T.object_of(F.col("x")).alias("y")).first().y or {}) == want
+
+
+def test_a_stored_page_is_parsed_once(spark):
+    from tidewrack.operators import builds as D
+
+    files = spark.createDataFrame([("raw/a.html", "<p>x</p>")], "path string, html string")
+    plan = D.dining_rows(D.dining_files(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [(r.view, r.records) for r in D.dining_files(files).collect()] == [("No menu table found", [])]

@@ -44,8 +44,8 @@ def without_source(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def dining_files(files: DataFrame) -> DataFrame:
-    """path, view, records of stored dining pages (path, html)."""
-    return files.select("path", P.dining_file(F.col("path"), F.col("html")).alias("f")).select("path", "f.view", "f.records")
+    """path, view, records of stored dining pages (path, html); a page is parsed once, however many of these are asked for."""
+    return files.select("path", F.explode(F.array(P.dining_file(F.col("path"), F.col("html")))).alias("f")).select("path", "f.view", "f.records")
 
 
 def dining_rows(parsed: DataFrame) -> DataFrame:
