@@ -152,3 +152,12 @@ def test_session_settings_stay(spark, tmp_path):
 def test_each_run_has_a_folder_of_its_own(spark):
     a, b = (run_folder(spark, "job") for _ in range(2))
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir", "file:///").rstrip("/"))
+
+
+def test_texts_are_cut_before_they_meet_the_rankings(spark):
+    docs = spark.createDataFrame([(1, "The hall opens. " * 1000, "hall")], DOCS)
+    asked = spark.createDataFrame([(7, "hall")], "conv_id long, question string")
+    ranked = spark.createDataFrame([(7, 1, 1.0, 1)], "conv_id long, doc_id long, score double, rank int")
+    made = answer_batch.answers(docs, asked, ranked, 0.4, 20)
+    join = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1:])
+    assert "cut#" in join and [(r.answer, r.evidence) for r in made.collect()] == [("The hall opens. (source: hall)", "[1] hall\nThe hall opens. The...")]
