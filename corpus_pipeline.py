@@ -18,8 +18,9 @@ from tidewrack.llm.store import keep, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the line field scores at 0.5 or more; one of exactly 0.5 stays.
 
-    A null or empty text gets the sample's share of good ones, repeated rows get equal
-    verdicts, texts are scored whole, and an empty table stays empty.
+    The field is fitted on all labelled rows that aren't held out.  A null or empty text gets
+    their share of good ones, repeated rows get equal verdicts, texts are scored whole, and an
+    empty table stays empty.
     """
     field = line_crf.learn(docs, table(spark, sf_dir, "labels"))
     names = docs.columns

@@ -628,6 +628,56 @@ def test_op4_long_labelled_texts_take_part(spark, monkeypatch):
     assert np.array_equal(line_crf.learn(docs, labels).weight, rest.weight)
 
 
+def test_op4_fit_takes_all_labelled_rows(spark):
+    """More rows than the former sample of 4,000: the field is that of all of them, in any partitions."""
+    from tidewrack.llm.arrow_text import slices
+
+    texts = [("\n".join(t.split("\n")[k % 5 : k % 5 + 2]) + f" {k}", y) for k, (t, y, _) in enumerate(crf_texts(6, 6600))]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, quality int")
+    fitted = [(t, y) for k, (t, y) in enumerate(texts) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(fitted) > 4200
+    found, at = [], 0
+    for _, _, t in slices(pa.array([t for t, _ in fitted], pa.large_string())):
+        own, row, length = line_crf.line_features(t)
+        cut = np.searchsorted(row, np.arange(t.n + 1))
+        found += [line_crf.sampled(own[a:z], length[a:z], y) for a, z, (_, y) in zip(cut[:-1], cut[1:], fitted[at:], strict=False)]
+        at += t.n
+    want = line_crf.fit(found[::-1])
+    for d in (docs, docs.repartition(7)):
+        field = line_crf.learn(d, labels)
+        assert field.prior == want.prior == np.mean([y for _, y in fitted])
+        for name in ("mean", "spread", "weight", "step"):
+            assert np.array_equal(getattr(field, name), getattr(want, name)), name
+        assert field.turn == want.turn
+
+
+def test_op4_sums_are_those_of_the_features_with_neighbours():
+    r = np.random.default_rng(5)
+    sizes, f = np.array([1, 4, 2, 1]), len(line_crf.FEATURES)
+    own, w, u = r.normal(size=(8, f)).astype(np.float32), r.normal(size=8), r.normal(size=3 * f + 3)
+    b = line_crf.Block(own, np.ones(8, np.int64), sizes, np.array([1, 0, 1, 0]))
+    x = line_crf.with_neighbours(own, np.repeat(np.arange(4), sizes)).astype(float)
+    assert np.allclose(b.emit(u, 0.5), x @ u - 0.5)
+    assert np.allclose(b.weighed(w).sum(1), x.T @ w) and np.allclose(b.weighed(w, squared=True).sum(1), (x * x).T @ w)
+    assert [len(k.sizes) for k in line_crf.blocks(own, b.length, sizes, b.label)] == [4]
+
+
+def test_op4_pair_marginals_by_brute_force():
+    r = np.random.default_rng(9)
+    emit, step, starts, lengths = r.normal(size=9), r.normal(size=(2, 2)), np.array([0, 4, 5]), np.array([4, 1, 4])
+    good, pairs, _ = line_crf.forward_backward(emit, starts, lengths, step)
+    for a, n in zip(starts, lengths):
+        total, one, two = 0.0, np.zeros(n), np.zeros((4, n))
+        for m in range(1 << n):
+            y = [m >> k & 1 for k in range(n)]
+            w = np.exp(sum(e for e, k in zip(emit[a : a + n], y) if k) + sum(step[i, j] for i, j in zip(y, y[1:])))
+            total, one = total + w, one + w * np.array(y)
+            for k in range(n - 1):
+                two[2 * y[k] + y[k + 1], k] += w
+        assert np.allclose(good[a : a + n], one / total) and np.allclose(pairs[:, a : a + n], two / total)
+
+
 def test_op9_many_short_texts_that_differ_in_one_word(spark):
     """Groups of near copies far larger than a cell; links by the class's count, memory by the cell's bound."""
     import tracemalloc

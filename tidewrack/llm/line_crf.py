@@ -9,24 +9,39 @@ Labels are known for documents only.  A line's own label is learned from them: a
 field sees each line alone, so a line that looks as lines of good documents do counts as
 good in a bad one too, and the other way round.  At least half of a document, by length,
 keeps the document's label, the lines that suit it best.
+
+The fit takes all labelled documents.  Their lines' features are written once; each step
+sums what it needs of every document in the tasks, and only these sums reach the driver.
+They are sums of whole numbers, so their order and the partitions don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import SPACE_WORDS, Texts, add_columns, column, mix, slices
-
-#: Labelled rows that the field is fitted on, taken by the order of their keys' hashes, and the
-#: most lines that they hold together.  A row of the sample brings its whole text; were there
-#: more lines, the rows of the longest texts would not be in the sample.
-SAMPLE, SAMPLE_LINES = 4000, 400_000
-STEPS = 150
+from .store import forget, keep
+
+#: Bounds on the labelled rows of a fit and on the lines that they hold together; None takes all,
+#: as every query does.  Rows are taken by the order of their keys' hashes, those of least lines first.
+SAMPLE: int | None = None
+SAMPLE_LINES: int | None = None
+#: Most sums of gradients of a fit, and the greatest gradient that ends it before.
+STEPS, FLAT = 60, 1e-4
+#: What a text adds to a sum is rounded to whole parts of this.
+UNIT = 2.0**30
+#: Lines that are worked on at once; one longer text is by itself.
+BLOCK_LINES = 1 << 16
+#: Steps of a log-odds by which texts are counted for the map to probabilities.
+GRAIN = 256
 #: A line counts with the other label from this probability on, good and bad documents being held equally likely.
 SURE = 0.6
 
@@ -107,33 +122,47 @@ def with_neighbours(own: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of good, summed pair marginals and log-likelihood normaliser of many chains.
+def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals of good, pair marginals of each line with the next one, and log-likelihood normaliser of many chains.
 
-    emit: log-odds of good for each line; step: 2x2 transition weights; weight: what a line's
-    pair with the next one counts.  The chains are advanced together, one line at a time.
+    emit: log-odds of good for each line; step: 2x2 transition weights.  The chains are
+    advanced together, one line at a time; what a chain gets doesn't depend on the others.
     """
-    order = np.argsort(-lengths, kind="stable")
+    n, order = len(emit), np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    n, most = len(emit), int(lengths[0]) if len(lengths) else 0
-    e = np.stack([np.ones(n), np.exp(np.clip(emit, -30, 30))], 1)
-    e /= e.sum(1, keepdims=True)
-    m = np.exp(step)
+    most = int(lengths[0]) if len(lengths) else 0
     live = np.searchsorted(-lengths, -np.arange(most), side="left")  # chains longer than t
-    a, b, scale = np.empty((n, 2)), np.ones((n, 2)), np.ones(n)
+    off = np.concatenate([[0], np.cumsum(live)]).tolist()
+    live = live.tolist()
+    # line t of all chains stands together, the longest chain first
+    at = np.empty(n, np.int64)
     for t in range(most):
-        at = starts[: live[t]] + t
-        x = e[at] if t == 0 else (a[at - 1] @ m) * e[at]
-        scale[at] = x.sum(1)
-        a[at] = x / scale[at][:, None]
-    pairs = np.zeros((2, 2))
+        at[off[t] : off[t + 1]] = starts[: live[t]] + t
+    odds = np.exp(np.clip(emit, -30, 30))[at]
+    e0, e1 = 1 / (1 + odds), odds / (1 + odds)
+    (m00, m01), (m10, m11) = np.exp(step).tolist()
+    a0, a1, scale = np.empty(n), np.empty(n), np.empty(n)
+    for t in range(most):
+        now = slice(off[t], off[t + 1])
+        x0, x1 = e0[now], e1[now]
+        if t:
+            p = slice(off[t - 1], off[t - 1] + live[t])
+            p0, p1 = a0[p], a1[p]
+            x0, x1 = (p0 * m00 + p1 * m10) * x0, (p0 * m01 + p1 * m11) * x1
+        scale[now] = total = x0 + x1
+        a0[now], a1[now] = x0 / total, x1 / total
+    b0, b1, pairs = np.ones(n), np.ones(n), np.zeros((4, n))
     for t in range(most - 2, -1, -1):
-        at = starts[: live[t + 1]] + t
-        ahead = e[at + 1] * b[at + 1] / scale[at + 1][:, None]
-        pairs += np.einsum("ni,ij,nj->ij", a[at] if weight is None else a[at] * weight[at][:, None], m, ahead)
-        b[at] = ahead @ m.T
-    both = a * b
-    return both[:, 1] / both.sum(1), pairs, float(np.log(scale).sum())
+        now, nxt = slice(off[t], off[t] + live[t + 1]), slice(off[t + 1], off[t + 2])
+        x0, x1 = e0[nxt] * b0[nxt] / scale[nxt], e1[nxt] * b1[nxt] / scale[nxt]
+        pairs[0, now], pairs[1, now] = a0[now] * (m00 * x0), a0[now] * (m01 * x1)
+        pairs[2, now], pairs[3, now] = a1[now] * (m10 * x0), a1[now] * (m11 * x1)
+        b0[now], b1[now] = m00 * x0 + m01 * x1, m10 * x0 + m11 * x1
+    b1 *= a1
+    good, out = np.empty(n), np.empty((4, n))
+    good[at] = b1 / (a0 * b0 + b1)
+    out[:, at] = pairs
+    return good, out, float(np.log(scale).sum())
 
 
 @dataclass(frozen=True)
@@ -150,7 +179,7 @@ class LineField:
         return ((x - self.mean) / self.spread) @ self.weight
 
     def score(self, t: Texts) -> np.ndarray:
-        """Quality of each row, 0 to 1; rows without a word get the share of good texts in the sample."""
+        """Quality of each row, 0 to 1; rows without a word get the share of good texts in the fit."""
         own, rows, length = line_features(t)
         out = np.full(t.n, self.prior)
         if len(rows):
@@ -172,7 +201,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sampled:
-    """Lines of one labelled text: features with those of neighbours, lengths, and the label."""
+    """Lines of one labelled text: their own features, their lengths, and the label."""
 
     lines: np.ndarray
     length: np.ndarray
@@ -181,84 +210,239 @@ class Sampled:
 
 def sampled(own: np.ndarray, length: np.ndarray, label: int) -> Sampled:
     """All lines of a text."""
-    return Sampled(with_neighbours(own, np.zeros(len(own), np.int64)), length, label)
+    return Sampled(own, length, label)
+
 
+@dataclass(frozen=True)
+class Block:
+    """Lines of several labelled texts: own features, lengths, the number of lines of each text and its label."""
+
+    own: np.ndarray
+    length: np.ndarray
+    sizes: np.ndarray
+    label: np.ndarray
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        return np.ascontiguousarray(self.own.T)
+
+    def each(self, x: np.ndarray) -> np.ndarray:
+        """What a text has, for each of its lines."""
+        return np.repeat(x, self.sizes)
+
+    def sum(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts)
+
+    def ahead(self, x: np.ndarray) -> np.ndarray:
+        """What the next line of the same text has, else 0."""
+        out = np.append(x[1:], 0.0)
+        out[self.starts[1:] - 1] = 0
+        return out
 
-def line_labels(texts: list[Sampled], good: np.ndarray) -> np.ndarray:
+    def behind(self, x: np.ndarray) -> np.ndarray:
+        """What the line before in the same text has, else 0."""
+        out = np.append(0.0, x[:-1])
+        out[self.starts] = 0
+        return out
+
+    def emit(self, u: np.ndarray, offset: float, near: bool = True) -> np.ndarray:
+        """Log-odds of the lines for weights of features as they are; ``near``: with the neighbours' features.
+
+        Lines are summed alike wherever they stand, which a matrix product doesn't promise.
+        """
+        f = len(FEATURES)
+        own = [sum(x.astype(float) * w for x, w in zip(self.columns, u[k * f : (k + 1) * f].tolist(), strict=True)) for k in range(3 if near else 1)]
+        out = own[0] + (u[-1] - offset)
+        if near:
+            out += self.behind(own[1]) + self.ahead(own[2])
+            out[self.starts] += u[3 * f]
+            out[self.starts + self.sizes - 1] += u[3 * f + 1]
+        return out
+
+    def weighed(self, r: np.ndarray, near: bool = True, squared: bool = False) -> np.ndarray:
+        """Sums of r times each feature by text; without ``near``, of the own features and the constant."""
+        rs = [r, self.ahead(r), self.behind(r)] if near else [r]
+        out = [[], [], []]
+        for x in self.columns:
+            x = x.astype(float)
+            for k, v in enumerate(rs):
+                out[k].append(self.sum((x * x if squared else x) * v))
+        edges = [r[self.starts], r[self.starts + self.sizes - 1]] if near else []
+        return np.stack([*out[0], *out[1], *out[2], *edges, self.sum(r)])
+
+
+def blocks(own: np.ndarray, length: np.ndarray, sizes: np.ndarray, label: np.ndarray):
+    """Texts, none of them without lines, in blocks of at most BLOCK_LINES lines or one text."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        lo = int(ends[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK_LINES, side="right")))
+        yield Block(own[lo : ends[j - 1]], length[lo : ends[j - 1]], sizes[i:j], label[i:j])
+        i = j
+
+
+def exact(x: np.ndarray) -> list[int]:
+    """Sums over the texts in whole units, which come out alike in any order."""
+    x = np.rint(x * UNIT)
+    if np.abs(x).max(initial=0) * x.shape[1] < 2**62:
+        return x.astype(np.int64).sum(1).tolist()
+    return [sum(map(int, row)) for row in x.tolist()]
+
+
+def line_labels(b: Block, good: np.ndarray) -> np.ndarray:
     """Labels of all lines, given how good each looks alone."""
-    out, at = [], 0
-    for t in texts:
-        p = good[at : at + len(t.length)] if t.label else 1 - good[at : at + len(t.length)]
-        at += len(t.length)
-        order = np.argsort(-p, kind="stable")
-        total = np.cumsum(t.length[order])
-        must = np.zeros(len(p), bool)
-        must[order[: int(np.searchsorted(total, total[-1] / 2)) + 1]] = True
-        out.append(np.where(must | (p > 1 - SURE), t.label, 1 - t.label))
-    return np.concatenate(out).astype(float)
-
-
-def _train(z: np.ndarray, y: np.ndarray, weight: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chain: np.ndarray, steps: int, penalty: float, tied: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Full-batch Adam on the penalised conditional log-likelihood; without ties each line stands alone.
-
-    Every text weighs alike, whatever its number of lines: a line weighs the inverse of
-    its text's lines, and so do a chain's transitions.
+    told = b.each(b.label)
+    p = np.where(told > 0, good, 1 - good)
+    order = np.lexsort((-p, b.each(np.arange(len(b.sizes)))))
+    length = b.length[order]
+    total = np.cumsum(length)
+    before = total - length - b.each((total - length)[b.starts])
+    must = np.zeros(len(p), bool)
+    must[order] = 2 * before < b.each(b.sum(b.length))
+    return np.where(must | (p > 1 - SURE), told, 1 - told)
+
+
+def climb(gradient: Callable[[np.ndarray], np.ndarray], x: np.ndarray, steps: int) -> np.ndarray:
+    """The top of a concave function by its gradients, at most ``steps`` of them: limited-memory BFGS.
+
+    Along a line the slope only falls, so a step that went too far is known by its slope.
     """
-    seen = np.zeros((2, 2))
-    inner = np.flatnonzero(chain[1:] == chain[:-1])
-    np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), weight[inner])
-    w, step = np.zeros(z.shape[1]), np.zeros((2, 2))
-    moments = [np.zeros(len(w) + 4), np.zeros(len(w) + 4)]
-    for k in range(1, steps + 1):
-        if tied:
-            good, pairs, _ = forward_backward(z @ w, starts, lengths, step, weight)
-        else:
-            good, pairs = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), seen
-        g = np.concatenate([z.T @ (weight * (y - good)) - penalty * w, (seen - pairs - penalty * step).ravel()])
-        moments[0] = 0.9 * moments[0] + 0.1 * g
-        moments[1] = 0.99 * moments[1] + 0.01 * g * g
-        move = 0.08 * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
-        w, step = w + move[:-4], step + move[-4:].reshape(2, 2)
-    return w, np.clip(step, -8, 8)
+    g, past = gradient(x), []
+    k = 1
+    while k < steps and np.abs(g).max() > FLAT:
+        d, held = g.copy(), []
+        for s, y, sy in reversed(past):
+            held.append(s @ d / sy)
+            d -= held[-1] * y
+        d *= past[-1][2] / (past[-1][1] @ past[-1][1]) if past else min(1.0, 1 / np.linalg.norm(g))
+        for (s, y, sy), a in zip(past, reversed(held), strict=True):
+            d += (a - y @ d / sy) * s
+        rise, t = g @ d, 1.0
+        while True:
+            new, k = gradient(x + t * d), k + 1
+            if new @ d >= -0.5 * rise or k >= steps:
+                break
+            t *= max(0.1, rise / (rise - new @ d))
+        s, y = t * d, g - new
+        x, g = x + s, new
+        if s @ y > 0:
+            past = [*past, (s, y, s @ y)][-10:]
+    return x
 
 
 def fit(texts: list[Sampled], steps: int = STEPS, penalty: float = 1e-3) -> LineField:
+    """The field of labelled texts that are at hand."""
+    texts = [t for t in texts if len(t.length)]
+    own = np.concatenate([np.zeros((0, len(FEATURES)), np.float32), *(t.lines for t in texts)])
+    length = np.concatenate([np.zeros(0, np.int64), *(t.length for t in texts)])
+    held = list(blocks(own, length, np.array([len(t.length) for t in texts], np.int64), np.array([t.label for t in texts], np.int64)))
+    return fitted(lambda make: [sum(c) for c in zip(*map(make, held), strict=True)], steps, penalty)
+
+
+def fitted(total: Callable[[Callable[[Block], list[int]]], list[int]], steps: int = STEPS, penalty: float = 1e-3) -> LineField:
     """The field of labelled texts: line labels first, then the chain, then the map to probabilities.
 
-    The result depends on the texts alone, not on any randomness.
+    ``total`` sums what a function makes of each block of texts.  Every text weighs alike,
+    whatever its number of lines: a line weighs the inverse of its text's lines, and so do
+    a chain's transitions.  The result depends on the texts alone, not on any randomness.
     """
-    width = 3 * len(FEATURES) + 3
-    if not texts or len({t.label for t in texts}) < 2:
-        prior = float(texts[0].label) if texts else 0.5
+    f = len(FEATURES)
+    width = 3 * f + 3
+
+    def measure(b: Block) -> list[int]:
+        one = np.ones(len(b.own))
+        return [int((b.label == 0).sum()), int((b.label != 0).sum()), *exact(b.weighed(one)), *exact(b.weighed(one, squared=True))]
+
+    got = total(measure)
+    n0, n1 = got[:2] if got else (0, 0)
+    n = n0 + n1
+    if not n0 or not n1:
+        prior = float(n1 > 0) if n else 0.5
         return LineField(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), prior, (0.0, float(_logit(np.array(prior)))))
-    sizes = np.array([len(t.length) for t in texts])
-    of = np.repeat(np.arange(len(texts)), sizes)
-    x = np.concatenate([t.lines for t in texts]).astype(np.float32)
-    told = np.repeat(np.array([t.label for t in texts], float), sizes)
-    starts, lengths = np.cumsum(sizes) - sizes, sizes
-    weight = 1 / (len(texts) * sizes[of])
-    mean, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+    first, second = got[2 : 2 + width], got[2 + width :]
+    lines = first[-1]
+    mean = np.array([a / lines for a in first])
+    spread = np.sqrt([max(q * lines - a * a, 0) / (lines * lines) for a, q in zip(first, second, strict=True)]) + 1e-3
     mean[-1], spread[-1] = 0, 1
-    z = ((x - mean) / spread).astype(np.float32)
-    own = np.r_[0 : len(FEATURES), width - 1]  # the line itself and the constant
-    even = weight / np.where(told > 0, 2 * weight[told > 0].sum(), 2 * weight[told == 0].sum())
-    alone, _ = _train(z[:, own], told, even, starts, lengths, of, steps, penalty, False)
-    y = line_labels(texts, 1 / (1 + np.exp(-(z[:, own] @ alone))))
-    w, step = _train(z, y, weight, starts, lengths, of, steps, penalty, True)
-    good, _, _ = forward_backward(z @ w, starts, lengths, step)
-    length = np.concatenate([t.length for t in texts])
-    share = np.bincount(of, weights=good * length) / np.bincount(of, weights=length)
-    return LineField(mean, spread, w, step, float(np.mean([t.label for t in texts])), slope(_logit(share), np.array([t.label for t in texts], float)))
-
-
-def slope(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
-    """A logistic curve through (x, y) by Newton steps; it never falls."""
+
+    def plain(w: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights for features as they are, and what to take off."""
+        u = w / spread
+        return u, float(mean @ u)
+
+    def normal(sums: np.ndarray, at: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """Sums of r times normalised features, of those of features as they are; the last one is r's."""
+        return (sums - mean[at] * sums[-1]) / spread[at]
+
+    own = np.r_[0:f, width - 1]  # the line itself and the constant
+
+    def widened(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        out[own] = w
+        return out
+
+    def alone_gradient(w: np.ndarray) -> np.ndarray:
+        u, offset = plain(widened(w))
+
+        def make(b: Block) -> list[int]:
+            # good and bad texts weigh alike together
+            even = np.where(b.label > 0, n / (2 * n1), n / (2 * n0)) / b.sizes
+            return exact(b.weighed(b.each(even) * (b.each(b.label) - _sigmoid(b.emit(u, offset, False))), False))
+
+        return normal(np.array(total(make), float) / UNIT / n, own) - penalty * w
+
+    u, offset = plain(widened(climb(alone_gradient, np.zeros(f + 1), steps)))
+
+    def observed(b: Block) -> list[int]:
+        y = line_labels(b, _sigmoid(b.emit(u, offset, False)))
+        inner = np.ones(len(y))
+        inner[b.starts + b.sizes - 1] = 0
+        pair = 2 * y + b.ahead(y)
+        return exact(np.concatenate([b.weighed(y / b.each(b.sizes)), [b.sum(inner * (pair == k)) / b.sizes for k in range(4)]]))
+
+    seen = np.array(total(observed), float) / UNIT / n
+
+    def chain_gradient(v: np.ndarray) -> np.ndarray:
+        (u, offset), step = plain(v[:width]), v[width:].reshape(2, 2)
+
+        def make(b: Block) -> list[int]:
+            good, pairs, _ = forward_backward(b.emit(u, offset), b.starts, b.sizes, step)
+            return exact(np.concatenate([b.weighed(good / b.each(b.sizes)), [b.sum(p) / b.sizes for p in pairs]]))
+
+        g = seen - np.array(total(make), float) / UNIT / n
+        return np.append(normal(g[:width]), g[width:]) - penalty * v
+
+    v = climb(chain_gradient, np.zeros(width + 4), steps)
+    w, step = v[:width], np.clip(v[width:].reshape(2, 2), -8, 8)
+    (u, offset), most = plain(w), int(np.rint(_logit(np.array(1.0)) * GRAIN))
+
+    def counted(b: Block) -> list[int]:
+        good, _, _ = forward_backward(b.emit(u, offset), b.starts, b.sizes, step)
+        at = np.rint(_logit(b.sum(good * b.length) / b.sum(b.length)) * GRAIN).astype(np.int64) + most
+        return np.bincount(2 * at + (b.label > 0), minlength=2 * (2 * most + 1)).tolist()
+
+    count = np.array(total(counted))
+    some = np.flatnonzero(count)
+    return LineField(mean, spread, w, step, n1 / n, slope((some // 2 - most) / GRAIN, (some % 2).astype(float), count[some]))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def slope(x: np.ndarray, y: np.ndarray, count: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
+    """A logistic curve through (x, y), each of them ``count`` times, by Newton steps; it never falls."""
     a, b = 1.0, 0.0
+    share = count / count.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        h = p * (1 - p)
-        g = np.array([((y - p) * x).mean() - penalty * (a - 1), (y - p).mean() - penalty * b])
-        m = np.array([[(h * x * x).mean() + penalty, (h * x).mean()], [(h * x).mean(), h.mean() + penalty]])
+        h, r = share * p * (1 - p), share * (y - p)
+        g = np.array([(r * x).sum() - penalty * (a - 1), r.sum() - penalty * b])
+        m = np.array([[(h * x * x).sum() + penalty, (h * x).sum()], [(h * x).sum(), h.sum() + penalty]])
         move = np.clip(np.linalg.solve(m, g), -1, 1)
         a, b = a + move[0], b + move[1]
     return max(float(a), 0.0), float(b)
@@ -269,20 +453,22 @@ def held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineField:
-    """Fit on at most ``sample`` labelled rows that aren't held out, of SAMPLE_LINES lines together.
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int | None = SAMPLE) -> LineField:
+    """Fit on all labelled rows that aren't held out, or on at most ``sample`` of them, of SAMPLE_LINES lines together.
 
-    The sample is chosen from the keys alone; it is small enough to broadcast whatever the
-    input, and its texts come whole.  Rows with a null key or label and texts without a word
-    are left out; of a key's repeated labels the largest counts, of its repeated rows the
-    least text.  Without labels, or with one kind only, every text gets that share as its score.
+    The features of the rows' lines, which come whole, are written to the shared folder for
+    the time of the fit.  Rows with a null key or label and texts without a word are left out;
+    of a key's repeated labels the largest counts, of its repeated rows the least text.
+    Without labels, or with one kind only, every text gets that share as its score.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
-    whole = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
-    lines = 1 + F.length("_text") - F.length(F.translate("_text", "\n", ""))
-    few = Window.orderBy("_lines", F.xxhash64("_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``sample`` rows
-    taken = whole.withColumn("_lines", lines).withColumn("_total", F.sum("_lines").over(few)).where(F.col("_total") <= SAMPLE_LINES)
+    if sample is not None:
+        known = known.orderBy(F.xxhash64(key), key).limit(sample)
+    whole = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known.withColumnRenamed(key, "_key"), "_key").groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    if SAMPLE_LINES is not None:
+        lines, order = 1 + F.length("_text") - F.length(F.translate("_text", "\n", "")), ["_lines", F.xxhash64("_key"), "_key"]
+        few = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most SAMPLE_LINES rows, as each has a line
+        whole = whole.withColumn("_lines", lines).orderBy(*order).limit(SAMPLE_LINES).withColumn("_total", F.sum("_lines").over(few)).where(F.col("_total") <= SAMPLE_LINES)
 
     def run(batches):
         for b in batches:
@@ -290,19 +476,46 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for i, j, t in slices(texts):
                 own, rows, length = line_features(t)
                 cut = np.searchsorted(rows, np.arange(t.n + 1))
-                got = [(sampled(own[a:z], length[a:z], y[i + k])) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
-                cols = [pa.array([x.lines.astype("<f4").tobytes() for x in got], pa.binary()), pa.array([x.length.astype("<i8").tobytes() for x in got], pa.binary()), pa.array([x.label for x in got], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lines", "length", "label"])
+                got = [(own[a:z], length[a:z], y[i + k]) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+                cols = [pa.array([x.astype("<f4").tobytes() for x, _, _ in got], pa.binary()), pa.array([x.astype("<i8").tobytes() for _, x, _ in got], pa.binary()), pa.array([x for _, _, x in got], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["own", "length", "label"])
+
+    rows = keep(whole.select("_text", "_label").mapInArrow(run, "own binary, length binary, label int"), "crf-lines")
+    try:
+        return fitted(lambda make: summed(rows, make))
+    finally:
+        forget(rows)
+
+
+def summed(rows: DataFrame, make: Callable[[Block], list[int]]) -> list[int]:
+    """Sums of what ``make`` gives for each block of the rows; each task sends one list of sums."""
+
+    def values(a: pa.Array, kind: str) -> np.ndarray:
+        a = a.cast(pa.large_binary())
+        off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+        return np.frombuffer(a.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind)
+
+    def run(batches):
+        out = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, length = values(b.column(0), "<f4").reshape(-1, len(FEATURES)), values(b.column(1), "<i8")
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            for one in blocks(own, length, sizes, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)):
+                got = make(one)
+                out = got if out is None else [p + q for p, q in zip(out, got, strict=True)]
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, out))])], names=["sums"])
 
-    rows = taken.select("_text", "_label").mapInArrow(run, "lines binary, length binary, label int").collect()
-    texts = [Sampled(np.frombuffer(r.lines, "<f4").reshape(-1, 3 * len(FEATURES) + 3), np.frombuffer(r.length, "<i8"), r.label) for r in rows]
-    return fit(sorted(texts, key=lambda t: (t.label, len(t.length), t.lines.tobytes())))
+    parts = [map(int, r.sums.split()) for r in rows.mapInArrow(run, "sums string").collect()]
+    return [sum(c) for c in zip(*parts, strict=True)]
 
 
 def score(docs: DataFrame, field: LineField, text: str = "text", carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds score and predicted.
 
-    A null text counts as empty; texts without a word get the sample's share of good ones.
+    A null text counts as empty; texts without a word get the fit's share of good ones.
     Rows are scored one by one, from all lines of a text, so repeated rows get equal
     scores; a very long text is scored alone.  An empty table gives an empty one.  Columns
     called score or predicted are replaced.
