@@ -117,3 +117,18 @@ def test_pages_that_were_fetched_for_a_source_meet_it_alone(spark):
     got = {(r.id, r.text, r.url) for r in live.page_evidence(pages, registry, "source_id").collect()}
     assert got == {("live_page_a", "one", "u1"), ("live_page_b", "two", "u1"), ("live_page_c", "three", None)}
     assert live.page_evidence(pages.drop("source_id"), registry).count() == 4
+
+
+def test_board_documents_have_whole_bodies(spark):
+    body = "x" * (N.BODY + 500) + " end"
+    selected = spark.createDataFrame([("1", "t", "2026-01-01", "u", False)], "no string, title string, date string, url string, pinned boolean")
+    details = spark.createDataFrame([("1", "t", "2026-01-01", "d", body, "u")], "no string, title string, date string, department string, body string, url string")
+    assert N.board_documents(selected, details).first().text == body
+    assert N.board_documents(selected, details, N.BODY).first().text == body[: N.BODY]
+
+
+def test_the_query_of_board_documents_has_whole_bodies(spark):
+    from tidewrack.plans import notices
+
+    got = notices.board_documents(spark, "/root/testdata/sf0.1").where("NOT failed AND text LIKE '%xxx%'")
+    assert {r.n for r in got.select(F.length(F.regexp_replace("text", "[^x]", "")).alias("n")).collect()} == {3000}

@@ -132,7 +132,7 @@ def _evidence(regular: DataFrame, pinned: DataFrame, id_: str, title: str, url:
     return made.select(F.lit(id_).alias("id"), F.lit(title).alias("title"), text.alias("text"), F.lit(url).alias("source_url"), F.lit(title).alias("source_name"), meta.alias("metadata"))
 
 
-#: Notices that a stored board keeps, characters of a body, and the printed overview.
+#: Notices that a stored board keeps, characters of a body in a built index, and the printed overview.
 STORED, BODY = 20, 2500
 #: Fixed value: most pages of a board that a crawl reads.
 PAGES = 20
@@ -178,11 +178,12 @@ def board_selection(rows: DataFrame) -> DataFrame:
     return pinned.unionByName(regular.orderBy(F.col("date").desc(), "page", "at").limit(STORED))
 
 
-def board_documents(selected: DataFrame, details: DataFrame) -> DataFrame:
+def board_documents(selected: DataFrame, details: DataFrame, most: int | None = None) -> DataFrame:
     """id, title, text, date, department, pinned, failed of each selected notice.
 
     details: no, title, date, department, body, url.  Without a detail the listed title is
-    the text; with an empty body a note that names the attachment's page.
+    the text; with an empty body a note that names the attachment's page.  Bodies are whole,
+    or their first ``most`` characters.
     """
     d = details.select("no", *(F.col(c).alias(f"d_{c}") for c in ("title", "date", "department", "body", "url")), F.lit(True).alias("d_there"))
     # the selected are held and the bodies pass by them; sorted bodies would fill a task's memory
@@ -191,7 +192,7 @@ def board_documents(selected: DataFrame, details: DataFrame) -> DataFrame:
     stub = F.concat(F.coalesce("d_title", F.lit("")), F.lit("\n게시일: "), F.coalesce("d_date", F.lit("")), F.lit("\n작성: "), F.coalesce("d_department", F.lit("")), F.lit("\n(본문은 첨부파일 참조: "), F.coalesce("d_url", F.lit("")), F.lit(")"))
     body = F.when(F.col("d_there").isNull(), F.col("title")).when(F.trim(F.coalesce("d_body", F.lit(""))) == "", stub).otherwise(F.col("d_body"))
     title = F.coalesce(F.nullif(filled("title"), F.lit("")), F.concat(F.lit("공지사항 "), "no"))
-    return rows.select(F.concat(F.lit("notices_"), "no").alias("id"), title.alias("title"), F.substring(body, 1, BODY).alias("text"), filled("date").alias("date"), F.coalesce("d_department", F.lit("")).alias("department"), "pinned", F.col("d_there").isNull().alias("failed"))
+    return rows.select(F.concat(F.lit("notices_"), "no").alias("id"), title.alias("title"), (body if most is None else F.substring(body, 1, most)).alias("text"), filled("date").alias("date"), F.coalesce("d_department", F.lit("")).alias("department"), "pinned", F.col("d_there").isNull().alias("failed"))
 
 
 def board_overview(documents: DataFrame) -> DataFrame:

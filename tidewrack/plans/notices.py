@@ -101,17 +101,21 @@ d AS (SELECT o_orderkey AS no, o_orderstatus AS department, CASE WHEN o_orderkey
 b AS (SELECT 'notices_' || no AS id, title, CASE WHEN department IS NULL THEN title WHEN trim(body) = '' THEN chr(10) || '게시일: ' || chr(10) || '작성: ' || department || chr(10) || '(본문은 첨부파일 참조: u' || no || ')' ELSE substr(body, 1, 2500) END AS text, date, coalesce(department, '') AS department, pinned, department IS NULL AS failed FROM s LEFT JOIN d USING (no))"""
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same documents with whole bodies.
+_WHOLE = _CRAWLED.replace("substr(body, 1, 2500)", "body")
+
+
+def _documents(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
     body = F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.concat("o_orderpriority", F.repeat(F.lit("x"), F.lit(3000))))
     none = F.lit(None).cast("string")
     details = o.select(F.col("o_orderkey").cast("string").alias("no"), none.alias("title"), none.alias("date"), F.col("o_orderstatus").alias("department"), body.alias("body"), F.concat(F.lit("u"), "o_orderkey").alias("url"))
-    return N.board_documents(N.board_selection(_crawled(spark, sf_dir)), details)
+    return N.board_documents(N.board_selection(_crawled(spark, sf_dir)), details, most)
 
 
-@register(f"WITH {_CRAWLED} SELECT * FROM b")
+@register(f"WITH {_WHOLE} SELECT * FROM b")
 def board_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pinned notices and the newest 20 others, with the texts of their own pages."""
+    """All pinned notices and the newest 20 others, with the whole texts of their own pages."""
     return _documents(spark, sf_dir)
 
 
@@ -129,7 +133,7 @@ def board_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _built(spark: SparkSession, sf_dir: str) -> str:
     path = run_folder(spark, "notices")
     counts = {"pinned": F.count_if("pinned"), "failed": F.count_if("failed"), "first_day": F.min("date"), "last_day": F.max("date")}
-    V.build(_documents(spark, sf_dir), path, [F.col("date").desc(), "id"], V.notice_checks(), counts)
+    V.build(_documents(spark, sf_dir, N.BODY), path, [F.col("date").desc(), "id"], V.notice_checks(), counts)
     return path
 
 
