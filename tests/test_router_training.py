@@ -134,3 +134,35 @@ def test_the_sample_is_that_of_the_order_by_hash(spark):
     for most in (0, 1, 8, 9, 40, 63, 100):
         want = df.orderBy(F.xxhash64("text"), "text", "class").limit(most)
         assert sorted(map(str, R.sampled(df, most).collect())) == sorted(map(str, want.collect()))
+
+
+def test_weights_are_fitted_on_all_rows(spark):
+    df = spark.range(100_400).select(F.lit("aa").alias("text"), (F.col("id") >= 100_000).cast("int").alias("label"))
+    model = router.model_of(*R.train(df, terms=5))
+    x = np.array([counts("aa")[t] for t in model.terms]) * model.idf
+    score = model.weight @ x / np.linalg.norm(x) + model.bias
+    assert abs(score[1] - score[0] - math.log(400 / 100_000)) < 0.05
+
+
+def test_slopes_are_those_of_the_loss(spark, monkeypatch):
+    rows = [("aa bb aa", 0), ("bb cc", 1), (None, 1), ("cc " * 300, 2), ("aa dd", 0), ("dd", 2)]
+    names, idf = sorted({g for t, _ in rows for g in counts(t)}), np.linspace(1, 2, len({g for t, _ in rows for g in counts(t)}))
+    known, r = spark.createDataFrame(rows, "text string, class int"), np.random.default_rng(1)
+    w, b = r.normal(size=(3, len(names))), r.normal(size=3)
+    x = np.array([[counts(t)[g] for g in names] for t, _ in rows]) * idf
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    p = np.exp(x @ w.T + b)
+    p /= p.sum(1, keepdims=True)
+    y = np.eye(3)[[c for _, c in rows]]
+    for full in (0, 9):
+        monkeypatch.setattr(R, "FULL", full)
+        got = R._summed(R.features(known, names, idf, [0, 1, 2]), w * idf, b)
+        assert np.allclose(got[:, : len(names)] * idf, (p - y).T @ x, atol=1e-5)
+        assert np.allclose(got[:, -3], (p - y).sum(0), atol=1e-5) and got[:, -1].tolist() == [2, 2, 2]
+        assert np.allclose(got[:, -2].sum(), -np.log(p[y > 0]).sum(), atol=1e-5)
+
+
+def test_the_least_value_is_found():
+    a = np.diag(np.linspace(1, 50, 12))
+    found = R.minimum(lambda x: (x @ a @ x / 2 - x.sum() + 9, a @ x - 1), np.zeros(12), 200)
+    assert np.allclose(found, 1 / np.diag(a), atol=2e-2)
