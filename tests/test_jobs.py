@@ -161,3 +161,22 @@ def test_texts_are_cut_before_they_meet_the_rankings(spark):
     made = answer_batch.answers(docs, asked, ranked, 0.4, 20)
     join = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1:])
     assert "cut#" in join and [(r.answer, r.evidence) for r in made.collect()] == [("The hall opens. (source: hall)", "[1] hall\nThe hall opens. The...")]
+
+
+def test_a_ranking_is_made_once_for_the_same_files(spark, tmp_path, monkeypatch):
+    docs, chats, out = (str(tmp_path / x) for x in ("docs", "chats", "out"))
+    spark.createDataFrame([(1, "a bus to town.", "s"), (2, "menu of the hall.", "s")], "doc_id long, text string, source string").write.parquet(docs)
+    kind = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame([(1, 0, "user", "the bus?")], kind).write.parquet(chats)
+    made, search = [], answer_batch.P.search
+    monkeypatch.setattr(answer_batch.P, "search", lambda *a: made.append(1) or search(*a))
+    both = []
+    for _ in range(2):
+        answer_batch.run(spark, docs, chats, out)
+        both.append(sorted(map(str, answer_batch.written(spark, out).collect())))
+    assert made == [1] and both[0] == both[1]
+    spark.createDataFrame([(2, 0, "user", "menu?")], kind).write.mode("append").parquet(chats)
+    answer_batch.run(spark, docs, chats, out)
+    assert made == [1, 1] and answer_batch.written(spark, out).where("doc_ids = '2'").count() == 1
+    answer_batch.run(spark, docs, chats, out, top_k=1)
+    assert made == [1, 1, 1]
